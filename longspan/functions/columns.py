@@ -34,7 +34,7 @@ def coerce_integer(value: Column | str) -> Column:
 def coerce_date(value: Column | str) -> Column:
     """Date from ISO or month/day/year text; anything else is NULL."""
     value = as_column(value).cast("string")
-    return F.coalesce(value.try_cast("date"), F.try_to_date(value, F.lit("M/d/yyyy")))
+    return F.coalesce(value.try_cast("date"), F.try_to_date(value, "M/d/yyyy"))
 
 
 def date_from_parts(year: Column | str, month: Column | str, day: Column | str) -> Column:
@@ -117,19 +117,28 @@ def dot(columns: Sequence[Column], weights: Sequence[float]) -> Column:
     return sum((c * F.lit(float(w)) for c, w in zip(columns, weights)), F.lit(0.0))
 
 
+DRAW_MODULUS = 2_147_483_647
+
+
 def seeded_draw(key: Column | str, seed: int | Column = 0) -> Column:
-    """Uniform draw in [0, 1) from an integer key by 64-bit integer arithmetic.
+    """Uniform draw in [0, 1) from an integer key, in 64-bit integer arithmetic.
 
-    Used where another engine must reproduce the draw; ``seed`` may be a
-    column so that one row can yield one draw per replicate.
+    The draw depends on nothing but key and seed, so recomputed tasks repeat
+    it, and any SQL engine can reproduce it. Two squarings modulo a prime keep
+    draws of neighbouring keys and seeds apart. ``seed`` may be a column, so
+    that one row can yield one draw per replicate.
     """
-    seed = F.lit(seed) if isinstance(seed, int) else seed
-    mixed = (as_column(key).cast("long") % F.lit(1_000_003).cast("long")) * F.lit(1_103_515_245).cast("long") + (
-        seed.cast("long") * F.lit(12_345).cast("long") + F.lit(6_789).cast("long")
-    ) * F.lit(69_069).cast("long")
-    first = mixed % F.lit(2_147_483_647).cast("long")
-    second = (first * F.lit(48_271).cast("long") + as_column(key).cast("long")) % F.lit(2_147_483_647).cast("long")
-    return second.cast("double") / F.lit(2_147_483_647.0)
+
+    def whole(value: int) -> Column:
+        return F.lit(value).cast("long")
+
+    m = whole(DRAW_MODULUS)
+    k = F.pmod(as_column(key).cast("long"), m)
+    s = (F.lit(seed) if isinstance(seed, int) else seed).cast("long")
+    a = (k * whole(1_103_515_245) + s * whole(12_345) + whole(6_789)) % m
+    b = (a * a + s * whole(69_069) + k) % m
+    c = (b * whole(48_271) + a) % m
+    return ((c * c + b) % m).cast("double") / F.lit(float(DRAW_MODULUS))
 
 
 # Cumulative Poisson(1) probabilities P(X <= k), k = 0..7.

@@ -189,18 +189,18 @@ def oasis_tables(raw: DataFrame, order: str = FILE_ORDER, cohort: str = "OASIS")
     staged = raw.select(
         "*",
         pid.alias("participant_id"),
-        coerce_number("Age").alias("age"),
+        coerce_number("Age").alias("__age"),
         first_substring_rule(pick(raw, "dx1"), OASIS_DIAGNOSIS_RULES, "unknown").alias("diagnosis"),
     )
     # Visits are numbered by age; whole years of age are the ranges.
-    staged = position_within(staged, ["participant_id"], "age", order, "visit_index", range_key=F.floor("age"))
-    first_age = staged.groupBy("participant_id").agg(F.min("age").alias("first_age"))
+    staged = position_within(staged, ["participant_id"], "__age", order, "visit_index", range_key=F.floor("__age"))
+    first_age = staged.groupBy("participant_id").agg(F.min("__age").alias("__first_age"))
     staged = staged.join(first_age, "participant_id").withColumn(
-        "baseline_days", F.coalesce(((F.col("age") - F.col("first_age")) * 365.25).cast("int"), F.lit(0))
+        "baseline_days", F.coalesce(((F.col("__age") - F.col("__first_age")) * 365.25).cast("int"), F.lit(0))
     )
     severity = F.coalesce(coerce_number(pick(raw, "CDR")), F.lit(0.0)) / 3.0
     no_date = F.lit(None).cast("date")
-    return _bundle(participants, _visits(staged, cohort, F.col("age"), no_date, severity), staged, OASIS_MEASURES, cohort)
+    return _bundle(participants, _visits(staged, cohort, F.col("__age"), no_date, severity), staged, OASIS_MEASURES, cohort)
 
 
 def aibl_tables(raw: DataFrame, order: str = FILE_ORDER, cohort: str = "AIBL") -> CohortTables:

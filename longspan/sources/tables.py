@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -129,7 +129,11 @@ def read_cohort(spark: SparkSession, name: str, folder: str | None = None) -> Co
 
 def read_cohorts(spark: SparkSession, folders: Mapping[str, str]) -> CohortTables:
     """Read several registered cohorts and stack their tables."""
-    parts = [read_cohort(spark, name, folder).named() for name, folder in folders.items()]
+    return stack_tables([read_cohort(spark, name, folder) for name, folder in folders.items()])
+
+
+def stack_tables(cohorts: Sequence[CohortTables]) -> CohortTables:
+    parts = [tables.named() for tables in cohorts]
     return CohortTables(
         **{
             table: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [p[table] for p in parts])

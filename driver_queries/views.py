@@ -79,6 +79,15 @@ def visits(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def first_visits(spark: SparkSession, folder: str) -> DataFrame:
+    """The earliest visit of every participant, in one hash aggregate."""
+    o = table(spark, folder, "orders")
+    place = F.struct("o_orderdate", "o_orderkey")
+    return o.groupBy(F.col("o_custkey").cast("string").alias("participant_id")).agg(
+        F.min_by("o_orderkey", place).cast("string").alias("visit_id"), F.lit(0).alias("visit_index")
+    )
+
+
 def outcome_visits(spark: SparkSession, folder: str) -> DataFrame:
     """Visits for outcome aggregates: the visit key stands for the order within a day."""
     o = table(spark, folder, "orders").select(
@@ -141,7 +150,7 @@ def survival(spark: SparkSession, folder: str) -> DataFrame:
 def baseline(spark: SparkSession, folder: str) -> DataFrame:
     labels = conversion_summary(outcome_visits(spark, folder))
     return baseline_wide(
-        participants(spark, folder), visits(spark, folder), features(spark, folder, cohorts=False), labels
+        participants(spark, folder), first_visits(spark, folder), features(spark, folder, cohorts=False), labels
     )
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from longspan.functions.columns import dot, sigmoid
 from longspan.operators.scaling import MedianImputer, Standardizer
+from longspan.session import reused
 
 VECTOR = "__features"
 
@@ -38,6 +39,10 @@ class CentroidRisk:
     intercept: float = 0.0
 
     def fit(self, frame: DataFrame, target: str = "event") -> "CentroidRisk":
+        with reused(frame.select(*dict.fromkeys([*self.columns, target]))) as rows:
+            return self._fit(rows, target)
+
+    def _fit(self, frame: DataFrame, target: str) -> "CentroidRisk":
         self.imputer = MedianImputer(self.columns).fit(frame)
         filled = self.imputer.transform(frame)
         self.scaler = Standardizer(self.columns).fit(filled)
@@ -104,6 +109,10 @@ class LogisticRisk:
             (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("__w"),
             *[F.col(c).alias(f"__x_{c}") for c in self.columns],
         )
+        with reused(kept) as rows:
+            return self._fit(rows, names)
+
+    def _fit(self, kept: DataFrame, names: Sequence[str]) -> "LogisticRisk":
         self.imputer = MedianImputer(names).fit(kept)
         filled = self.imputer.transform(kept)
         self.scaler = Standardizer(names).fit(filled)

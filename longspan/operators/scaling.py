@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from longspan.functions.columns import null_if_nan
 from longspan.functions.linalg import cross_products
 from longspan.operators.ordered import column_quantiles
+from longspan.session import reused
 
 
 def _replace(df: DataFrame, new: dict) -> DataFrame:
@@ -111,6 +112,23 @@ class BatchCorrector:
 
     def fit(self, frame: DataFrame) -> "BatchCorrector":
         present = self._present(frame)
+        # Batch statistics stay a plan over the caller's frame; the passes before share a narrow copy.
+        source = frame
+        with reused(frame.select(*dict.fromkeys([self.batch, *self.features, *present]))) as frame:
+            residual = self._fit_covariates(frame, present)
+            if self.mode == "residual":
+                stats = [F.stddev_samp(residual[f]).alias(f"p{i}") for i, f in enumerate(self.features)]
+                row = frame.agg(*stats).first()
+                self.pooled_std = {f: row[f"p{i}"] or 1.0 for i, f in enumerate(self.features)}
+        staged = source.select(F.col(self.batch).alias("__batch"), *[residual[f].alias(f) for f in self.features])
+        aggs = []
+        for i, f in enumerate(self.features):
+            std = F.stddev_samp(f)
+            aggs += [F.avg(f).alias(f"__m{i}"), F.when(std > 0, std).otherwise(1.0).alias(f"__s{i}")]
+        self.batch_stats = staged.groupBy("__batch").agg(*aggs)
+        return self
+
+    def _fit_covariates(self, frame: DataFrame, present: Sequence[str]) -> dict:
         stats = []
         for i, f in enumerate(self.features):
             stats += [F.avg(f).alias(f"m{i}"), F.stddev_samp(f).alias(f"s{i}")]
@@ -129,16 +147,7 @@ class BatchCorrector:
                 beta = np.linalg.pinv(gram[:q, :q]) @ gram[:q, q + i]
                 self.effects[f] = [float(b) for b in beta]
                 residual[f] = filled[i] - self._effect(present, f)
-        staged = frame.select(F.col(self.batch).alias("__batch"), *[residual[f].alias(f) for f in self.features])
-        aggs = []
-        for i, f in enumerate(self.features):
-            std = F.stddev_samp(f)
-            aggs += [F.avg(f).alias(f"__m{i}"), F.when(std > 0, std).otherwise(1.0).alias(f"__s{i}")]
-        self.batch_stats = staged.groupBy("__batch").agg(*aggs)
-        if self.mode == "residual":
-            row = staged.agg(*[F.stddev_samp(f).alias(f"p{i}") for i, f in enumerate(self.features)]).first()
-            self.pooled_std = {f: row[f"p{i}"] or 1.0 for i, f in enumerate(self.features)}
-        return self
+        return residual
 
     def transform(self, frame: DataFrame) -> DataFrame:
         if self.batch_stats is None:

@@ -15,6 +15,7 @@ from longspan.functions.columns import any_present, clip, poisson_one, seeded_dr
 from longspan.operators.ordered import exact_quantiles, position_within, running
 from longspan.operators.risk import VECTOR, LogisticRisk, assemble, positive_probability
 from longspan.operators.scaling import MedianImputer, Standardizer
+from longspan.session import reused
 from longspan.sources import contracts
 
 DAYS_PER_YEAR = 365.25
@@ -218,8 +219,12 @@ class HazardEnsemble:
         rows = person_period(usable, self.years).select(
             F.xxhash64(F.col(self.key)).alias("__key"), F.col("interval_event").cast("double").alias("__y"), *self._raw()
         )
-        self.imputer = MedianImputer(self.inputs(), empty=0.0).fit(rows)
-        self.scaler = Standardizer(self.inputs()).fit(self.imputer.transform(rows)) if self.kind == "logistic" else None
+        with reused(rows) as rows:
+            self.imputer = MedianImputer(self.inputs(), empty=0.0).fit(rows)
+            self.scaler = Standardizer(self.inputs()).fit(self.imputer.transform(rows)) if self.kind == "logistic" else None
+            return self._fit(rows)
+
+    def _fit(self, rows: DataFrame) -> "HazardEnsemble":
         ready = self._prepare(rows).select("__key", "__y", VECTOR).persist(StorageLevel.MEMORY_AND_DISK)
         replicates = range(self.n_bootstrap if self.resample else 1)
         weights = {b: self._replicate_weight(b) if self.resample else F.lit(1.0) for b in replicates}

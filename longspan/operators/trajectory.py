@@ -13,6 +13,7 @@ from longspan.functions.columns import clip, dot
 from longspan.functions.linalg import cross_products
 from longspan.operators.ordered import exact_quantiles
 from longspan.operators.scaling import MedianImputer, Standardizer
+from longspan.session import reused
 
 FORECAST_YEARS = (0.0, 1.0, 2.0, 3.0, 5.0)
 SCORE_LOW, SCORE_HIGH = 0.0, 30.0
@@ -36,6 +37,10 @@ class RidgeTrajectory:
         rows = frame.where(F.col(target).isNotNull()).select(
             *[F.col(c).cast("double").alias(c) for c in self.features], F.col(target).cast("double").alias("__target")
         )
+        with reused(rows) as cached:
+            return self._fit(cached)
+
+    def _fit(self, rows: DataFrame) -> "RidgeTrajectory":
         self.imputer = MedianImputer(self.features, empty=0.0).fit(rows)
         filled = self.imputer.transform(rows)
         self.scaler = Standardizer(self.features).fit(filled)

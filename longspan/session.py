@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,6 +25,16 @@ def local_session(name: str = "longspan", cpus: str | None = None, partitions: i
     )
 
 
+@contextmanager
+def reused(df: DataFrame):
+    """Keep ``df`` while several passes read it; partitions spill to disk and are recomputed if lost."""
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield cached
+    finally:
+        cached.unpersist()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and read it back as a leaf.
 

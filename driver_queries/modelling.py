@@ -8,13 +8,15 @@ from driver_queries.registry import query
 from driver_queries.views import baseline_with_role, scores, train, validation, with_ctes
 from longspan.operators import attribution, fusion, risk
 from longspan.operators.checks import TRAIN_ROLES
+from longspan.session import cut_lineage
 
 FEATURES = ("age", "education_years", "cognitive_score", "hippocampal_volume_mm3", "hba1c_percent")
 TARGET = "event_by_3y"
 
 
 def _split(spark, folder):
-    rows = baseline_with_role(spark, folder)
+    """Train and validation rows; the wide table is written once because every fit reads it several times."""
+    rows = cut_lineage(baseline_with_role(spark, folder))
     return rows.where(F.col("role").isin(*TRAIN_ROLES)), rows.where(~F.col("role").isin(*TRAIN_ROLES))
 
 
@@ -193,7 +195,7 @@ def _reference(spark, folder):
     "relative_effect modality_risk",
 )
 def _drivers(spark, folder):
-    people = baseline_with_role(spark, folder)
+    people = cut_lineage(baseline_with_role(spark, folder))
     all_scores = scores(people)
     train_ids = people.where(F.col("role").isin(*TRAIN_ROLES)).select("participant_id")
     reference = fusion.reference_risks(all_scores.join(train_ids, "participant_id", "left_semi"))

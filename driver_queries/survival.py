@@ -194,8 +194,7 @@ def _hazard_boosted(spark, folder):
 @query("hazard_forest_curve", "V7, V10")
 def _hazard_forest(spark, folder):
     fit_rows, held = _split(spark, folder)
-    filled = fit_rows.fillna(0.0, subset=["cognitive_score", "hippocampal_volume_mm3", "hba1c_percent"])
-    return sv.survival_forest(FEATURES, n_estimators=20).fit(filled).survival_function(held)
+    return sv.survival_forest(FEATURES, n_estimators=20).fit(fit_rows).survival_function(held)
 
 
 @query("boosted_survival_risk", "V8")
@@ -265,7 +264,7 @@ AT_TIMES = f"""SELECT rr.*, eval_time, CASE WHEN event = 1 AND event_time_days <
     "V14",
     with_ctes(
         "SELECT eval_time, auroc, n FROM ms",
-        "survival", extra={"rr": RISK_SQL, "at": AT_TIMES, **metrics_sql("at", "is_case", "risk", "eval_time", min_n=2)},
+        "survival", extra={"rr": RISK_SQL, "timed": AT_TIMES, **metrics_sql("timed", "is_case", "risk", "eval_time", min_n=2)},
     ),
     "auroc n",
 )
@@ -278,7 +277,7 @@ def _td_auc(spark, folder):
     "V14",
     with_ctes(
         "SELECT avg(auroc) AS mean_auc FROM ms",
-        "survival", extra={"rr": RISK_SQL, "at": AT_TIMES, **metrics_sql("at", "is_case", "risk", "eval_time", min_n=2)},
+        "survival", extra={"rr": RISK_SQL, "timed": AT_TIMES, **metrics_sql("timed", "is_case", "risk", "eval_time", min_n=2)},
     ),
     "mean_auc",
 )

@@ -168,24 +168,24 @@ def _person_effects(spark, folder):
     return tr.person_effects(people, _effects(spark, folder))
 
 
+CONFORMAL_CTES = {
+    **RIDGE_CTES,
+    "res": """SELECT abs(future_score - prediction) AS r, row_number() OVER (ORDER BY abs(future_score - prediction)) AS rn,
+        count(*) OVER () AS n FROM pr WHERE role IN ('public_validation', 'india_validation')""",
+    "place": "SELECT *, least(ceil((n + 1) * CAST(0.9 AS DOUBLE)) / n, 1.0) * (n - 1) AS h FROM res",
+    "ends": """SELECT max(r) FILTER (WHERE rn = floor(h) + 1) AS low, max(r) FILTER (WHERE rn = ceil(h) + 1) AS high,
+        max(h) - floor(max(h)) AS share FROM place""",
+    "q": "SELECT low + (high - low) * share AS w FROM ends",
+}
+
+
 @query(
     "conformal_trajectory",
     "T8, T9",
     with_ctes(
-        """SELECT participant_id, horizon_years, prediction, prediction - w AS lower, prediction + w AS upper FROM pr,
-        (SELECT quantile_cont(r, least(ceil((n + 1) * CAST(0.9 AS DOUBLE)) / n, 1.0)) AS w FROM (SELECT array_agg(abs(future_score - prediction)) AS rs, count(*) AS n FROM pr
-          WHERE role IN ('public_validation', 'india_validation')) AS a, unnest(a.rs) AS u(r) GROUP BY n) AS q
+        """SELECT participant_id, horizon_years, prediction, prediction - w AS lower, prediction + w AS upper FROM pr, q
         WHERE role IN ('public_validation', 'india_validation')""",
-        "trajectories", "staffed", extra=RIDGE_CTES,
-    ).replace(
-        "quantile_cont(r, least(ceil((n + 1) * CAST(0.9 AS DOUBLE)) / n, 1.0))",
-        "max(r) FILTER (WHERE rn = floor(h) + 1) + (max(r) FILTER (WHERE rn = ceil(h) + 1) - max(r) FILTER (WHERE rn = floor(h) + 1)) * (max(h) - floor(max(h)))",
-    ).replace(
-        """FROM (SELECT array_agg(abs(future_score - prediction)) AS rs, count(*) AS n FROM pr
-          WHERE role IN ('public_validation', 'india_validation')) AS a, unnest(a.rs) AS u(r) GROUP BY n) AS q""",
-        """FROM (SELECT abs(future_score - prediction) AS r, row_number() OVER (ORDER BY abs(future_score - prediction)) AS rn,
-          least(ceil((count(*) OVER () + 1) * CAST(0.9 AS DOUBLE)) / count(*) OVER (), 1.0) * (count(*) OVER () - 1) AS h FROM pr
-          WHERE role IN ('public_validation', 'india_validation')) AS a) AS q""",
+        "trajectories", "staffed", extra=CONFORMAL_CTES,
     ),
     "horizon_years prediction lower upper",
 )

@@ -249,7 +249,7 @@ def series(spark: SparkSession, folder: str) -> DataFrame:
     origin = F.unix_micros(F.lit("2024-01-01").cast("timestamp"))
     return e.select(
         F.col("user_id").cast("string").alias("participant_id"),
-        ((F.unix_micros("ts") - origin) / 86_400_000_000.0).alias("year"),
+        ((F.unix_micros(F.col("ts").cast("timestamp")) - origin) / 86_400_000_000.0).alias("year"),
         F.col("value").alias("cognitive_score"),
     )
 

@@ -22,7 +22,7 @@ def report_lines(title: str, metrics: DataFrame, notes: Sequence[str] = ()) -> D
     body = metrics.select(
         F.lit(1).alias("section"),
         F.col("position").cast("int").alias("position"),
-        F.format_string("- %s: %.4f", "name", F.col("value").cast("double")).alias("line"),
+        F.format_string("- %s: %.4f", "name", F.bround(F.col("value").cast("double"), 4)).alias("line"),
     )
     # A report has a handful of lines, so one window partition numbers them.
     order = Window.partitionBy(F.lit(0)).orderBy("section", "position")

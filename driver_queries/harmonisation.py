@@ -242,7 +242,7 @@ def _names(m: str) -> list[str]:
 
 
 def _wide_sql(m: str) -> str:
-    cols = ", ".join(f"arg_min(value, feature_row_id) FILTER (WHERE feature_name = '{f}') AS {f}" for f in _names(m))
+    cols = ", ".join(f"arg_min(value, sequence) FILTER (WHERE feature_name = '{f}') AS {f}" for f in _names(m))
     return f"SELECT participant_id, visit_id, {cols} FROM features WHERE modality = '{m}' GROUP BY participant_id, visit_id"
 
 
@@ -260,7 +260,7 @@ def _modality_query(name: str, items: str, m: str, derived: dict[str, str]):
 
     @query(name, items, sql, " ".join([*_names(m), *derived]))
     def _run(spark, folder):
-        return modality.build_modality(features(spark, folder, cohorts=False), m, _names(m))
+        return modality.build_modality(features(spark, folder, cohorts=False), m, _names(m), order="sequence")
 
     return _run
 

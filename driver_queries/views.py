@@ -91,7 +91,7 @@ def first_visits(spark: SparkSession, folder: str) -> DataFrame:
 def outcome_visits(spark: SparkSession, folder: str) -> DataFrame:
     """Visits for outcome aggregates: the visit key stands for the order within a day."""
     o = table(spark, folder, "orders").select(
-        F.col("o_orderkey").alias("visit_index"),
+        F.pmod("o_orderkey", F.lit(2_147_483_647)).cast("int").alias("visit_index"),
         F.col("o_orderkey").cast("string").alias("visit_id"),
         F.col("o_custkey").cast("string").alias("participant_id"),
         F.col("o_orderdate").cast("date").alias("visit_date"),
@@ -100,25 +100,24 @@ def outcome_visits(spark: SparkSession, folder: str) -> DataFrame:
     return days_since_first(o, "visit_date")
 
 
-def features(spark: SparkSession, folder: str, cohorts: bool = True) -> DataFrame:
-    lines = table(spark, folder, "lineitem")
-    cells = []
+def _cells() -> str:
+    """The measurements of one line as an array; each line number has its own few."""
+    by_line: dict[int, list[str]] = {}
     for (line, source), (feature, factor, shift) in MEASURES.items():
-        raw = F.col(source)
-        value = F.least(F.floor(raw / 17.0).cast("double"), F.lit(2.0)) if feature == "apoe_e4_count" else raw * factor + shift
+        value = f"{source} * {factor}D + {shift}D"
+        if feature == "apoe_e4_count":
+            value = f"least(cast(floor({source} / 17D) as double), 2D)"
         modality, unit, _ = contracts.FEATURES[feature]
-        cells.append(
-            F.struct(
-                F.lit(line).alias("line"),
-                F.lit(source).alias("source_variable"),
-                F.lit(feature).alias("feature_name"),
-                F.lit(modality).alias("modality"),
-                F.lit(unit).alias("unit"),
-                value.alias("value"),
-            )
+        by_line.setdefault(line, []).append(
+            f"named_struct('source_variable', '{source}', 'feature_name', '{feature}', 'modality', '{modality}', "
+            f"'unit', '{unit}', 'value', {value})"
         )
-    wanted = F.filter(F.array(*cells), lambda cell: cell["line"] == F.col("l_linenumber"))
-    long = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.explode(wanted).alias("cell"))
+    return "case l_linenumber " + " ".join(f"when {n} then array({', '.join(c)})" for n, c in by_line.items()) + " end"
+
+
+def features(spark: SparkSession, folder: str, cohorts: bool = True) -> DataFrame:
+    lines = table(spark, folder, "lineitem").where(F.col("l_linenumber").isin(*{line for line, _ in MEASURES}))
+    long = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.explode(F.expr(_cells())).alias("cell"))
     orders = table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").cast("string").alias("participant_id")
     )
@@ -126,6 +125,7 @@ def features(spark: SparkSession, folder: str, cohorts: bool = True) -> DataFram
         F.concat_ws(
             "-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cell.source_variable"
         ).alias("feature_row_id"),
+        (F.col("l_partkey") * 10_000_000 + F.col("l_suppkey")).alias("sequence"),
         "participant_id",
         F.col("l_orderkey").cast("string").alias("visit_id"),
         "cell.modality",
@@ -150,7 +150,11 @@ def survival(spark: SparkSession, folder: str) -> DataFrame:
 def baseline(spark: SparkSession, folder: str) -> DataFrame:
     labels = conversion_summary(outcome_visits(spark, folder))
     return baseline_wide(
-        participants(spark, folder), first_visits(spark, folder), features(spark, folder, cohorts=False), labels
+        participants(spark, folder),
+        first_visits(spark, folder),
+        features(spark, folder, cohorts=False),
+        labels,
+        order="sequence",
     )
 
 
@@ -260,9 +264,7 @@ def series(spark: SparkSession, folder: str) -> DataFrame:
 def draw_sql(key: str, seed: str) -> str:
     m = DRAW_MODULUS
     a = f"((({key}) % {m} * 1103515245 + ({seed}) * 12345 + 6789) % {m})"
-    b = f"(({a} * {a} + ({seed}) * 69069 + ({key}) % {m}) % {m})"
-    c = f"(({b} * 48271 + {a}) % {m})"
-    return f"(CAST(({c} * {c} + {b}) % {m} AS DOUBLE) / {m}.0)"
+    return f"(CAST(({a} * {a} + ({key}) % {m}) % {m} AS DOUBLE) / {m}.0)"
 
 
 def case_sql(column: str, codes: dict, default: str | None = None) -> str:
@@ -288,7 +290,7 @@ def _feature_rows_sql() -> str:
 
 
 _pivot_sql = ",\n".join(
-    f"arg_min(value, feature_row_id) FILTER (WHERE feature_name = '{f}') AS {f}" for f in contracts.FEATURES
+    f"arg_min(value, sequence) FILTER (WHERE feature_name = '{f}') AS {f}" for f in contracts.FEATURES
 )
 _strength_sql = {
     "Cognition + clinical": ("cognitive_score IS NOT NULL", "(30.0 - cognitive_score) / 30.0"),
@@ -340,6 +342,7 @@ CTES = {
         LEFT JOIN conversions c ON f.participant_id = c.participant_id""",
     "line_features": _feature_rows_sql(),
     "features": """SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, source_variable) AS feature_row_id,
+        l_partkey * 10000000 + l_suppkey AS sequence,
         CAST(o_custkey AS VARCHAR) AS participant_id, CAST(l_orderkey AS VARCHAR) AS visit_id, p.cohort,
         modality, feature_name, value, unit, source_variable
         FROM line_features JOIN orders ON l_orderkey = o_orderkey

@@ -124,7 +124,7 @@ def seeded_draw(key: Column | str, seed: int | Column = 0) -> Column:
     """Uniform draw in [0, 1) from an integer key, in 64-bit integer arithmetic.
 
     The draw depends on nothing but key and seed, so recomputed tasks repeat
-    it, and any SQL engine can reproduce it. Two squarings modulo a prime keep
+    it, and any SQL engine can reproduce it. Squaring modulo a prime keeps
     draws of neighbouring keys and seeds apart. ``seed`` may be a column, so
     that one row can yield one draw per replicate.
     """
@@ -136,9 +136,7 @@ def seeded_draw(key: Column | str, seed: int | Column = 0) -> Column:
     k = F.pmod(as_column(key).cast("long"), m)
     s = (F.lit(seed) if isinstance(seed, int) else seed).cast("long")
     a = (k * whole(1_103_515_245) + s * whole(12_345) + whole(6_789)) % m
-    b = (a * a + s * whole(69_069) + k) % m
-    c = (b * whole(48_271) + a) % m
-    return ((c * c + b) % m).cast("double") / F.lit(float(DRAW_MODULUS))
+    return ((a * a + k) % m).cast("double") / F.lit(float(DRAW_MODULUS))
 
 
 # Cumulative Poisson(1) probabilities P(X <= k), k = 0..7.

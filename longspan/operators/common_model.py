@@ -79,12 +79,13 @@ def long_measurements(df: DataFrame, measures: Mapping[str, tuple[str, str, str]
 def pivot_features(
     features: DataFrame, names: Sequence[str], keys: Sequence[str], order: str = "feature_row_id"
 ) -> DataFrame:
-    """Long to wide in one hash aggregate; the first value by ``order`` wins.
+    """Long to wide in one aggregate; the first value by ``order`` wins.
 
     ``names`` is given, so no extra job looks for the distinct names, and the
-    output schema is fixed.
+    output schema is fixed. ``order`` should be unique within a cell; a
+    numeric one keeps the buffers primitive, and so the aggregate hash-based.
     """
-    ordering = F.struct(F.col(order), F.col("value"))
+    ordering = F.col(order)
     return features.where(F.col("feature_name").isin(*names)).groupBy(*keys).agg(
         *[
             F.min_by("value", F.when(F.col("feature_name") == name, ordering)).alias(name)
@@ -160,13 +161,15 @@ def model_indicators() -> list[Column]:
     ]
 
 
-def baseline_wide(participants: DataFrame, visits: DataFrame, features: DataFrame, survival: DataFrame) -> DataFrame:
+def baseline_wide(
+    participants: DataFrame, visits: DataFrame, features: DataFrame, survival: DataFrame, order: str = "feature_row_id"
+) -> DataFrame:
     """One row per participant: first-visit features, demographics, event labels.
 
     ``survival`` has participant_id, event, event_time_days.
     """
     first = visits.where(F.col("visit_index") == 0).select("visit_id")
-    wide = pivot_features(features.join(first, "visit_id", "left_semi"), list(contracts.FEATURES), ["participant_id"])
+    wide = pivot_features(features.join(first, "visit_id", "left_semi"), list(contracts.FEATURES), ["participant_id"], order)
     labels = survival.select("participant_id", "event", "event_time_days", *horizon_labels())
     return (
         participants.select("*", *model_indicators())

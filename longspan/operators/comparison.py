@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from longspan.operators.discrimination import METRICS, binary_metrics
-from longspan.operators.ordered import running
+from longspan.operators.ordered import range_edges, running
 from longspan.operators.survival import bootstrap_weights
 
 
@@ -105,7 +105,11 @@ def _replicate_metrics(
         "__weight",
         F.explode(F.array(*[F.struct(F.lit(s).alias("model"), F.col(s).cast("double").alias("score")) for s in scores])).alias("s"),
     ).select("replicate", "__y", "__weight", "s.model", "s.score")
-    return binary_metrics(long, "__y", "score", ["replicate", "model"], weight=F.col("__weight"), min_n=1)
+    # Range edges come from the plain scores; the replicates only repeat them.
+    plain = frame.select(F.explode(F.array(*[F.col(s).cast("double") for s in scores])).alias("score"))
+    edges = range_edges(plain, "score")
+    weight = F.col("__weight")
+    return binary_metrics(long, "__y", "score", ["replicate", "model"], weight=weight, min_n=1, edges=edges)
 
 
 def bootstrap_comparison(

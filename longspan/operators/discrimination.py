@@ -28,14 +28,20 @@ def score_counts(df: DataFrame, y: str, score: str, by: Sequence[str] = (), weig
     )
 
 
-def metrics_from_counts(counts: DataFrame, by: Sequence[str] = (), min_n: float = 4, ranges: int | None = None) -> DataFrame:
+def metrics_from_counts(
+    counts: DataFrame,
+    by: Sequence[str] = (),
+    min_n: float = 4,
+    ranges: int | None = None,
+    edges: Sequence[float] | None = None,
+) -> DataFrame:
     """n, event_rate and the three metrics per group from ``score_counts`` rows.
 
     Ties get average ranks. Groups under ``min_n`` rows or with one class
     have NULL metrics.
     """
     down = running(
-        counts, "value", {"tp": F.col("pos"), "fp": F.col("neg")}, by=by, descending=True, ranges=ranges
+        counts, "value", {"tp": F.col("pos"), "fp": F.col("neg")}, by=by, descending=True, ranges=ranges, edges=edges
     )
     p, n = F.sum("pos"), F.sum("neg")
     beaten = F.sum(F.col("pos") * (F.col("fp") - F.col("neg") / 2.0))
@@ -68,9 +74,10 @@ def binary_metrics(
     weight: Column | None = None,
     min_n: float = 4,
     ranges: int | None = None,
+    edges: Sequence[float] | None = None,
 ) -> DataFrame:
     """Discrimination and Brier score of ``score`` against 0/1 ``y`` per group."""
-    return metrics_from_counts(score_counts(df, y, score, by, weight), by, min_n, ranges)
+    return metrics_from_counts(score_counts(df, y, score, by, weight), by, min_n, ranges, edges)
 
 
 # Report labels of the validation roles.

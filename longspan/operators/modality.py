@@ -54,13 +54,10 @@ def add_missingness_indicators(frame: DataFrame, protected: Sequence[str] = ())
     )
 
 
-def _zscore(frame: DataFrame, column: str, invert: bool) -> Column:
-    """Global z-score; the two statistics are scalar subqueries of one aggregate."""
-    stats = frame.agg(F.avg(column).alias("m"), F.stddev_samp(column).alias("s"))
-    mean = stats.select("m").scalar()
-    std = stats.select(F.when(F.col("s") > 0, F.col("s")).otherwise(1.0)).scalar()
-    z = (F.col(column) - mean) / std
-    return -z if invert else z
+def _inverted_zscore(column: str) -> Column:
+    """Minus the global z-score, from the statistics ``derive_mri`` puts on the row."""
+    mean, std = F.col(f"__stats.{column}_mean"), F.col(f"__stats.{column}_std")
+    return -((F.col(column) - mean) / F.when(std > 0, std).otherwise(1.0))
 
 
 def derive_cognition(wide: DataFrame) -> DataFrame:
@@ -78,17 +75,21 @@ def derive_cognition(wide: DataFrame) -> DataFrame:
 def derive_mri(wide: DataFrame) -> DataFrame:
     new = []
     has = set(wide.columns)
+    # All statistics come from one scalar subquery, so the wide table is aggregated once.
+    scaled = [c for c in ("hippocampal_volume_mm3", "cortical_thickness_mean_mm") if c in has]
+    stats = [s for c in scaled for s in (F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_std"))]
+    staged = wide.withColumn("__stats", wide.agg(F.struct(*stats).alias("s")).scalar()) if stats else wide
     if "hippocampal_volume_mm3" in has:
-        new.append(_zscore(wide, "hippocampal_volume_mm3", invert=True).alias("hippo_atrophy_z"))
+        new.append(_inverted_zscore("hippocampal_volume_mm3").alias("hippo_atrophy_z"))
     if {"ventricular_volume_mm3", "hippocampal_volume_mm3"} <= has:
         hippocampus = F.col("hippocampal_volume_mm3")
         floored = F.when(hippocampus.isNotNull(), F.greatest(hippocampus, F.lit(float(HIPPOCAMPUS_FLOOR))))
         new.append((F.col("ventricular_volume_mm3") / floored).alias("vent_hippo_ratio"))
     if "cortical_thickness_mean_mm" in has:
-        new.append(_zscore(wide, "cortical_thickness_mean_mm", invert=True).alias("cortical_thinning_z"))
+        new.append(_inverted_zscore("cortical_thickness_mean_mm").alias("cortical_thinning_z"))
     if "wmh_burden_ml" in has:
         new.append(flag(F.col("wmh_burden_ml") > WMH_SEVERE).alias("wmh_severe"))
-    return wide.select("*", *new)
+    return staged.select(*wide.columns, *new)
 
 
 def derive_blood(wide: DataFrame) -> DataFrame:
@@ -158,9 +159,11 @@ DERIVED: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
-def build_modality(features: DataFrame, modality: str, names: Sequence[str] | None = None) -> DataFrame:
+def build_modality(
+    features: DataFrame, modality: str, names: Sequence[str] | None = None, order: str = "feature_row_id"
+) -> DataFrame:
     """Pivot one modality and add its derived columns."""
-    return DERIVED[modality](pivot_modality(features, modality, names))
+    return DERIVED[modality](pivot_modality(features, modality, names, order))
 
 
 def group_available(group: str, groups: dict[str, Sequence[str]] | None = None) -> Column:

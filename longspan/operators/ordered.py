@@ -51,18 +51,19 @@ def running(
     exclusive: bool = False,
     ranges: int | None = None,
     range_key: Column | None = None,
+    edges: Sequence[float] | None = None,
 ) -> DataFrame:
     """Cumulative sums / products along ``order`` within ``by``.
 
     ``df`` holds one row per (``by``, ``order``). ``range_key`` may give a
-    column that is monotone in ``order`` (a year for dates), which saves the
-    pass that looks for edges.
+    column that is monotone in ``order`` (a year for dates), or ``edges`` the
+    range borders; either saves the pass that looks for them.
     """
     totals, products, by = dict(totals or {}), dict(products or {}), list(by)
     if range_key is not None:
         ranged = df.withColumn(RANGE, range_key.cast("double"))
     else:
-        ranged = with_range(df, order, range_edges(df, order, ranges))
+        ranged = with_range(df, order, range_edges(df, order, ranges) if edges is None else edges)
     key = F.col(order).desc() if descending else F.col(order).asc()
     range_order = F.col(RANGE).desc() if descending else F.col(RANGE).asc()
     last = -1 if exclusive else Window.currentRow

@@ -4,12 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from longspan.functions.columns import map_codes
 from longspan.sources import contracts
 
 
+STATES = ("cognitively_unimpaired", "mci", "dementia")
+
+
+def visit_place() -> Column:
+    """(baseline_days, visit_index) as one sortable long, which keeps the aggregate hash-based."""
+    return F.shiftleft(F.col("baseline_days").cast("long"), 32) + F.col("visit_index").cast("long")
+
+
 def conversion_summary(visits: DataFrame) -> DataFrame:
     """Per participant: first state, follow-up, conversion day, event, event time.
 
@@ -18,16 +27,19 @@ def conversion_summary(visits: DataFrame) -> DataFrame:
     the right one is chosen afterwards; no window and no self-join.
     """
     days = F.col("baseline_days")
-    place = F.struct(days, F.col("visit_index"), F.col("visit_id"))
+    place = visit_place()
     # Rows without a state do not supply the first state.
     known = F.when(F.col("diagnosis").isNotNull(), place)
+    state = map_codes("diagnosis", {s: i for i, s in enumerate(STATES)}, len(STATES))
     base = visits.groupBy("participant_id").agg(
-        F.min_by("diagnosis", known).alias("base_diagnosis"),
+        F.min_by(state, known).alias("__state"),
         F.min_by("visit_id", place).alias("first_visit_id"),
         F.max("baseline_days").alias("follow_up_days"),
         F.min(F.when(F.col("diagnosis").isin("mci", "dementia"), days)).alias("__impaired"),
         F.min(F.when(F.col("diagnosis") == "dementia", days)).alias("__dementia"),
     )
+    names = F.array(*[F.lit(s) for s in (*STATES, "unknown")])
+    base = base.withColumn("base_diagnosis", F.get(names, F.col("__state")))
     conversion = F.when(F.col("base_diagnosis") == "cognitively_unimpaired", F.col("__impaired")).when(
         F.col("base_diagnosis") == "mci", F.col("__dementia")
     )
@@ -94,12 +106,14 @@ def configured_endpoint_labels(visits: DataFrame) -> DataFrame:
     A participant is eligible when the first state is an anchor state; the
     event is the first later day in an event state other than the first state.
     """
-    place = F.struct("baseline_days", "visit_index", "visit_id")
+    state = map_codes("diagnosis", {s: i for i, s in enumerate(STATES)}, len(STATES))
     base = visits.groupBy("participant_id").agg(
-        F.min_by("diagnosis", F.when(F.col("diagnosis").isNotNull(), place)).alias("base_diagnosis"),
+        F.min_by(state, F.when(F.col("diagnosis").isNotNull(), visit_place())).alias("__state"),
         F.min(F.when(F.col("diagnosis") == "mci", F.col("baseline_days"))).alias("mci_day"),
         F.min(F.when(F.col("diagnosis") == "dementia", F.col("baseline_days"))).alias("dementia_day"),
     )
+    names = F.array(*[F.lit(s) for s in (*STATES, "unknown")])
+    base = base.withColumn("base_diagnosis", F.get(names, F.col("__state")))
     specs = []
     for name, anchor, event, _, horizon, _ in contracts.ENDPOINTS:
         if anchor is None:

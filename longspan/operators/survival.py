@@ -11,7 +11,7 @@ from pyspark.ml.regression import AFTSurvivalRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from longspan.functions.columns import any_present, clip, poisson_one, seeded_draw
+from longspan.functions.columns import POISSON_ONE_CDF, any_present, clip, poisson_one, seeded_draw
 from longspan.operators.ordered import exact_quantiles, position_within, running
 from longspan.operators.risk import VECTOR, LogisticRisk, assemble, positive_probability
 from longspan.operators.scaling import MedianImputer, Standardizer
@@ -145,8 +145,10 @@ def bootstrap_weights(
     key = F.xxhash64("participant_id") if key is None else key
     replicate = F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1)))
     staged = frame.select("*", key.alias("__key"), replicate.alias("replicate"))
-    weight = poisson_one(seeded_draw("__key", F.lit(seed) + F.col("replicate")))
-    return staged.withColumn(out, weight).where(F.col(out) > 0).drop("__key")
+    drawn = staged.withColumn("__draw", seeded_draw("__key", F.lit(seed) + F.col("replicate")))
+    # Zero weights are dropped by the draw itself, before the count is worked out.
+    kept = drawn.where(F.col("__draw") >= POISSON_ONE_CDF[0])
+    return kept.withColumn(out, poisson_one(F.col("__draw"))).drop("__key", "__draw")
 
 
 @dataclass

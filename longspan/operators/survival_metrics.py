@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from longspan.operators.discrimination import binary_metrics
-from longspan.operators.ordered import running
+from longspan.operators.ordered import range_edges, running
 from longspan.operators.survival import kaplan_meier
 
 
@@ -61,7 +61,8 @@ def concordance_index(
         )
     )
     keys = [*by, "__bit", "__block"]
-    below = running(cells, "__risk", {"__upto": F.col("__later")}, by=keys, ranges=ranges)
+    edges = range_edges(counts, "__risk", ranges)
+    below = running(cells, "__risk", {"__upto": F.col("__later")}, by=keys, edges=edges)
     blocks = below.groupBy(*keys).agg(
         F.sum(F.col("__first").cast("double") * (F.col("__upto") - F.col("__later") / 2.0)).alias("c"),
         F.sum("__first").cast("double").alias("e"),

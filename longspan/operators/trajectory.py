@@ -161,33 +161,41 @@ def random_effects(
         F.when(fitted, F.col("my") - slope * F.col("mx")).alias("intercept"),
         F.when(fitted, F.greatest(F.col("syy") - slope * F.col("sxy"), F.lit(0.0))).alias("rss"),
     )
-    pooled_variance = ols.agg(F.sum("rss") / F.sum(F.when(F.col("rss").isNotNull(), F.col("n") - 2))).scalar()
-    sampled = ols.withColumn("s2_slope", F.when(F.col("slope").isNotNull(), pooled_variance / F.col("sxx"))).withColumn(
-        "s2_intercept",
-        F.when(F.col("slope").isNotNull(), pooled_variance * (1.0 / F.col("n") + F.col("mx") * F.col("mx") / F.col("sxx"))),
+    # One aggregate over the participants gives every pooled number; a fitted
+    # participant's sampling variance is the pooled residual variance times a
+    # known factor, so means of factors are enough.
+    known = F.col("slope").isNotNull()
+    ols = ols.withColumns(
+        {
+            "f_slope": F.when(known, 1.0 / F.col("sxx")),
+            "f_intercept": F.when(known, 1.0 / F.col("n") + F.col("mx") * F.col("mx") / F.col("sxx")),
+        }
     )
-    moments = sampled.agg(
-        *[F.avg(b).alias(f"mu_{b}") for b in ("slope", "intercept")],
-        *[
-            F.greatest(F.lit(0.0), F.var_samp(b) - F.avg(f"s2_{b}")).alias(f"tau2_{b}")
-            for b in ("slope", "intercept")
-        ],
+    variance = F.sum("rss") / F.sum(F.when(known, F.col("n") - 2))
+    pooled = ols.agg(
+        F.struct(
+            variance.alias("variance"),
+            *[F.avg(b).alias(f"mu_{b}") for b in ("slope", "intercept")],
+            *[
+                F.greatest(F.lit(0.0), F.var_samp(b) - variance * F.avg(f"f_{b}")).alias(f"tau2_{b}")
+                for b in ("slope", "intercept")
+            ],
+        ).alias("pooled")
     )
-    def value(name: str) -> Column:
-        return moments.select(name).scalar()
+    rows = ols.withColumn("__p", pooled.scalar())
 
     def shrunk(b: str) -> Column:
-        tau2, mu = value(f"tau2_{b}"), value(f"mu_{b}")
-        moved = mu + F.coalesce(F.try_divide(tau2, tau2 + F.col(f"s2_{b}")), F.lit(0.0)) * (F.col(b) - mu)
-        return F.coalesce(moved, mu)
+        tau2, mu = F.col(f"__p.tau2_{b}"), F.col(f"__p.mu_{b}")
+        share = F.try_divide(tau2, tau2 + F.col("__p.variance") * F.col(f"f_{b}"))
+        return F.coalesce(mu + F.coalesce(share, F.lit(0.0)) * (F.col(b) - mu), mu)
 
-    return sampled.select(
+    return rows.select(
         group,
         "n",
         shrunk("intercept").alias("intercept"),
         shrunk("slope").alias("slope"),
-        (shrunk("intercept") - value("mu_intercept")).alias("intercept_effect"),
-        (shrunk("slope") - value("mu_slope")).alias("slope_effect"),
+        (shrunk("intercept") - F.col("__p.mu_intercept")).alias("intercept_effect"),
+        (shrunk("slope") - F.col("__p.mu_slope")).alias("slope_effect"),
     )
 
 

@@ -7,6 +7,7 @@ from driver_queries import (  # noqa: F401
     modelling,
     neighbours,
     reports,
+    study_flow,
     survival,
     trajectories,
 )

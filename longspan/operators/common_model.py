@@ -85,6 +85,8 @@ def pivot_features(
     output schema is fixed. ``order`` should be unique within a cell; a
     numeric one keeps the buffers primitive, and so the aggregate hash-based.
     """
+    if not names:
+        return features.select(*keys).limit(0)
     ordering = F.col(order)
     return features.where(F.col("feature_name").isin(*names)).groupBy(*keys).agg(
         *[

@@ -30,8 +30,8 @@ def _placements(rows: DataFrame, score: str, m: Column, n: Column, out: str) ->
     up = running(counts, score, {"__pos_upto": F.col("__pos"), "__neg_upto": F.col("__neg")})
     table = up.select(
         score,
-        ((F.col("__neg_upto") - F.col("__neg") / 2.0) / n).alias("__beats"),
-        ((m - F.col("__pos_upto") + F.col("__pos") / 2.0) / m).alias("__beaten"),
+        F.try_divide(F.col("__neg_upto") - F.col("__neg") / 2.0, n).alias("__beats"),
+        F.try_divide(m - F.col("__pos_upto") + F.col("__pos") / 2.0, m).alias("__beaten"),
     )
     return rows.join(table, score).select(
         *rows.columns, F.when(F.col("__y") == 1, F.col("__beats")).otherwise(F.col("__beaten")).alias(out)
@@ -67,11 +67,13 @@ def delong_components(frame: DataFrame, y: str, a: str, b: str) -> DataFrame:
     )
 
     def sample_variance(s1: str, s2: str, k: str) -> Column:
-        spread = F.col(s2) - F.col(s1) * F.col(s1) / F.col(k)
+        spread = F.col(s2) - F.try_divide(F.col(s1) * F.col(s1), F.col(k))
         return F.when(F.col(k) > 1, F.greatest(spread, F.lit(0.0)) / (F.col(k) - 1)).otherwise(0.0)
 
-    variance = sample_variance("dp", "dp2", "m") / F.col("m") + sample_variance("dn", "dn2", "n") / F.col("n")
-    auc_a, auc_b = F.col("a") / F.col("m"), F.col("b") / F.col("m")
+    variance = F.try_divide(sample_variance("dp", "dp2", "m"), F.col("m")) + F.try_divide(
+        sample_variance("dn", "dn2", "n"), F.col("n")
+    )
+    auc_a, auc_b = F.try_divide("a", "m"), F.try_divide("b", "m")
     return sums.select(
         auc_a.alias("auc_a"),
         auc_b.alias("auc_b"),

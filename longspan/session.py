@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
@@ -35,19 +36,28 @@ def reused(df: DataFrame):
         cached.unpersist()
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not sc._jsc.sc().getCheckpointDir().isEmpty():
+        folder = sc._jsc.sc().getCheckpointDir().get()
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+        folder = tempfile.mkdtemp(prefix="longspan-")
+        sc.setCheckpointDir(folder)
+        folder = sc._jsc.sc().getCheckpointDir().get()
+    return folder.rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it back as a leaf.
+    """Write ``df`` once to the shared checkpoint folder and read it back as a plain scan.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a
-    machine-local folder is used only where none is configured.
+    The folder is the one named in ``spark.checkpoint.dir``; a machine-local
+    one is used only in local mode where none is set. Being a Parquet table,
+    the result survives lost executors and is read with column pruning.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-            folder = tempfile.mkdtemp(prefix="longspan-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{_shared_folder(spark)}/longspan/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

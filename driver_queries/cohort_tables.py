@@ -38,7 +38,7 @@ OUTCOMES_SQL = with_ctes(
 
 @query("progression_outcomes", "U1-U8", OUTCOMES_SQL)
 def _outcomes(spark, folder):
-    return progression_outcomes(outcome_visits(spark, folder))
+    return progression_outcomes(outcome_visits(spark, folder), absolute=True)
 
 
 @query(
@@ -64,7 +64,7 @@ def _outcomes(spark, folder):
     ),
 )
 def _endpoint_events(spark, folder):
-    labels = configured_endpoint_labels(outcome_visits(spark, folder))
+    labels = configured_endpoint_labels(outcome_visits(spark, folder), absolute=True)
     return labels.groupBy("endpoint", "horizon_days").agg(
         F.count(F.lit(1)).alias("eligible"), F.sum("event").alias("events")
     )

@@ -89,15 +89,14 @@ def first_visits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def outcome_visits(spark: SparkSession, folder: str) -> DataFrame:
-    """Visits for outcome aggregates: the visit key stands for the order within a day."""
-    o = table(spark, folder, "orders").select(
+    """Visits for outcome aggregates, with days since 1970 and the key as order within a day."""
+    return table(spark, folder, "orders").select(
         F.pmod("o_orderkey", F.lit(2_147_483_647)).cast("int").alias("visit_index"),
         F.col("o_orderkey").cast("string").alias("visit_id"),
         F.col("o_custkey").cast("string").alias("participant_id"),
-        F.col("o_orderdate").cast("date").alias("visit_date"),
+        F.unix_date(F.col("o_orderdate").cast("date")).alias("baseline_days"),
         map_codes("o_orderstatus", STATES).alias("diagnosis"),
     )
-    return days_since_first(o, "visit_date")
 
 
 def _cells() -> str:
@@ -142,13 +141,13 @@ def features(spark: SparkSession, folder: str, cohorts: bool = True) -> DataFram
 def survival(spark: SparkSession, folder: str) -> DataFrame:
     """participant_id, event, event_time_days, cohort, participant_key."""
     people = participants(spark, folder).select("participant_id", "participant_key", "cohort")
-    return conversion_summary(outcome_visits(spark, folder)).join(people, "participant_id").select(
+    return conversion_summary(outcome_visits(spark, folder), absolute=True).join(people, "participant_id").select(
         "participant_id", "participant_key", "cohort", "event", "event_time_days"
     )
 
 
 def baseline(spark: SparkSession, folder: str) -> DataFrame:
-    labels = conversion_summary(outcome_visits(spark, folder))
+    labels = conversion_summary(outcome_visits(spark, folder), absolute=True)
     return baseline_wide(
         participants(spark, folder),
         first_visits(spark, folder),

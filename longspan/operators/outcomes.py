@@ -19,9 +19,13 @@ def visit_place() -> Column:
     return F.shiftleft(F.col("baseline_days").cast("long"), 32) + F.col("visit_index").cast("long")
 
 
-def conversion_summary(visits: DataFrame) -> DataFrame:
+def conversion_summary(visits: DataFrame, absolute: bool = False) -> DataFrame:
     """Per participant: first state, follow-up, conversion day, event, event time.
 
+    ``absolute=True`` says that ``baseline_days`` counts from a common origin
+    (such as ``unix_date``); the participant's first day is then subtracted
+    here, which saves the join that would put baseline days on every visit.
+
     One hash aggregate with map-side combine does it all. The day of the first
     conversion depends on the first state, so both candidate days are kept and
     the right one is chosen afterwards; no window and no self-join.
@@ -34,7 +38,8 @@ def conversion_summary(visits: DataFrame) -> DataFrame:
     base = visits.groupBy("participant_id").agg(
         F.min_by(state, known).alias("__state"),
         F.min_by("visit_id", place).alias("first_visit_id"),
-        F.max("baseline_days").alias("follow_up_days"),
+        F.max("baseline_days").alias("__last"),
+        F.min("baseline_days").alias("__first"),
         F.min(F.when(F.col("diagnosis").isin("mci", "dementia"), days)).alias("__impaired"),
         F.min(F.when(F.col("diagnosis") == "dementia", days)).alias("__dementia"),
     )
@@ -43,12 +48,13 @@ def conversion_summary(visits: DataFrame) -> DataFrame:
     conversion = F.when(F.col("base_diagnosis") == "cognitively_unimpaired", F.col("__impaired")).when(
         F.col("base_diagnosis") == "mci", F.col("__dementia")
     )
+    origin = F.col("__first") if absolute else F.lit(0)
     return base.select(
         "participant_id",
         "first_visit_id",
         "base_diagnosis",
-        "follow_up_days",
-        conversion.alias("conversion_days"),
+        (F.col("__last") - origin).alias("follow_up_days"),
+        (conversion - origin).alias("conversion_days"),
     ).select(
         "*",
         F.col("conversion_days").isNotNull().cast("int").alias("event"),
@@ -60,13 +66,14 @@ def progression_outcomes(
     visits: DataFrame,
     horizons: Sequence[tuple[int, int]] = contracts.OUTCOME_HORIZONS,
     anchor: str = "index_zero",
+    absolute: bool = False,
 ) -> DataFrame:
     """One outcome row per participant and horizon.
 
     ``anchor='index_zero'`` names the anchor ``<participant>-V0``;
     ``'first_visit'`` uses the id of the earliest visit.
     """
-    summary = conversion_summary(visits)
+    summary = conversion_summary(visits, absolute)
     grid = F.explode(
         F.array(
             *[F.struct(F.lit(y).alias("years"), F.lit(d).alias("horizon_days")) for y, d in horizons]
@@ -100,7 +107,7 @@ ANCHOR_STATES = {
 EVENT_STATES = {"mci_or_dementia": ("mci", "dementia"), "mci": ("mci",), "dementia": ("dementia",)}
 
 
-def configured_endpoint_labels(visits: DataFrame) -> DataFrame:
+def configured_endpoint_labels(visits: DataFrame, absolute: bool = False) -> DataFrame:
     """Eligible participants and event labels for every configured incident endpoint.
 
     A participant is eligible when the first state is an anchor state; the
@@ -109,11 +116,13 @@ def configured_endpoint_labels(visits: DataFrame) -> DataFrame:
     state = map_codes("diagnosis", {s: i for i, s in enumerate(STATES)}, len(STATES))
     base = visits.groupBy("participant_id").agg(
         F.min_by(state, F.when(F.col("diagnosis").isNotNull(), visit_place())).alias("__state"),
+        F.min("baseline_days").alias("__first"),
         F.min(F.when(F.col("diagnosis") == "mci", F.col("baseline_days"))).alias("mci_day"),
         F.min(F.when(F.col("diagnosis") == "dementia", F.col("baseline_days"))).alias("dementia_day"),
     )
     names = F.array(*[F.lit(s) for s in (*STATES, "unknown")])
     base = base.withColumn("base_diagnosis", F.get(names, F.col("__state")))
+    origin = F.col("__first") if absolute else F.lit(0)
     specs = []
     for name, anchor, event, _, horizon, _ in contracts.ENDPOINTS:
         if anchor is None:
@@ -121,7 +130,7 @@ def configured_endpoint_labels(visits: DataFrame) -> DataFrame:
         days = [
             F.when(F.col("base_diagnosis") != state, F.col(f"{state}_day")) for state in EVENT_STATES[event]
         ]
-        first_day = days[0] if len(days) == 1 else F.least(*days)
+        first_day = (days[0] if len(days) == 1 else F.least(*days)) - origin
         specs.append(
             F.struct(
                 F.lit(name).alias("endpoint"),

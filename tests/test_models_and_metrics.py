@@ -286,3 +286,15 @@ def test_what_if_and_profiles(spark):
     assert got == {"same": (71.0, 1), "urban": (60.0, 0)}
     warned = audit.participant_warnings(frame, {"age": (50.0, 70.0)}).first()
     assert warned.available_modalities == ["Cognition + clinical"] and len(warned.warnings) == 4
+
+
+def test_export(spark, people, tmp_path):
+    from longspan.sources import sinks
+
+    model = risk.LogisticRisk(["f1"], max_iter=5).fit(people)
+    sinks.export_models(spark, {"logistic": model.model}, str(tmp_path))
+    meta = spark.read.json(f"{tmp_path}/config").first()
+    assert meta.horizons == [1, 3, 5] and len(meta.modalities) == 5
+    lines = sinks.report_lines("T", spark.createDataFrame([(0, "a", 0.5)], "position int, name string, value double"))
+    sinks.write_report(lines, f"{tmp_path}/report")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/report").collect()] == ["# T", "", "## Metrics", "- a: 0.5000"]

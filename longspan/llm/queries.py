@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from longspan.llm.common import read
 from longspan.llm.ngram_jaccard import jaccard_components
 from longspan.llm.packing import pack
+from longspan.llm.quality_rules import quality_rules
 from longspan.llm.substring_dedup import remove_repeated_spans
 from longspan.llm.token_counts import count_tokens
 
@@ -108,3 +109,8 @@ FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN roots r ON r.node =
 )
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"))
+
+
+@query("op5_quality_rules")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from longspan.llm.common import read
+from longspan.llm.html_text import extract_text
 from longspan.llm.ngram_jaccard import jaccard_components
 from longspan.llm.packing import pack
 from longspan.llm.quality_rules import quality_rules
@@ -114,3 +115,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_quality_rules")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op7_html_extraction")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(read(spark, sf_dir, "pages"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_ID = 2**63 - 1
-WORD_CACHE = 1_000_000
+WORD_CACHE = 250_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -52,7 +52,7 @@ from longspan.session import cut_lineage
 
 WINDOW = 13
 MINIMIZER = 5
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 ATTEMPTS = 5
 
 _EDGES = "bucket int, block int, edges binary, rows binary, places binary"
@@ -143,11 +143,14 @@ def _minimizers(window: int, seed: int, buckets: int):  # type: ignore[no-untype
         docs = _Block(table, window, seed)
         _, small, row, _ = docs.edges()
         doc = docs.doc_of_row()[row]
-        pairs = np.unique(np.rec.fromarrays([small, doc], names="s,d")) if len(small) else np.empty(0, [("s", "u8"), ("d", "i4")])
-        values, times = np.unique(pairs["s"], return_counts=True)
+        # Rows stand in document order, so a value whose first and last document agree has no other.
+        order = np.argsort(small, kind="stable")
+        small, doc = small[order], doc[order]
+        at = np.flatnonzero(np.r_[True, small[1:] != small[:-1]]) if len(small) else np.empty(0, np.int64)
+        values, several = small[at], doc[at] != doc[np.r_[at[1:], len(doc)] - 1]
         out = {k: [] for k in schema.names}
         for number, rows in _by_bucket(_bucket(values, buckets)):
-            often = times[rows] > 1
+            often = several[rows]
             out["bucket"].append(number)
             out["block"].append(table["block"][0].as_py())
             out["once"].append(binary(values[rows][~often]))

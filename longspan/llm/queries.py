@@ -7,8 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from longspan.llm.binary_search import search_embeddings
 from longspan.llm.common import read
 from longspan.llm.html_text import extract_text
+from longspan.llm.language_id import identify_languages
 from longspan.llm.ngram_jaccard import jaccard_components
 from longspan.llm.packing import pack
 from longspan.llm.quality_rules import quality_rules
@@ -120,3 +122,26 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_html_extraction")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(read(spark, sf_dir, "pages"))
+
+
+@query("op2_language_id")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(read(spark, sf_dir, "pages"), read(spark, sf_dir, "documents"))
+
+
+@query(
+    "op4_exact_top_k_search",
+    """
+WITH codes AS (
+  SELECT vec_id AS id, list_sum(list_transform(range(0, 64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (1::HUGEINT << i) ELSE 0::HUGEINT END))::HUGEINT AS code
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+), pairs AS (
+  SELECT q.id AS query_id, c.id AS neighbor_id, bit_count(xor(q.code, c.code)) AS distance
+  FROM codes q JOIN codes c ON q.id % 100 = 0 AND c.id <> q.id
+)
+SELECT query_id, CAST(n AS INTEGER) AS rank, neighbor_id, CAST(distance AS INTEGER) AS distance
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS n FROM pairs) WHERE n <= 10
+""",
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_embeddings(read(spark, sf_dir, "embeddings"))

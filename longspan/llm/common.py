@@ -7,7 +7,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_ID = 2**63 - 1
@@ -18,11 +18,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def doc_text(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Only the id and the text, so that no further column of the input can clash with internal names."""
-    return docs.select(
-        F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")
-    )
+def doc_text(docs: DataFrame, *more: Column) -> DataFrame:
+    """Only the id and the text (and ``more``), so that no further column of the input can clash with internal names."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
 class WordHashes(dict):

@@ -11,6 +11,8 @@ from longspan.llm.binary_search import search_embeddings
 from longspan.llm.common import read
 from longspan.llm.html_text import extract_text
 from longspan.llm.language_id import identify_languages
+from longspan.llm.license_scan import scan_licenses
+from longspan.llm.mixing import mix
 from longspan.llm.ngram_jaccard import jaccard_components
 from longspan.llm.packing import pack
 from longspan.llm.quality_rules import quality_rules
@@ -145,3 +147,13 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neig
 )
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_embeddings(read(spark, sf_dir, "embeddings"))
+
+
+@query("op8_license_scan")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read(spark, sf_dir, "documents"))
+
+
+@query("op10_source_mixing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read(spark, sf_dir, "documents"))

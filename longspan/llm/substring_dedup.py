@@ -74,6 +74,7 @@ class _Block:
         self.ids = [ids[i] for i in order]
         self.null_id = [table["doc_id"][i].as_py() is None for i in order]
         self.texts = [texts[i] for i in order]
+        self.order = order
         self.window, self.seed = window, seed
 
     def edges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -255,7 +256,7 @@ def _digest(tokens: list[bytes]) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(tokens))
 
 
-def _remove(window: int, seed: int):  # type: ignore[no-untyped-def]
+def _remove(window: int, seed: int, carry: tuple[str, ...]):  # type: ignore[no-untyped-def]
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         docs = _Block(left, window, seed) if left.num_rows else None
         spans: dict[int, list] = {}
@@ -278,6 +279,7 @@ def _remove(window: int, seed: int):  # type: ignore[no-untyped-def]
             out["kept_text"].append(text_left.decode("utf-8", "surrogatepass") if own else None)
             out["spans"].append([dict(zip(("start", "n_words", "source_block", "source_row", "source_start"), x, strict=True)) for x in own])
             out["digests"].append([_digest(tokens[start : start + n]) for start, n, *_ in own])
+        kept_rows = pa.array(docs.order if docs else [], pa.int64())
         kind = pa.struct([(k, pa.int32()) for k in ("start", "n_words", "source_block", "source_row", "source_start")])
         return pa.table(
             {
@@ -285,6 +287,7 @@ def _remove(window: int, seed: int):  # type: ignore[no-untyped-def]
                 "n_removed": pa.array(out["n_removed"], pa.int64()), "kept_sha256": pa.array(out["kept_sha256"], pa.string()),
                 "kept_text": pa.array(out["kept_text"], pa.string()), "spans": pa.array(out["spans"], pa.list_(kind)),
                 "digests": pa.array(out["digests"], pa.list_(pa.binary())),
+                **{c: left[c].take(kept_rows) for c in carry},
             }
         )
 
@@ -308,18 +311,23 @@ def _differs(window: int, seed: int):  # type: ignore[no-untyped-def]
     return differs
 
 
-def remove_repeated_spans(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_repeated_spans(
+    docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ()
+) -> DataFrame:
     """Remove every word under a window that also starts in a document with a smaller id.
 
     Columns: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space),
     kept_text (NULL where nothing was removed), spans (removed windows' union pieces with block,
-    row and word offset of their source). One row per input row.
+    row and word offset of their source), and the input's columns named in ``carry``. One row per
+    input row.
     """
-    source = doc_text(docs)
+    carried = {f"carried_{i}": name for i, name in enumerate(carry)}
+    source = doc_text(docs, *[F.col(name).alias(alias) for alias, name in carried.items()])
     parts = 1 + text_bytes(source) // block_bytes
     edges = id_edges(source, parts)
     blocks = source.withColumn("block", block_of(edges)("doc_id"))
     by_block = blocks.groupBy("block")
+    result_schema = ", ".join([_RESULT, *(f"{alias} {source.schema[alias].dataType.simpleString()}" for alias in carried)])
     for seed in range(0, 10 * ATTEMPTS, 10):
         met = by_block.applyInArrow(_minimizers(window, seed, parts), "bucket int, block int, once binary, often binary")
         repeated = met.groupBy("bucket").applyInArrow(_repeated, "block int, minimizers binary")
@@ -328,7 +336,7 @@ def remove_repeated_spans(docs: DataFrame, window: int = WINDOW, block_bytes: in
         across = sent.where("bucket >= 0").groupBy("bucket").applyInArrow(_compact, _PATHS)
         inside = sent.where("bucket < 0").mapInArrow(_unpacked, _PATHS)
         spans = glue(cut_lineage(across.unionByName(inside)))
-        result = cut_lineage(by_block.cogroup(spans.groupBy("block")).applyInArrow(_remove(window, seed), _RESULT))
+        result = cut_lineage(by_block.cogroup(spans.groupBy("block")).applyInArrow(_remove(window, seed, tuple(carried)), result_schema))
         asked = (
             result.select(F.explode(F.arrays_zip("spans", "digests")).alias("x"))
             .select(
@@ -339,5 +347,5 @@ def remove_repeated_spans(docs: DataFrame, window: int = WINDOW, block_bytes: in
         )
         used = blocks.join(asked.select("block").distinct(), "block", "left_semi")
         if used.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_differs(window, seed), "wrong long").isEmpty():
-            return result.drop("digests")
+            return result.drop("digests").withColumnsRenamed(carried)
     raise RuntimeError(f"hash functions collided {ATTEMPTS} times")

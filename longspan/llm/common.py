@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -77,17 +75,17 @@ def id_edges(docs: DataFrame, blocks: int) -> np.ndarray:
     return np.unique(np.array(row.e or [], np.int64))
 
 
-def block_of(edges: np.ndarray) -> Callable:
+def block_of(edges: np.ndarray) -> Column:
     """Number of the id range; a NULL id falls in the last one."""
 
     @F.pandas_udf("int")
     def block(ids):  # type: ignore[no-untyped-def]
         import pandas as pd
 
-        values = ids.fillna(MAX_ID).to_numpy(np.int64) if ids.dtype != np.int64 else ids.to_numpy()
-        return pd.Series(np.searchsorted(edges, values, side="left").astype(np.int32))
+        return pd.Series(np.searchsorted(edges, ids.to_numpy(), side="left").astype(np.int32))
 
-    return block
+    # NULLs go before the call, as pandas would turn all ids of the batch to doubles.
+    return block(F.coalesce("doc_id", F.lit(MAX_ID)))
 
 
 def text_bytes(docs: DataFrame) -> int:

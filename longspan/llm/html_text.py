@@ -5,7 +5,7 @@ its number of tags and its *container*: the outermost article or main element ar
 nearest section, div, cell or the body. Lines inside menus, headers, footers, sidebars, notices,
 adverts, forms, comments or code (by element, role, class or id) are no candidates. The text-to-tag
 ratio of the candidates is smoothed by a Gaussian over neighbouring lines, and the lines above the
-threshold form the content clusters. Clusters choose containers; a chosen container gives all its
+threshold (whose own ratio is at least 1/OWN of it) form the content clusters. Clusters choose containers; a chosen container gives all its
 candidate lines, so that a short heading or paragraph inside an article stays. If a page marks
 articles, only these can be chosen.
 
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 SIGMA = 1.0
 RADIUS = 2
+OWN = 4
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
@@ -150,7 +151,9 @@ def main_text(html: str | None) -> str:
     mean = sum(ratios) / len(ratios)
     spread = math.sqrt(sum((x - mean) ** 2 for x in ratios) / len(ratios))
     cut = min(spread, max(ratios))
-    chosen = {container for (_, _, container, _), ratio in zip(lines, ratios, strict=True) if ratio >= cut}
+    # A line beside a long text is lifted by it, so its own ratio counts too.
+    own = [len(text) / tags for text, tags, _, _ in lines]
+    chosen = {x[2] for x, ratio, alone in zip(lines, ratios, own, strict=True) if ratio >= cut and OWN * alone >= cut}
     return " ".join(text for text, _, container, _ in lines if container in chosen)
 
 

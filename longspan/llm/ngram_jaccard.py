@@ -14,12 +14,15 @@ The tree's upper levels are laid out by a shuffle, its lower ones inside tasks:
    chance, are divided once more by slices of another hash.
    A task sends each upper node's smallest document only, and links the others to that one
    itself, so a node that a third of the rows share gets one row per task.
-3. Every document is checked against the smallest of its nodes' documents; the links give first
-   components. Nodes that lie in one component are done, as only reachability is asked.
+3. Every document is checked against that first document with which it shares most nodes; the links
+   give first components. Nodes that lie in one component are done, as only reachability is asked,
+   and of nodes with the same documents one is enough.
 4. Of the other nodes the lower trees are built (documents in order of size and bitmap, 16 to a
    node), and traversed in pairs. Pairs in one component are cut too. Nodes of many documents are
    traversed as pairs of blocks in tasks of their own.
-5. Surviving pairs are checked exactly on whole texts, and components joined.
+5. Surviving pairs are checked exactly on whole texts, the most promising of each document first. Their
+   links join components, which cuts most of the others, and steps 4 and 5 repeat with four times as
+   many pairs to a document until a traversal leaves no pair unchecked.
 
 Sets are held as 64-bit hashes of the n-grams. Defined results: NULL, empty and blank texts have an
 empty set and link with nothing. Texts of fewer words than n have one token, the whole sequence. Rows
@@ -253,7 +256,9 @@ class SignatureTree:
             self.levels.append({k: f.reduceat(below[k], at, axis=0) for k, f in fold.items()})
 
 
-def _may_link(one: dict, two: dict, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+def _may_link(one: dict, two: dict, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether documents below two nodes can link, and the most they can have in common."""
+    most = np.zeros(len(i), np.int64)
     keep = (100 * one["most"][i] >= percent * two["least"][j]) & (100 * two["most"][j] >= percent * one["least"][i])
     done = (one["from"][i] == one["to"][i]) & (two["from"][j] == two["to"][j]) & (one["from"][i] == two["from"][j])
     keep &= ~done
@@ -261,14 +266,15 @@ def _may_link(one: dict, two: dict, i: np.ndarray, j: np.ndarray, percent: int)
     for start in range(0, len(at), 8192):
         part = at[start : start + 8192]
         common = np.bitwise_count(one["bits"][i[part]] & two["bits"][j[part]]).sum(axis=1, dtype=np.int64)
-        overlap = common + np.minimum(one["slack"][i[part]], two["slack"][j[part]])
+        most[part] = overlap = common + np.minimum(one["slack"][i[part]], two["slack"][j[part]])
         # 100 * overlap >= percent * union, with union = sizes - overlap
         keep[part] = (100 + percent) * overlap >= percent * (one["least"][i[part]] + two["least"][j[part]])
-    return keep
+    return keep, most
 
 
-def traverse(one: SignatureTree, two: SignatureTree, percent: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Document pairs that no node pair above them rules out; each once if both trees are the same."""
+def traverse(one: SignatureTree, two: SignatureTree, percent: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document pairs that no node pair above them rules out, and their most possible overlap relative
+    to their sizes; each pair once if both trees are the same."""
     top = min(len(one.levels), len(two.levels)) - 1
     i, j = (x.ravel() for x in np.meshgrid(np.arange(len(one.levels[top]["least"])), np.arange(len(two.levels[top]["least"]))))
     for level in range(top, -1, -1):
@@ -276,38 +282,41 @@ def traverse(one: SignatureTree, two: SignatureTree, percent: int, same: bool) -
         if same:
             ordered = i <= j if level else i < j
             i, j = i[ordered], j[ordered]
-        keep = _may_link(a, b, i, j, percent)
-        i, j = i[keep], j[keep]
+        keep, most = _may_link(a, b, i, j, percent)
+        i, j, most = i[keep], j[keep], most[keep]
         if level:
             steps = np.arange(FANOUT)
             i = np.repeat(i * FANOUT, FANOUT * FANOUT) + np.tile(np.repeat(steps, FANOUT), len(i))
             j = np.repeat(j * FANOUT, FANOUT * FANOUT) + np.tile(np.tile(steps, FANOUT), len(j))
             inside = (i < len(one.levels[level - 1]["least"])) & (j < len(two.levels[level - 1]["least"]))
             i, j = i[inside], j[inside]
-    return i, j
+    return i, j, most / (one.levels[0]["least"][i] + two.levels[0]["least"][j])
 
 
-def _pairs(percent: int):  # type: ignore[no-untyped-def]
-    def tree(table: pa.Table) -> tuple[np.ndarray, SignatureTree]:
-        maps = cells(table["bitmap"], np.uint64)
-        width = min(map(len, maps))
-        # Bits are the leading ones of a hash: a longer map folds to a shorter one by OR of neighbours.
-        bits = np.stack([_folded(m, width) for m in maps])
+def _pairs(percent: int, each: int):  # type: ignore[no-untyped-def]
+    def tree(table: pa.Table, width: int) -> tuple[np.ndarray, SignatureTree]:
+        bits = np.stack([_folded(m, width) for m in cells(table["bitmap"], np.uint64)])
         size, doc = table["size"].to_numpy().astype(np.int64), table["doc"].to_numpy()
-        order = np.lexsort((*bits.T[:4], size))
+        order = np.lexsort((doc, *bits.T[:4], size))
         return doc[order], SignatureTree(size[order], bits[order], table["component"].to_numpy()[order])
 
     def pairs(table: pa.Table) -> pa.Table:
+        # Bits are the leading ones of a hash, so longer maps fold to the shortest.
+        width = min(map(len, table["bitmap"].to_pylist())) // 8
         side = table["side"].to_numpy()
-        width = pa.table({"w": pa.array([len(x) for x in table["bitmap"].to_pylist()])})["w"].to_numpy().min()
-        maps = pa.array([_folded(np.frombuffer(x, np.uint64), width // 8).tobytes() for x in table["bitmap"].to_pylist()], pa.binary())
-        table = table.set_column(table.schema.get_field_index("bitmap"), "bitmap", maps)
         parts = [table.filter(pa.array(side == s)) for s in (0, 1)]
-        one, t1 = tree(parts[0])
-        two, t2 = tree(parts[1]) if parts[1].num_rows else (one, t1)
-        i, j = traverse(t1, t2, percent, same=not parts[1].num_rows)
-        a, b = one[i], two[j]
-        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+        one, t1 = tree(parts[0], width)
+        two, t2 = tree(parts[1], width) if parts[1].num_rows else (one, t1)
+        i, j, hope = traverse(t1, t2, percent, same=not parts[1].num_rows)
+        # The most promising ones of each document come first; ``more`` tells that some were left.
+        order = np.lexsort((one[i], -hope, j))
+        i, j = i[order], j[order]
+        at = np.flatnonzero(np.r_[True, j[1:] != j[:-1]]) if len(j) else np.empty(0, np.int64)
+        sizes = np.diff(np.r_[at, len(j)])
+        place = np.arange(len(j)) - np.repeat(at, sizes)
+        first = place < each
+        a, b = one[i[first]], two[j[first]]
+        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b), "more": np.repeat(sizes > each, sizes)[first]})
 
     return pairs
 
@@ -320,19 +329,25 @@ def _folded(bitmap: np.ndarray, width: int) -> np.ndarray:
     return np.packbits(on, bitorder="little").view(np.uint64)
 
 
-def _candidates(met: DataFrame, labels: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs of different components that a dual traversal of their node's trees leaves."""
+def _members(met: DataFrame) -> DataFrame:
+    """(node, doc) of every upper node, of nodes with the same documents only one."""
     members = met.select("node", "doc").unionByName(met.select("node", F.col("first").alias("doc"))).distinct()
+    marks = members.groupBy("node").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc")).alias("m0"), F.bit_xor(F.xxhash64(F.lit(1), "doc")).alias("m1")
+    )
+    one_each = marks.groupBy("n", "m0", "m1").agg(F.min("node").alias("node"))
+    return members.join(one_each.select("node", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "node")
+
+
+def _candidates(members: DataFrame, labels: DataFrame, texts: DataFrame, n: int, percent: int, each: int) -> DataFrame:
+    """Pairs (a, b, more) of different components that a dual traversal of their node's trees leaves."""
     labelled = members.join(labels, F.col("doc") == F.col("label_node"), "left").select(
-        "node", "doc", F.coalesce("component", "doc").alias("component")
+        "node", "doc", "blocks", F.coalesce("component", "doc").alias("component")
     )
-    open_nodes = (
-        labelled.groupBy("node")
-        .agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n"))
-        .where("c0 <> c1")
-        .select("node", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    open_nodes = labelled.groupBy("node").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("node")
+    open_members = cut_lineage(
+        labelled.join(open_nodes, "node", "left_semi").withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
     )
-    open_members = cut_lineage(labelled.join(open_nodes, "node").withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int")))
     maps = texts.join(open_members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(
         _bitmaps(n), "doc long, size long, bitmap binary"
     )
@@ -341,7 +356,7 @@ def _candidates(met: DataFrame, labels: DataFrame, texts: DataFrame, n: int, per
         "node", "doc", "component", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"),
         (F.col("block") > F.col("other")).cast("int").alias("side"),
     )
-    return meeting.join(maps, "doc").groupBy("node", "one", "two").applyInArrow(_pairs(percent), "a long, b long").distinct()
+    return meeting.join(maps, "doc").groupBy("node", "one", "two").applyInArrow(_pairs(percent, each), "a long, b long, more boolean")
 
 
 def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -361,13 +376,21 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
     )
     used = met.select(F.col("doc").alias("doc_id")).unionByName(met.select(F.col("first").alias("doc_id"))).distinct()
     texts = cut_lineage(source.join(used, "doc_id", "left_semi"))
-    nearest = met.groupBy("doc").agg(F.min("first").alias("b")).select(F.col("doc").alias("a"), "b")
+    shared_nodes = met.groupBy("doc", "first").agg(F.count("*").alias("n"))
+    nearest = shared_nodes.groupBy("doc").agg(F.max("n").alias("n")).join(shared_nodes, ["doc", "n"]).groupBy("doc").agg(F.min("first").alias("b")).select(F.col("doc").alias("a"), "b")
     links = cut_lineage(checked(nearest, texts, n, percent))
-    labels = components(links).select(F.col("node").alias("label_node"), "component")
-    more = cut_lineage(checked(_candidates(met, labels, texts, n, percent), texts, n, percent))
+    members = cut_lineage(_members(met))
+    each = 1
+    while True:
+        labels = components(links).select(F.col("node").alias("label_node"), "component")
+        left = cut_lineage(_candidates(members, labels, texts, n, percent, each))
+        links = links.unionByName(cut_lineage(checked(left.select("a", "b").distinct(), texts, n, percent)))
+        if left.where("more").isEmpty():
+            break
+        each *= 4
     # Rows that share an id tie their sets' copies together as links do.
     shared = sets.where("digest IS NOT NULL").join(copies, "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    final = components(links.unionByName(more).unionByName(shared))
+    final = components(links.unionByName(shared))
     out = sets.join(final, F.col("doc_id") == F.col("node"), "left")
     ids = lambda c: F.nullif(c, F.lit(MAX_ID))
     return out.select(

@@ -147,8 +147,8 @@ def _minimizers(window: int, seed: int, buckets: int):  # type: ignore[no-untype
         # Rows stand in document order, so a value whose first and last document agree has no other.
         order = np.argsort(small, kind="stable")
         small, doc = small[order], doc[order]
-        at = np.flatnonzero(np.r_[True, small[1:] != small[:-1]]) if len(small) else np.empty(0, np.int64)
-        values, several = small[at], doc[at] != doc[np.r_[at[1:], len(doc)] - 1]
+        at = np.flatnonzero(np.r_[True, small[1:] != small[:-1]][: len(small)])
+        values, several = small[at], doc[at] != doc[np.r_[at[1:], len(doc)][: len(at)] - 1]
         out = {k: [] for k in schema.names}
         for number, rows in _by_bucket(_bucket(values, buckets)):
             often = several[rows]
@@ -325,7 +325,7 @@ def remove_repeated_spans(
     source = doc_text(docs, *[F.col(name).alias(alias) for alias, name in carried.items()])
     parts = 1 + text_bytes(source) // block_bytes
     edges = id_edges(source, parts)
-    blocks = source.withColumn("block", block_of(edges)("doc_id"))
+    blocks = source.withColumn("block", block_of(edges))
     by_block = blocks.groupBy("block")
     result_schema = ", ".join([_RESULT, *(f"{alias} {source.schema[alias].dataType.simpleString()}" for alias in carried)])
     for seed in range(0, 10 * ATTEMPTS, 10):

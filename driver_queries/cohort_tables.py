@@ -20,8 +20,8 @@ from driver_queries.views import (
 )
 from longspan.operators import common_model as cm
 from longspan.operators.outcomes import configured_endpoint_labels, progression_outcomes
-from longspan.sources import contracts, native
-from longspan.sources.tables import stack_tables
+from longspan.sources import contracts, native, tables
+
 
 # --- outcomes ------------------------------------------------------------------
 
@@ -340,7 +340,7 @@ def _aibl_visits(spark, folder):
 )
 def _stacked(spark, folder):
     parts = [native.nacc_tables(_nacc_raw(spark, folder)), native.oasis_tables(_oasis_raw(spark, folder))]
-    stacked = stack_tables(parts)
+    stacked = tables.stack_tables(parts)
     rows = stacked.outcomes.join(stacked.participants.select("participant_id", "cohort"), "participant_id")
     return rows.groupBy("cohort", "horizon_days").agg(
         F.count(F.lit(1)).alias("participants"), F.sum("event").alias("events")
@@ -357,10 +357,66 @@ def _stacked(spark, folder):
 )
 def _duplicates(spark, folder):
     lines = table(spark, folder, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("feature_row_id"))
-    contracts.require_columns("participants", participants(spark, folder).columns)
+    contracts.check_tables({"participants": participants(spark, folder)})
     return contracts.primary_key_violations(lines, "feature_row_id")
 
 
+def _raw_common_model(spark, folder):
+    """The four tables as a secure cohort delivers them: all text, with a column the contract does not know."""
+    orders = table(spark, folder, "orders")
+    people = table(spark, folder, "customer")
+    lines = table(spark, folder, "lineitem")
+    text = lambda **columns: [F.expr(e).cast("string").alias(n) for n, e in columns.items()]
+    return {
+        "participants": people.select(*text(participant_id="c_custkey", cohort="c_mktsegment", birth_year="1950 + c_nationkey", extra="c_name")),
+        "visits": orders.select(
+            *text(
+                visit_id="o_orderkey", participant_id="o_custkey", cohort="'raw'", visit_index="o_orderkey % 9",
+                age_at_visit="CASE WHEN o_orderstatus = 'P' THEN 'unknown' ELSE CAST(o_totalprice / 1000 AS STRING) END",
+                visit_date="CASE WHEN o_orderkey % 5 = 0 THEN '20-20' ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END", extra="o_orderpriority",
+            )
+        ),
+        "modality_features": lines.select(
+            *text(
+                feature_row_id="concat_ws('-', l_orderkey, l_linenumber)", participant_id="l_orderkey", visit_id="l_orderkey", cohort="'raw'",
+                modality="'cognition'", feature_name="'score'", value="CASE WHEN l_returnflag = 'A' THEN 'NaN' ELSE CAST(l_quantity AS STRING) END",
+            )
+        ),
+        "outcomes": orders.select(
+            *text(
+                outcome_id="o_orderkey", participant_id="o_custkey", anchor_visit_id="o_orderkey", endpoint="'e'", horizon_days="365",
+                event="o_orderkey % 2",
+            )
+        ),
+    }
+
+
+@query(
+    "contract_typed_visits",
+    "S1, S2, S9, S10",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS visit_id, CAST(o_custkey AS VARCHAR) AS participant_id, 'tlsa' AS cohort,
+    CAST(o_orderkey % 9 AS INTEGER) AS visit_index, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice / 1000 END AS age_at_visit,
+    CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderdate AS DATE) END AS visit_date, o_orderpriority AS extra FROM orders""",
+    "age_at_visit",
+)
+def _typed_visits(spark, folder):
+    return tables.common_model(_raw_common_model(spark, folder), cohort="tlsa").visits
+
+
+@query(
+    "contract_typed_measurements",
+    "S1, S2, S10",
+    """SELECT feature_name, count(*) AS n_rows, count(CASE WHEN l_returnflag <> 'A' THEN 1 END) AS n_values,
+    sum(CASE WHEN l_returnflag <> 'A' THEN l_quantity END) AS total FROM (SELECT *, 'score' AS feature_name FROM lineitem) GROUP BY feature_name""",
+    "total",
+)
+def _typed_measurements(spark, folder):
+    rows = tables.common_model(_raw_common_model(spark, folder), cohort="tlsa").modality_features
+    return rows.groupBy("feature_name").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("value").alias("n_values"), F.sum("value").alias("total")
+    )
+
+
 @query(
     "missing_required_modalities",
     "S12",
@@ -409,7 +465,7 @@ def _canonical_units(spark, folder):
         """SELECT cohort, lower(replace(cohort, ' ', '_')) || '_' || short_name AS source_variable, feature_name AS canonical_feature, modality,
         CASE WHEN cohort = 'AIBL' AND feature_name = 'hippocampal_volume_mm3' THEN 'cm3' ELSE unit END AS source_unit, unit AS canonical_unit,
         CASE WHEN cohort = 'AIBL' AND feature_name = 'hippocampal_volume_mm3' THEN 'cm3 x 1000 -> mm3' ELSE 'identity' END AS conversion,
-        'synthetic_demo_mapping_v1' AS provenance, count(*) AS n_rows
+        'common_model_mapping_v1' AS provenance, count(*) AS n_rows
         FROM features JOIN (VALUES """
         + ", ".join(f"('{f}', '{s}')" for f, (_, _, s) in contracts.FEATURES.items())
         + """) AS n(fname, short_name) ON feature_name = fname GROUP BY ALL""",

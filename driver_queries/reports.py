@@ -33,7 +33,7 @@ CHECKS_SQL = """SELECT "check", CASE WHEN n = 0 THEN 'Passed' ELSE 'Failed' END
       'Imputation and scaling are fitted on development + TLSA adaptation only.'
     UNION ALL SELECT 'Canonical unit validation', (SELECT count(*) FROM features WHERE feature_name = 'rnfl_um' AND unit <> 'um'), 'Cohort-native values round-trip to common units.'
     UNION ALL SELECT 'Visit chronology', (SELECT count(*) FROM (SELECT baseline_days - lag(baseline_days) OVER (PARTITION BY participant_id ORDER BY visit_index) AS d FROM visits) AS x WHERE d < 0),
-      'All synthetic visits are longitudinally ordered.'
+      'Every visit lies at or after the one before it.'
     UNION ALL SELECT 'SANSCOG holdout', (SELECT count(*) FROM roles WHERE cohort = 'SANSCOG' AND role IN ('global_train', 'tlsa_adaptation')),
       'Rural India remains external validation only.') AS c"""
 
@@ -83,10 +83,10 @@ _AVAILABLE = "list_filter([CASE WHEN cognitive_score IS NOT NULL THEN 'Cognition
     "X8, X9, F10",
     with_ctes(
         """SELECT participant_id, array_to_string(av, '|') AS available_modalities, array_to_string(list_filter([
-        CASE WHEN len(mi) > 0 THEN 'Missing modalities: ' || array_to_string(mi, ', ') || '. Fusion weights were renormalised over available evidence.' END,
-        CASE WHEN len(ou) > 0 THEN 'Outside the synthetic training range: ' || array_to_string(ou[1:4], ', ') || '. Treat uncertainty as elevated.' END,
-        CASE WHEN 4 - len(mi) < 2 THEN 'Limited multimodal coverage: the estimate is driven mainly by cognition and clinical context.' END,
-        CASE WHEN urban_rural = 'rural' THEN 'Rural context is compared against the fully held-out synthetic SANSCOG-style validation cohort.' END
+        CASE WHEN len(mi) > 0 THEN 'No data from: ' || array_to_string(mi, ', ') || '. The other groups share their fusion weight.' END,
+        CASE WHEN len(ou) > 0 THEN 'Beyond the values seen in training: ' || array_to_string(ou, ', ') || '. The forecast extrapolates here.' END,
+        CASE WHEN 4 - len(mi) < 2 THEN 'At most one group besides the clinical one is present, so the clinical scores decide the forecast.' END,
+        CASE WHEN urban_rural = 'rural' THEN 'Rural participants appear in no training row; only the held-out cohort validates this forecast.' END
         ], lambda x: x IS NOT NULL), '|') AS warnings FROM wr""",
         "train", "validation",
         extra={

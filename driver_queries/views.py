@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longspan.functions.columns import DRAW_MODULUS, clip, flag, map_codes, seeded_draw
+from longspan.functions.columns import DRAW_MODULI, clip, flag, map_codes, seeded_draw
 from longspan.operators.checks import TRAIN_ROLES, VALIDATION_ROLES
 from longspan.operators.common_model import baseline_wide, days_since_first, trajectory_series
 from longspan.operators.fusion import batch_risk, risk_distribution
 from longspan.operators.modality import group_available
 from longspan.operators.ordered import position_within
-from longspan.operators.outcomes import conversion_summary
+from longspan.operators.outcomes import conversion_summary, place_of
 from longspan.operators.splits import assign_roles
 from longspan.operators.survival import cumulative_risk
 from longspan.sources import contracts
@@ -24,7 +24,7 @@ SEGMENTS = {"AUTOMOBILE": "ADNI", "BUILDING": "NACC", "FURNITURE": "AIBL", "HOUS
 STATES = {"F": "cognitively_unimpaired", "O": "mci", "P": "dementia"}
 SETTINGS = {0: "rural", 1: "urban", 2: "reference"}
 SPLIT_SEED = 7
-REPLICATES = 5
+REPLICATES = 12
 
 # (line number, source column) -> (feature, factor, shift): value = source * factor + shift.
 MEASURES = {
@@ -45,6 +45,9 @@ MEASURES = {
     (5, "l_tax"): ("gfaz_area_mm2", 3.0, 0.2),
     (6, "l_quantity"): ("apoe_e4_count", 1.0, 0.0),
     (6, "l_tax"): ("ancestry_pc1", 30.0, -1.2),
+    (7, "l_quantity"): ("total_cholesterol_mg_dl", 2.5, 150.0),
+    (7, "l_discount"): ("fasting_glucose_mg_dl", 600.0, 80.0),
+    (7, "l_tax"): ("ancestry_pc1", 30.0, -1.2),
 }
 
 
@@ -82,7 +85,7 @@ def visits(spark: SparkSession, folder: str) -> DataFrame:
 def first_visits(spark: SparkSession, folder: str) -> DataFrame:
     """The earliest visit of every participant, in one hash aggregate."""
     o = table(spark, folder, "orders")
-    place = F.struct("o_orderdate", "o_orderkey")
+    place = place_of(F.unix_micros(F.col("o_orderdate").cast("timestamp")), F.col("o_orderkey"))
     return o.groupBy(F.col("o_custkey").cast("string").alias("participant_id")).agg(
         F.min_by("o_orderkey", place).cast("string").alias("visit_id"), F.lit(0).alias("visit_index")
     )
@@ -91,7 +94,7 @@ def first_visits(spark: SparkSession, folder: str) -> DataFrame:
 def outcome_visits(spark: SparkSession, folder: str) -> DataFrame:
     """Visits for outcome aggregates, with days since 1970 and the key as order within a day."""
     return table(spark, folder, "orders").select(
-        F.pmod("o_orderkey", F.lit(2_147_483_647)).cast("int").alias("visit_index"),
+        F.col("o_orderkey").alias("visit_index"),
         F.col("o_orderkey").cast("string").alias("visit_id"),
         F.col("o_custkey").cast("string").alias("participant_id"),
         F.unix_date(F.col("o_orderdate").cast("date")).alias("baseline_days"),
@@ -124,7 +127,7 @@ def features(spark: SparkSession, folder: str, cohorts: bool = True) -> DataFram
         F.concat_ws(
             "-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cell.source_variable"
         ).alias("feature_row_id"),
-        (F.col("l_partkey") * 10_000_000 + F.col("l_suppkey")).alias("sequence"),
+        F.expr("l_partkey * 100000000000000000000BD + l_suppkey * 10BD + l_linenumber").alias("sequence"),
         "participant_id",
         F.col("l_orderkey").cast("string").alias("visit_id"),
         "cell.modality",
@@ -261,9 +264,12 @@ def series(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def draw_sql(key: str, seed: str) -> str:
-    m = DRAW_MODULUS
-    a = f"((({key}) % {m} * 1103515245 + ({seed}) * 12345 + 6789) % {m})"
-    return f"(CAST(({a} * {a} + ({key}) % {m}) % {m} AS DOUBLE) / {m}.0)"
+    def part(m: int) -> str:
+        a = f"((({key}) % {m} * 1103515245 + ({seed}) * 12345 + 6789) % {m})"
+        return f"CAST(({a} * {a} + ({key}) % {m}) % {m} AS DOUBLE) / {m}.0"
+
+    parts = " + ".join(part(m) for m in DRAW_MODULI)
+    return f"(({parts}) - floor({parts}))"
 
 
 def case_sql(column: str, codes: dict, default: str | None = None) -> str:
@@ -341,7 +347,7 @@ CTES = {
         LEFT JOIN conversions c ON f.participant_id = c.participant_id""",
     "line_features": _feature_rows_sql(),
     "features": """SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, source_variable) AS feature_row_id,
-        l_partkey * 10000000 + l_suppkey AS sequence,
+        l_partkey::HUGEINT * 100000000000000000000::HUGEINT + l_suppkey::HUGEINT * 10 + l_linenumber AS sequence,
         CAST(o_custkey AS VARCHAR) AS participant_id, CAST(l_orderkey AS VARCHAR) AS visit_id, p.cohort,
         modality, feature_name, value, unit, source_variable
         FROM line_features JOIN orders ON l_orderkey = o_orderkey
@@ -402,6 +408,10 @@ NEEDS = {
 }
 
 
+#: Views that DuckDB must not merge into what reads them: together they are too large to plan well.
+MATERIALIZED = {"trajectories", "staffed"}
+
+
 def with_ctes(body: str, *names: str, people: str = "validation", extra: dict[str, str] | None = None) -> str:
     """``body`` behind the named views and everything they need, in order.
 
@@ -419,7 +429,7 @@ def with_ctes(body: str, *names: str, people: str = "validation", extra: dict[st
 
     for name in names:
         visit(name)
-    parts = [f"{n} AS ({texts[n]})" for n in ordered] + [f"{n} AS ({t})" for n, t in (extra or {}).items()]
+    parts = [f"{n} AS {'MATERIALIZED ' * (n in MATERIALIZED)}({texts[n]})" for n in ordered] + [f"{n} AS ({t})" for n, t in (extra or {}).items()]
     return "WITH " + ",\n".join(parts) + "\n" + body.strip()
 
 

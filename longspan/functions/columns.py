@@ -117,7 +117,8 @@ def dot(columns: Sequence[Column], weights: Sequence[float]) -> Column:
     return sum((c * F.lit(float(w)) for c, w in zip(columns, weights)), F.lit(0.0))
 
 
-DRAW_MODULUS = 2_147_483_647
+# Two primes: keys share a draw only if they agree modulo both, that is modulo their product near 2**62.
+DRAW_MODULI = (2_147_483_647, 2_147_483_629)
 
 
 def seeded_draw(key: Column | str, seed: int | Column = 0) -> Column:
@@ -125,18 +126,24 @@ def seeded_draw(key: Column | str, seed: int | Column = 0) -> Column:
 
     The draw depends on nothing but key and seed, so recomputed tasks repeat
     it, and any SQL engine can reproduce it. Squaring modulo a prime keeps
-    draws of neighbouring keys and seeds apart. ``seed`` may be a column, so
+    draws of neighbouring keys and seeds apart; two primes keep keys apart
+    that agree modulo one of them. ``seed`` may be a column, so
     that one row can yield one draw per replicate.
     """
 
     def whole(value: int) -> Column:
         return F.lit(value).cast("long")
 
-    m = whole(DRAW_MODULUS)
-    k = F.pmod(as_column(key).cast("long"), m)
     s = (F.lit(seed) if isinstance(seed, int) else seed).cast("long")
-    a = (k * whole(1_103_515_245) + s * whole(12_345) + whole(6_789)) % m
-    return ((a * a + k) % m).cast("double") / F.lit(float(DRAW_MODULUS))
+
+    def part(modulus: int) -> Column:
+        m = whole(modulus)
+        k = F.pmod(as_column(key).cast("long"), m)
+        a = (k * whole(1_103_515_245) + s * whole(12_345) + whole(6_789)) % m
+        return ((a * a + k) % m).cast("double") / F.lit(float(modulus))
+
+    total = part(DRAW_MODULI[0]) + part(DRAW_MODULI[1])
+    return total - F.floor(total)
 
 
 # Cumulative Poisson(1) probabilities P(X <= k), k = 0..7.

@@ -17,7 +17,7 @@ UNIT_CONVERSIONS = {
     ("UK Biobank", "hba1c_percent"): ("mmol/mol", 1.0 / 10.929, 2.15, "IFCC / 10.929 + 2.15 -> %"),
     ("OASIS", "rnfl_um"): ("mm", 1000.0, 0.0, "mm x 1000 -> um"),
 }
-PROVENANCE = "synthetic_demo_mapping_v1"
+PROVENANCE = "common_model_mapping_v1"
 
 
 def days_since_first(

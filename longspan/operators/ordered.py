@@ -131,7 +131,7 @@ def position_within(
     return (
         local.alias("l")
         .join(starts.alias("s"), condition)
-        .select(*[F.col(f"l.{c}") for c in df.columns], (F.col("__local") + F.col("__start")).cast("int").alias(out))
+        .select(*[F.col(f"l.{c}") for c in df.columns], (F.col("__local") + F.col("__start")).alias(out))
     )
 
 

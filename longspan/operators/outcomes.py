@@ -14,9 +14,17 @@ from longspan.sources import contracts
 STATES = ("cognitively_unimpaired", "mci", "dementia")
 
 
+def place_of(major: Column, minor: Column) -> Column:
+    """Two longs as one sortable decimal, a buffer that hash aggregates can hold; neither wraps.
+
+    ``major`` may have 18 digits; days and microseconds have fewer. ``minor`` is any non-negative long.
+    """
+    return major.cast("decimal(18,0)") * F.expr("10000000000000000000BD") + minor.cast("decimal(19,0)")
+
+
 def visit_place() -> Column:
-    """(baseline_days, visit_index) as one sortable long, which keeps the aggregate hash-based."""
-    return F.shiftleft(F.col("baseline_days").cast("long"), 32) + F.col("visit_index").cast("long")
+    """(baseline_days, visit_index) as one sortable value."""
+    return place_of(F.col("baseline_days"), F.col("visit_index"))
 
 
 def conversion_summary(visits: DataFrame, absolute: bool = False) -> DataFrame:

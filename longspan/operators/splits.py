@@ -16,7 +16,7 @@ def _draw(participant: str, seed: int, draw: Column | None) -> Column:
 def held_out_count(n: Column, fraction: Column | float) -> Column:
     """``max(1, round(n * fraction))`` with halves rounded to even."""
     fraction = F.lit(fraction) if isinstance(fraction, float) else fraction
-    return F.greatest(F.lit(1), F.bround(n * fraction).cast("int"))
+    return F.greatest(F.lit(1), F.bround(n * fraction).cast("long"))
 
 
 def subject_split(

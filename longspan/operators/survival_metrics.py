@@ -45,12 +45,12 @@ def concordance_index(
     )
     times = counts.select("__t").distinct().withColumn("__one", F.lit(1))
     numbered = running(times, "__t", {"__number": F.col("__one")}, exclusive=True, ranges=ranges).select("__t", "__number")
-    keyed = counts.join(numbered, "__t").withColumn("__number", F.col("__number").cast("int"))
-    top = numbered.agg(F.max("__number").cast("int")).scalar()
+    keyed = counts.join(numbered, "__t").withColumn("__number", F.col("__number").cast("long"))
+    top = numbered.agg(F.max("__number").cast("long")).scalar()
     last_bit = F.floor(F.log2(F.greatest(F.coalesce(top, F.lit(1)), F.lit(1)).cast("double"))).cast("int") + 1
     exploded = keyed.withColumn("__bit", F.explode(F.sequence(F.lit(0), last_bit)))
-    half = F.expr("(__number div shiftleft(1, __bit)) % 2")
-    block = F.expr("__number div shiftleft(2, __bit)")
+    half = F.expr("(__number div shiftleft(1L, __bit)) % 2")
+    block = F.expr("__number div shiftleft(2L, __bit)")
     cells = (
         exploded.select(*by, "__bit", block.alias("__block"), half.alias("__half"), "__risk", "__all", "__events")
         .where((F.col("__half") == 1) | (F.col("__events") > 0))

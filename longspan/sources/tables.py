@@ -9,9 +9,7 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from longspan.functions.columns import null_if_nan
 from longspan.sources import contracts
 
 TABLES = ("participants", "visits", "modality_features", "outcomes")
@@ -67,27 +65,19 @@ def read_common_model(
     Columns outside the contract pass through as text (CSV) or as stored
     (Parquet). ``cohort`` relabels the cohort column.
     """
-    found = contracts.load_contract(contract)
-    frames = {}
+    raw = {}
     for table in TABLES:
-        path = f"{folder.rstrip('/')}/{table}.{fmt}"
-        if fmt == "csv":
-            raw = _scan(spark, path, f"{table}.{fmt}", lambda p: spark.read.option("header", True).csv(p))
-        else:
-            raw = _scan(spark, path, f"{table}.{fmt}", lambda p: spark.read.format(fmt).load(p))
-        contracts.require_columns(table, raw.columns, contract)
-        typed = []
-        for name in raw.columns:
-            kind = found[table].spark_type(name)
-            column = F.col(f"`{name}`")
-            if kind is not None:
-                column = column.try_cast(kind)
-                if isinstance(kind, T.DoubleType):
-                    column = null_if_nan(column)
-            if name == "cohort" and cohort is not None:
-                column = F.lit(cohort)
-            typed.append(column.alias(name))
-        frames[table] = raw.select(*typed)
+        name = f"{table}.{fmt}"
+        reader = spark.read.option("header", True) if fmt == "csv" else spark.read
+        raw[table] = _scan(spark, f"{folder.rstrip('/')}/{name}", name, lambda path: reader.format(fmt).load(path))
+    return common_model(raw, cohort, contract)
+
+
+def common_model(raw: Mapping[str, DataFrame], cohort: str | None = None, contract: str | None = None) -> CohortTables:
+    """The four tables from DataFrames of any origin, checked and typed by the contract."""
+    contracts.check_tables(raw, contract)
+    schemas = contracts.contract_schemas(contract)
+    frames = {table: contracts.typed(raw[table], schemas[table], cohort) for table in TABLES}
     return CohortTables(**frames)
 
 

@@ -11,11 +11,12 @@ from longspan.sources import contracts, sinks, tables
 
 
 def test_required_columns():
-    with pytest.raises(ValueError, match="cohort"):
-        contracts.require_columns("participants", ["participant_id"])
-    with pytest.raises(KeyError):
-        contracts.require_columns("nothing", [])
-    schema = contracts.load_contract()["visits"].struct_type()
+    given = {"participants": ["participant_id"], "visits": ["visit_id", "participant_id", "cohort", "visit_index", "age_at_visit"], "nothing": []}
+    assert contracts.schema_gaps(given) == {"participants": ["cohort"], "nothing": ["*"]}
+    with pytest.raises(ValueError, match=r"participants \(cohort\); nothing"):
+        contracts.check_tables(given)
+    schema = contracts.contract_schemas()["visits"]
+    assert [f.name for f in schema if f.metadata["key"]] == ["visit_id"]
     assert schema["visit_index"].dataType.simpleString() == "int"
     assert not schema["visit_id"].nullable and schema["visit_date"].nullable
 

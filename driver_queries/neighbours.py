@@ -105,15 +105,14 @@ def _query(people, metric: str):
 
 
 def _near_query(name: str, items: str, metric: str) -> None:
-    # Distances only: participants with equal coordinates may swap places.
     @query(
         name,
         items,
-        with_ctes("SELECT query_id, rank, distance FROM near", "train", "staffed", extra=_space_ctes(metric)),
+        with_ctes("SELECT query_id, participant_id, rank, distance FROM near", "train", "staffed", extra=_space_ctes(metric)),
         "distance",
     )
     def _run(spark, folder):
-        return _query(_people(spark, folder), metric).select("query_id", "rank", "distance")
+        return _query(_people(spark, folder), metric).select("query_id", "participant_id", "rank", "distance")
 
 
 _near_query("nearest_participants", "N1, N2, N5", "euclidean")

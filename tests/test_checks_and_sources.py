@@ -5,6 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from longspan.functions.columns import seeded_draw
 from longspan.operators import checks, common_model, modality, outcomes, splits
 from longspan.operators.ordered import exact_quantiles, position_within, running
 from longspan.sources import contracts, sinks, tables
@@ -201,3 +202,25 @@ def test_native_files(spark, tmp_path):
     assert back.participants.select("cohort").distinct().collect()[0][0] == "tlsa"
     dates = {r.visit_id: r.visit_date for r in back.visits.collect()}
     assert dates["ADNI-0012-V0"] == datetime.date(2005, 9, 8)
+
+
+def test_keys_beyond_31_bits(spark):
+    big = 2**31 - 1
+    rows = [("p", 10, big + 5, "mci"), ("p", 10, 3, "cognitively_unimpaired"), ("p", 400, 2**40, "dementia")]
+    visits = spark.createDataFrame(rows, "participant_id string, baseline_days int, visit_index long, diagnosis string")
+    visits = visits.withColumn("visit_id", F.col("visit_index").cast("string"))
+    got = outcomes.conversion_summary(visits).first()
+    assert (got.base_diagnosis, got.first_visit_id, got.conversion_days) == ("cognitively_unimpaired", "3", 10)
+    keys = spark.createDataFrame([(7,), (7 + big,), (7 + 5 * big,)], "k long")
+    assert keys.select(seeded_draw("k", 3)).distinct().count() == 3
+
+
+def test_common_model_from_any_tables(spark):
+    text = lambda *columns: spark.createDataFrame([tuple("NaN" if c == "value" else "7" for c in columns)], list(columns))
+    raw = {name: text(*[f.name for f in schema if f.metadata["required"]], "more") for name, schema in contracts.contract_schemas().items()}
+    found = tables.common_model(raw, cohort="x")
+    assert found.visits.first().visit_index == 7 and found.visits.first().more == "7"
+    row = found.modality_features.first()
+    assert row.value is None and row.cohort == "x"
+    with pytest.raises(ValueError, match="visits"):
+        tables.common_model({**raw, "visits": raw["visits"].drop("visit_index")})

@@ -14,7 +14,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 QUICK = (
     "progression_outcomes", "visit_file_visits", "two_file_visits", "non_monotonic_visits", "split_overlaps",
     "kaplan_meier_by_cohort", "concordance_index", "binary_metrics", "delong_components", "interpolated_series",
-    "nearest_vectors", "quantile_bins_tied", "reliability", "late_fusion",
+    "nearest_vectors", "quantile_bins_tied", "reliability", "late_fusion", "training_pairs", "batch_risk",
+    "contract_typed_visits", "contract_typed_measurements", "nearest_participants", "participant_warnings", "bootstrap_weights",
 )
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables absent")

@@ -6,8 +6,8 @@ tokens / rate, so that every cell's probability rate * weight / tokens is at mos
 cuts off is made up by the other cells of the margin in later rounds. Documents are then
 drawn with their cell's probability by a seeded hash of their id.
 
-Cells and margins are tables; a round is three groupings with map-side sums and joins with margin
-tables, and only its largest deviation reaches the driver. A source of a third of all rows is
+Cells and margins are tables; a round is three groupings with map-side sums, each joined back to the
+cells, and only its largest deviation reaches the driver. A source of a third of all rows is
 one row per task after the first sum.
 
 Tokens are words. Targets are tables (value, share). Values without a target keep their observed
@@ -86,24 +86,27 @@ def shares(cells: DataFrame, name: str, targets: DataFrame) -> DataFrame:
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rate: float, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """``cells`` (margins as keys, tokens > 0) with ``weight``, whose margin sums meet the targets."""
-    goals = {name: cut_lineage(shares(cells, name, table)) for name, table in targets.items()}
     weighted = cells.withColumn("weight", F.least(F.col("tokens").cast("double"), F.col("tokens") / rate))
+    for name, table in targets.items():
+        weighted = weighted.join(shares(cells, name, table), name)
+    goals = [f"{name}_goal" for name in targets]
+    weighted = cut_lineage(weighted.withColumn("deviation", F.lit(0.0)))
     for _ in range(rounds):
-        deviation = F.lit(0.0)
-        for name, goal in goals.items():
+        weighted = weighted.withColumn("deviation", F.lit(0.0))
+        for name in targets:
             sums = weighted.groupBy(name).agg(F.sum("weight").alias("now"))
-            factor = sums.join(goal, name).select(name, (F.col(f"{name}_goal") / F.col("now")).alias(f"{name}_factor"))
-            weighted = weighted.join(factor, name)
-            deviation = F.greatest(deviation, F.abs(F.col(f"{name}_factor") - 1))
-            scaled = F.least(F.col("weight") * F.col(f"{name}_factor"), F.col("tokens") / rate)
-            weighted = weighted.withColumn("weight", scaled)
-        # A round's plan is long and the next reads it four times, so it becomes a table.
-        done = cut_lineage(weighted.withColumn("deviation", deviation))
-        largest = done.agg(F.max("deviation")).first()[0]
-        weighted = done.select(*cells.columns, "weight")
+            factor = F.col(f"{name}_goal") / F.col("now")
+            # Each step reads the weights twice, so it becomes a table: chained, the plan would double each time.
+            weighted = cut_lineage(
+                weighted.join(sums, name).select(
+                    *cells.columns, *goals, F.least(F.col("weight") * factor, F.col("tokens") / rate).alias("weight"),
+                    F.greatest("deviation", F.abs(factor - 1)).alias("deviation"),
+                )
+            )
+        largest = weighted.agg(F.max("deviation")).first()[0]
         if largest is None or largest <= tolerance:
             break
-    return weighted
+    return weighted.select(*cells.columns, "weight")
 
 
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rate: float = RATE, seed: int = SEED) -> DataFrame:

@@ -31,6 +31,7 @@ from longspan.llm.html_text import main_text
 from longspan.session import cut_lineage
 
 SLOTS = 1 << 16
+PART = 500_000
 ORDERS = (1, 2, 3)
 STRENGTH = 5.0
 RELIABILITY = 1.0
@@ -60,11 +61,25 @@ def _counted(batches):  # type: ignore[no-untyped-def]
         for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
             by.setdefault(lang, []).append(text)
         for lang, texts in by.items():
-            found = np.bincount(gram_slots("\n".join(texts)), minlength=SLOTS)
-            counts[lang] = counts[lang] + found if lang in counts else found
+            own = counts.setdefault(lang, np.zeros(SLOTS, np.int64))
+            for part in _parts(texts):
+                own += np.bincount(gram_slots(part), minlength=SLOTS)
     yield pa.RecordBatch.from_pydict({"counts": pa.array([_packed(counts)], pa.binary())})
 
 
+def _parts(texts: list[str]):  # type: ignore[no-untyped-def]
+    """Texts joined to parts of about PART characters, which bounds the arrays over them."""
+    waiting, size = [], 0
+    for text in texts:
+        waiting.append(text)
+        size += len(text)
+        if size >= PART:
+            yield "\n".join(waiting)
+            waiting, size = [], 0
+    if waiting:
+        yield "\n".join(waiting)
+
+
 def _packed(counts: dict[str, np.ndarray]) -> bytes:
     return pickle.dumps(counts)
 
@@ -96,16 +111,14 @@ class TextModel:
 
 def fit_text_model(documents: DataFrame) -> TextModel:
     """From all rows with a language and a text."""
-    rows = (
-        documents.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-        .where("lang IS NOT NULL AND text IS NOT NULL")
-        .mapInArrow(_counted, "counts binary")
-        .rdd.map(lambda r: bytes(r.counts))
-    )
+    labelled = documents.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    # A table, so that adding up never reads the texts again.
+    tables = cut_lineage(labelled.where("lang IS NOT NULL AND text IS NOT NULL").mapInArrow(_counted, "counts binary"))
+    rows = tables.rdd.map(lambda r: bytes(r.counts))
     parts, depth = rows.getNumPartitions(), 2
     while 16**depth < parts:
         depth += 1
-    return TextModel(pickle.loads(rows.treeReduce(_added, depth)) if parts else {})
+    return TextModel(pickle.loads(rows.treeAggregate(_packed({}), _added, _added, depth)))
 
 
 def _text_evidence(model: TextModel):  # type: ignore[no-untyped-def]

@@ -63,7 +63,7 @@ def frequent_lengths(docs: DataFrame, path: str) -> dict[str, int]:
     parts, depth = rows.getNumPartitions(), 2
     while 16**depth < parts:
         depth += 1
-    merged = rows.treeReduce(_merged, depth) if parts else pickle.dumps({})
+    merged = rows.treeAggregate(pickle.dumps({}), _merged, _merged, depth)
     lengths = encoder(path).counts
     return {piece: lengths[piece] for piece in pickle.loads(merged)}
 

@@ -4,7 +4,9 @@ A code's bits are cut into segments, and (segment, value) -> codes is the index.
 at most s * (r + 1) - 1 bits over s segments, some segment differs in at most r bits. So after all
 segment values within radius r have been probed, every code up to that distance has been seen, and
 a query is finished once its k-th verified distance is within it. Radii grow one by one; each
-round only takes the queries that are not finished, and probes only the values at that exact radius. The
+round only takes the queries that are not finished, and probes only the values at that exact radius. With
+radius r in its first j segments and r - 1 in the others a query is covered up to s * r + j - 1, so a
+query that has k neighbours probes no more segments than its k-th distance asks for. The
 values come from a table of bit masks, whose size depends on the segment width and radius only.
 
 The index holds distinct codes, each with its number of rows and its k smallest ids, so any number of
@@ -74,29 +76,35 @@ def top_k_codes(codes: DataFrame, queries: DataFrame, k: int = K, bits: int = BI
         )
     ).alias("part")
     index = cut_lineage(entries.select("code", values).select("code", "part.*"))
-    asked = cut_lineage(queries.select(F.col("id").alias("query_id"), F.col("code").alias("query_code")))
+    parts = len(segments)
+    asked = cut_lineage(
+        queries.select(F.col("id").alias("query_id"), F.col("code").alias("query_code"), F.lit(parts).alias("need"))
+    )
     found = spark.createDataFrame([], "query_id long, query_code long, code long, distance int")
     answers = None
     for radius in range(1 + max(width for _, width in segments)):
         masks = spark.createDataFrame(
             [(i, mask) for i, (_, width) in enumerate(segments) for mask in _masks(width, radius)], "segment int, mask long"
         )
-        own = asked.withColumnRenamed("query_code", "code").select("query_id", F.col("code").alias("query_code"), values)
-        probes = own.select("query_id", "query_code", "part.*").join(F.broadcast(masks), "segment").select(
+        own = asked.withColumnRenamed("query_code", "code").select("query_id", "need", F.col("code").alias("query_code"), values)
+        probes = own.where("part.segment < need").select("query_id", "query_code", "part.*").join(F.broadcast(masks), "segment").select(
             "query_id", "query_code", "segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value")
         )
         fresh = probes.join(index, ["segment", "value"]).select("query_id", "query_code", "code").distinct()
         verified = fresh.withColumn("distance", F.bit_count(F.col("query_code").bitwiseXOR(F.col("code"))))
         reached = cut_lineage(_nearest(found.unionByName(verified).distinct().join(entries, "code"), k))
-        covered = len(segments) * (radius + 1) - 1
         per_query = reached.groupBy("query_id").agg(F.count("*").alias("n"), F.max("distance").alias("farthest"))
-        done = per_query.where((F.col("n") >= k) & (F.col("farthest") <= covered)).select("query_id")
+        state = cut_lineage(asked.join(per_query, "query_id", "left"))
+        covered = F.lit(parts * radius - 1) + F.col("need")
+        done = state.where((F.col("n") >= k) & (F.col("farthest") <= covered)).select("query_id")
         last = radius == max(width for _, width in segments)
         finished = reached if last else reached.join(done, "query_id", "left_semi")
         answers = finished if answers is None else answers.unionByName(finished)
         if last:
             break
-        asked = cut_lineage(asked.join(done, "query_id", "left_anti"))
+        wanted = F.least(F.col("farthest") - F.lit(parts * (radius + 1) - 1), F.lit(parts))
+        need = F.when(F.col("n") >= k, wanted).otherwise(F.lit(parts)).cast("int")
+        asked = cut_lineage(state.join(done, "query_id", "left_anti").select("query_id", "query_code", need.alias("need")))
         found = reached.join(done, "query_id", "left_anti").select("query_id", "query_code", "code", "distance").distinct()
         if asked.isEmpty():
             break

@@ -32,10 +32,9 @@ def components(links: DataFrame) -> DataFrame:
     """
     links = cut_lineage(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
-        targets = links.select(F.col("b").alias("a")).distinct()
-        moving = links.join(targets, "a", "left_semi").limit(1).unionByName(
-            links.groupBy("a").agg(F.count("*").alias("b")).where("b > 1").limit(1)
-        )
-        if moving.isEmpty():
+        ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up")))).alias("x"))
+        ups = ends.select("x.*").groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("n"))
+        # Done when a node either points up once and is pointed at by none, or only is pointed at.
+        if ups.where("up > 1 OR (up = 1 AND n > 1)").isEmpty():
             return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
         links = cut_lineage(_stars(_stars(links, True), False))

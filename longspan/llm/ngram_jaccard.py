@@ -21,8 +21,8 @@ The tree's upper levels are laid out by a shuffle, its lower ones inside tasks:
    node), and traversed in pairs. Pairs in one component are cut too. Nodes of many documents are
    traversed as pairs of blocks in tasks of their own.
 5. Surviving pairs are checked exactly on whole texts, the most promising of each document first. Their
-   links join components, which cuts most of the others, and steps 4 and 5 repeat with four times as
-   many pairs to a document until a traversal leaves no pair unchecked.
+   links join components, which cuts most of the others, and steps 4 and 5 repeat with sixteen times
+   as many pairs to a document until a traversal leaves no pair unchecked.
 
 Sets are held as 64-bit hashes of the n-grams. Defined results: NULL, empty and blank texts have an
 empty set and link with nothing. Texts of fewer words than n have one token, the whole sequence. Rows
@@ -341,7 +341,8 @@ def _members(met: DataFrame) -> DataFrame:
 
 def _candidates(members: DataFrame, labels: DataFrame, texts: DataFrame, n: int, percent: int, each: int) -> DataFrame:
     """Pairs (a, b, more) of different components that a dual traversal of their node's trees leaves."""
-    labelled = members.join(labels, F.col("doc") == F.col("label_node"), "left").select(
+    known = labels.select(F.col("node").alias("label_node"), "component")
+    labelled = members.join(known, F.col("doc") == F.col("label_node"), "left").select(
         "node", "doc", "blocks", F.coalesce("component", "doc").alias("component")
     )
     open_nodes = labelled.groupBy("node").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("node")
@@ -378,19 +379,21 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
     texts = cut_lineage(source.join(used, "doc_id", "left_semi"))
     shared_nodes = met.groupBy("doc", "first").agg(F.count("*").alias("n"))
     nearest = shared_nodes.groupBy("doc").agg(F.max("n").alias("n")).join(shared_nodes, ["doc", "n"]).groupBy("doc").agg(F.min("first").alias("b")).select(F.col("doc").alias("a"), "b")
-    links = cut_lineage(checked(nearest, texts, n, percent))
+    # Rows that share an id tie their sets' copies together as links do.
+    shared = sets.where("digest IS NOT NULL").join(copies, "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    final = components(checked(nearest, texts, n, percent).unionByName(shared))
     members = cut_lineage(_members(met))
     each = 1
     while True:
-        labels = components(links).select(F.col("node").alias("label_node"), "component")
-        left = cut_lineage(_candidates(members, labels, texts, n, percent, each))
-        links = links.unionByName(cut_lineage(checked(left.select("a", "b").distinct(), texts, n, percent)))
-        if left.where("more").isEmpty():
+        left = cut_lineage(_candidates(members, final, texts, n, percent, each))
+        left_over = left.agg(F.count("*").alias("pairs"), F.max("more").alias("more")).first()
+        if left_over.pairs:
+            # Known components stay as stars, so only the new links are worked in.
+            new = checked(left.select("a", "b").distinct(), texts, n, percent)
+            final = components(final.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new))
+        if not left_over.more:
             break
-        each *= 4
-    # Rows that share an id tie their sets' copies together as links do.
-    shared = sets.where("digest IS NOT NULL").join(copies, "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    final = components(links.unionByName(shared))
+        each *= 16
     out = sets.join(final, F.col("doc_id") == F.col("node"), "left")
     ids = lambda c: F.nullif(c, F.lit(MAX_ID))
     return out.select(

@@ -14,8 +14,8 @@ Tokens are words. Targets are tables (value, share). Values without a target kee
 share, targets without documents are left out, and the shares of a margin are scaled to sum to 1.
 NULL is a value like any other. Defined results: texts without words have weight 0 and
 probability ``rate``. Rows with equal ids are drawn alike. An empty table gives an empty result; other
-columns are ignored. Targets that the cells cannot meet together end after ROUNDS rounds with the
-weights reached.
+columns are ignored. Targets that the cells cannot meet together end with the weights
+reached when a round hardly lowers the largest deviation any more, or after ROUNDS rounds.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ MARGINS = ("source", "lang", "topic")
 RATE = 0.6
 ROUNDS = 40
 TOLERANCE = 1e-3
+STALL = 0.99
 SEED = 20
 # The production mix. Sources and topics follow tokens ** POWER, which lifts small ones.
 LANGUAGES = {"en": 0.58, "de": 0.15, "fr": 0.15, "es": 0.12}
@@ -91,6 +92,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rate: float, rounds: i
         weighted = weighted.join(shares(cells, name, table), name)
     goals = [f"{name}_goal" for name in targets]
     weighted = cut_lineage(weighted.withColumn("deviation", F.lit(0.0)))
+    before = float("inf")
     for _ in range(rounds):
         weighted = weighted.withColumn("deviation", F.lit(0.0))
         for name in targets:
@@ -104,8 +106,9 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rate: float, rounds: i
                 )
             )
         largest = weighted.agg(F.max("deviation")).first()[0]
-        if largest is None or largest <= tolerance:
+        if largest is None or largest <= tolerance or largest > STALL * before:
             break
+        before = largest
     return weighted.select(*cells.columns, "weight")
 
 

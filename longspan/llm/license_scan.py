@@ -1,12 +1,14 @@
 """License scan by conditional compression.
 
 A template that occurs in a block makes the block nearly free to compress when the template is the
-compressor's dictionary. Candidate blocks are the words around words that license texts use; each is
-compressed plainly and with every template as a zstandard raw dictionary. Templates are ranked by
-the bytes saved, and those that save at least a fourth (SAVED) of what the template itself costs are
-confirmed by their exact wording: the block's and the template's words are aligned, and the match stands if at
-most a tenth of the template's words are missing or have words put between them, and none of its
-names, numbers and versions is missing.
+compressor's dictionary. Candidate blocks are the words around words that license texts use, and
+pieces of them that overlap by more than a template; each piece is compressed plainly and with every
+template as a zstandard raw dictionary, by the same parameters. Templates that save at least a fourth
+(SAVED) of what the template itself costs, or whose words the piece has, are confirmed by their exact
+wording: the piece's and the template's words are aligned, and the match stands if at most a tenth of
+the template's words are missing or have words put between them, and none of its names, numbers and
+versions is missing. So no place of that wording is lost to the noise of compression. Templates that
+claim one place are ranked by the bytes they save there.
 
 Defined results: NULL and empty texts, and texts without a candidate block, have an empty list. Texts
 are scanned whole. A license is reported once per place. Rows keep their ids, also NULL or repeated
@@ -16,6 +18,7 @@ ones; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -59,12 +62,17 @@ WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
 TOLERANCE = 10
 SAVED = 4
 LEVEL = 3
+# A piece owns the places that begin in PIECE words; it has the words that these and their rivals can reach besides.
+PIECE = 128
+# For compression only: no template's word is longer, and a piece stays below the window.
+WORD_CHARS = 32
+WINDOW_LOG = 15
 
 _MATCHES = "array<struct<license:string,template:int,start:int,end:int,saved_bytes:int,missing_words:int,extra_words:int>>"
 
 
 def _plain(words: list[str]) -> bytes:
-    return " ".join(words).encode("utf-8", "surrogatepass")
+    return " ".join([w[:WORD_CHARS] for w in words]).encode("utf-8", "surrogatepass")
 
 
 class _Template:
@@ -78,11 +86,19 @@ class _Template:
         # The block is packed with a space on both sides, so that its words meet the template's as they stand there.
         self.packer = _packer(zstandard.ZstdCompressionDict(b" " + content + b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT))
         self.cost = len(_packer(None).compress(content))
+        self.counts = Counter(self.words)
+
+    def may_stand_in(self, counts: Counter[str]) -> bool:
+        """Whether the piece has as many of the template's words as a confirmed place needs."""
+        return sum(max(0, n - counts[w]) for w, n in self.counts.items()) <= len(self.words) * TOLERANCE // 100
 
 
 def _packer(dictionary: zstandard.ZstdCompressionDict | None) -> zstandard.ZstdCompressor:
-    options = {"level": LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
-    return zstandard.ZstdCompressor(dict_data=dictionary, **options) if dictionary else zstandard.ZstdCompressor(**options)
+    # Sizes are given, as else the library takes other parameters with a small dictionary than without one.
+    parameters = zstandard.ZstdCompressionParameters.from_level(
+        LEVEL, source_size=1 << WINDOW_LOG, window_log=WINDOW_LOG, write_content_size=False, write_checksum=False, write_dict_id=False
+    )
+    return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=parameters) if dictionary else zstandard.ZstdCompressor(compression_params=parameters)
 
 
 @lru_cache(maxsize=2)
@@ -111,6 +127,13 @@ def candidate_blocks(text: str, reach: int) -> list[tuple[int, list[str]]]:
     return [(first, [low[a:b] if len(low) == len(text) else text[a:b].lower() for a, b in spans[first:end]]) for first, end in blocks]
 
 
+def pieces(words: list[str], reach: int) -> list[tuple[int, int, int, int]]:
+    """(first, end, own first, own end) of a block's pieces; the own parts are disjoint and cover it."""
+    if len(words) <= PIECE + 3 * reach:
+        return [(0, len(words), 0, len(words))]
+    return [(max(0, a - reach), min(len(words), a + PIECE + 2 * reach), a, min(len(words), a + PIECE)) for a in range(0, len(words), PIECE)]
+
+
 def wording(template: _Template, words: list[str]) -> list[tuple[int, int, int, int]]:
     """(first, end, missing, extra) of each confirmed place of the template in the block."""
     found, begin = [], 0
@@ -136,27 +159,42 @@ def wording(template: _Template, words: list[str]) -> list[tuple[int, int, int,
 def scan(text: str | None, table: tuple[tuple[str, str], ...] = TEMPLATES) -> list[dict]:
     """Confirmed licenses of one text in order of place; of several templates for one place the one that saves most."""
     templates, plain, longest = _templates(table)
+    reach = longest + longest * TOLERANCE // 100
+    empty = len(plain.compress(b""))
     out: list[dict] = []
-    for first, words in candidate_blocks(text or "", longest + longest * TOLERANCE // 100):
-        block = b" " + _plain(words) + b" "
-        size = len(plain.compress(block))
-        ranked = sorted(((size - len(t.packer.compress(block)), -i) for i, t in enumerate(templates)), reverse=True)
-        taken: list[tuple[int, int]] = []
-        for saved, i in ranked:
-            template = templates[-i]
-            if SAVED * saved < template.cost - len(plain.compress(b"")):
-                continue
-            for start, end, missing, extra in wording(template, words):
+    for first, block in candidate_blocks(text or "", reach):
+        for begin, stop, own, own_end in pieces(block, reach):
+            words = block[begin:stop]
+            packed = b" " + _plain(words) + b" "
+            size, counts = len(plain.compress(packed)), Counter(words)
+            found = []
+            for i, template in enumerate(templates):
+                saved = size - len(template.packer.compress(packed))
+                if SAVED * saved < template.cost - empty and not template.may_stand_in(counts):
+                    continue
+                for start, end, missing, extra in wording(template, words):
+                    place = b" " + _plain(words[start:end]) + b" "
+                    here = len(plain.compress(place)) - len(template.packer.compress(place))
+                    found.append((-here, i, start, end, saved, missing, extra))
+            taken: list[tuple[int, int]] = []
+            for _, i, start, end, saved, missing, extra in sorted(found):
                 if any(start < b and a < end for a, b in taken):
                     continue
                 taken.append((start, end))
-                out.append(
-                    {
-                        "license": template.license_id, "template": -i, "start": first + start, "end": first + end,
-                        "saved_bytes": saved, "missing_words": missing, "extra_words": extra,
-                    }
-                )
-    return sorted(out, key=lambda m: m["start"])
+                # What begins elsewhere is the neighbour's, which sees it whole.
+                if own <= begin + start < own_end:
+                    out.append(
+                        {
+                            "license": templates[i].license_id, "template": i, "start": first + begin + start, "end": first + begin + end,
+                            "saved_bytes": saved, "missing_words": missing, "extra_words": extra,
+                        }
+                    )
+    kept: list[dict] = []
+    for match in sorted(out, key=lambda m: m["start"]):
+        # Two pieces may rank rivals for one place differently; the earlier place stands.
+        if not kept or kept[-1]["end"] <= match["start"]:
+            kept.append(match)
+    return kept
 
 
 def scan_licenses(docs: DataFrame, table: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:

@@ -12,7 +12,7 @@ from longspan.llm.binary_search import search_embeddings, segments_for
 from longspan.llm.components import components
 from longspan.llm.html_text import extract_text, main_text
 from longspan.llm.language_id import identify_languages
-from longspan.llm.license_scan import TEMPLATES, scan, scan_licenses
+from longspan.llm.license_scan import TEMPLATES, WORD, scan, scan_licenses
 from longspan.llm.mixing import mix, rake
 
 PAGE = """<!DOCTYPE html><html lang="en"><head><title>T</title><style>p{{}}</style><script>var t="</p><p>no";</script></head><body>
@@ -147,6 +147,28 @@ def test_wording_decides():
     assert [m["license"] for m in scan("licensed UNDER the   gnu general\npublic license (version 3)")] == ["GPL-3.0"]
 
 
+def test_licenses_in_long_blocks():
+    rng = random.Random(3)
+    noise = lambda n: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 10))) for _ in range(n)]
+    notice = "Licensed under the MIT License.".split()
+    listed = [w for _ in range(1200) for w in noise(12) + notice]
+    assert len(" ".join(listed)) > 100_000
+    assert [(m["license"], m["start"]) for m in scan(" ".join(listed))] == [("MIT", 12 + 17 * i) for i in range(1200)]
+    dense = [w for _ in range(3000) for w in [*noise(5), "permission"]]
+    for license_id, template in TEMPLATES:
+        at = rng.randrange(len(dense))
+        found = scan(" ".join(dense[:at] + [template] + dense[at:]))
+        # A place may begin at an anchor close before, as a tenth of extra words is allowed.
+        assert [(m["license"], m["end"], m["missing_words"]) for m in found] == [(license_id, at + len(WORD.findall(template)), 0)]
+    mixed, expected, words = [], [], 0
+    for license_id, template in (rng.choice(TEMPLATES) for _ in range(600)):
+        mixed += [*noise(12), template]
+        expected.append((license_id, words + 12))
+        words += 12 + len(WORD.findall(template))
+    assert [(m["license"], m["start"]) for m in scan(" ".join(mixed))] == expected
+    assert scan("x" * 300_000 + " license " + "y" * 300_000 + " " + " ".join(notice))[0]["license"] == "MIT"
+
+
 def test_license_table(spark, documents):
     long_text = "word " * 50_000 + "Released under the MIT License. " + "word " * 50_000
     rows = [(1, None), (2, ""), (3, long_text), (3, long_text), (None, "Licensed under CC BY 4.0."), (4, "no license")]

@@ -253,6 +253,30 @@ def test_pipeline_stages(spark, tmp_path):
         assert stage(spark, empty, str(tmp_path)).count() == 0, name
 
 
+def test_pipeline_near_copies(spark, documents):
+    """Brute force at five words and 0.8, with pairs just above and below."""
+    rng = random.Random(12)
+    shape = lambda words: {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+    texts = []
+    # An edit amid 300 words changes five of 296 shingles: 266 / 326 = 0.816 after six, 261 / 331 = 0.789 after seven.
+    for edits in (5, 6, 7, 8, 6, 7):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        copy = list(base)
+        for k in range(edits):
+            copy[20 + 30 * k] = f"n{rng.randrange(10**6)}"
+        texts += [base, copy]
+    sets = [shape(t) for t in texts]
+    first = list(range(len(texts)))
+    for i in range(len(texts)):
+        for k in range(i):
+            if 5 * len(sets[i] & sets[k]) >= 4 * len(sets[i] | sets[k]):
+                first[i] = min(first[i], first[k])
+    expected = {i for i, f in enumerate(first) if i == f}
+    assert expected == set(range(len(texts))) - {1, 3, 9}
+    docs = documents([(i, " ".join(t)) for i, t in enumerate(texts)])
+    assert {r.doc_id for r in corpus_pipeline.one_of_near_copies(spark, docs, "").collect()} == expected
+
+
 def test_registered_names():
     assert {int(name[2:].split("_")[0]) for name in queries.QUERIES} == set(range(1, 11))
     assert corpus_pipeline.ORACLE_SQL is None

@@ -13,7 +13,7 @@ from longspan.llm.components import components
 from longspan.llm.html_text import extract_text, main_text
 from longspan.llm.language_id import identify_languages
 from longspan.llm.license_scan import TEMPLATES, WORD, scan, scan_licenses
-from longspan.llm.mixing import mix, rake
+from longspan.llm.mixing import mix, rake, unmet
 
 PAGE = """<!DOCTYPE html><html lang="en"><head><title>T</title><style>p{{}}</style><script>var t="</p><p>no";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href="/a">menu one</a><li><a href="/b">menu two</a></ul></nav>
@@ -197,6 +197,24 @@ def test_raking_equals_plain_fitting(spark):
         assert w == pytest.approx(weight[int(s[1]), int(lang[1]), int(t[1])], rel=1e-6)
 
 
+def test_raking_goes_on_beside_unreachable_values(spark):
+    """A tiny source can never reach its goal; the others, tied 9:1 to languages, still meet theirs."""
+    tokens = np.array([[450_000, 50_000], [50_000, 450_000], [50, 50]])
+    goals = {"source": [0.55, 0.44975, 0.00025], "lang": [0.5, 0.5]}
+    cells = [("=" + "abt"[i], "=" + "xy"[j], int(tokens[i, j])) for i in range(3) for j in range(2)]
+    names = {"source": "abt", "lang": "xy"}
+    tables = {m: spark.createDataFrame(list(zip(names[m], v, strict=True)), "value string, share double") for m, v in goals.items()}
+    got = rake(spark.createDataFrame(cells, "source string, lang string, tokens long"), tables, rate=0.6).cache()
+    rows = got.collect()
+    assert all(r.weight <= r.tokens / 0.6 * (1 + 1e-9) for r in rows)
+    for margin, values in names.items():
+        for value, share in zip(values, goals[margin], strict=True):
+            if value != "t":
+                reached = sum(r.weight for r in rows if r[margin] == "=" + value)
+                assert reached == pytest.approx(share * tokens.sum(), rel=2e-3)
+    assert [(r.margin, r.value) for r in unmet(got, list(goals), 2e-3).collect()] == [("source", "=t")]
+
+
 def test_mixing_draws_by_probability(spark):
     rng = random.Random(8)
     rows = [(i, " ".join(["w"] * rng.randrange(50, 300)), rng.choice(["en", "de", None]), "big" if i % 3 else f"s{i % 5}") for i in range(3000)]

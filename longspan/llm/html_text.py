@@ -9,6 +9,11 @@ threshold (whose own ratio is at least 1/OWN of it) form the content clusters. C
 candidate lines, so that a short heading or paragraph inside an article stays. If a page marks
 articles, only these can be chosen.
 
+A class or id is weaker evidence than an element or role: names such as has-sidebar or sidebar-wrap
+mark nothing, and a mark around a main element, or around the page's only articles, is lifted, unless
+more text stands outside. Marks of comments and related pages hold articles of others, and are lifted
+only where no other text is. End tags that HTML lets authors omit are supplied.
+
 Threshold: the standard deviation of the smoothed ratios, but no more than their maximum, so that a
 page with any candidate has a cluster.
 
@@ -48,10 +53,36 @@ BOILERPLATE_NAMES = frozenset(
     " disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted"
     " related replies respond share sharing sidebar signup skyscraper social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+#: Names with one of these words tell of a layout, not of the element's own role.
+LAYOUT_NAMES = frozenset("has have layout no with without wrap wrapper".split())
+#: What holds articles of others.
+FOREIGN_NAMES = frozenset("ad ads comment comments disqus promo promoted related replies respond sponsor sponsored".split())
+#: Elements that an open head may hold; any other begins the body.
+IN_HEAD = frozenset("base basefont bgsound html link meta noframes noscript script style template title".split())
+#: Start tag: (elements that it closes, elements beyond which it does not look). None: any block but address, div and p.
+_TABLE_PARTS = frozenset("tbody tfoot thead".split())
+_P_SCOPE = frozenset("body button caption html object table td template th".split())
+CLOSES: dict[str, list[tuple[frozenset[str], frozenset[str] | None]]] = {
+    **{
+        tag: [(frozenset(("p",)), _P_SCOPE)]
+        for tag in (
+            "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
+            " header hgroup hr main menu nav ol p pre search section table ul"
+        ).split()
+    },
+    "li": [(frozenset(("li",)), None), (frozenset(("p",)), _P_SCOPE)],
+    **{tag: [(frozenset(("dd", "dt")), None), (frozenset(("p",)), _P_SCOPE)] for tag in ("dd", "dt")},
+    **{tag: [(frozenset(("td", "th")), frozenset(("table", "template", "tr")))] for tag in ("td", "th")},
+    "tr": [(frozenset(("tr",)), frozenset(("table", "template")))],
+    **{tag: [(_TABLE_PARTS, frozenset(("table", "template")))] for tag in _TABLE_PARTS},
+    "option": [(frozenset(("option",)), frozenset(("datalist", "optgroup", "select")))],
+    "optgroup": [(frozenset(("optgroup",)), frozenset(("datalist", "select")))],
+}
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 def _is_boilerplate(tag: str, attributes: list[tuple[str, str | None]]) -> bool:
+    """By element, role or visibility."""
     if tag in BOILERPLATE:
         return True
     if tag in ("html", "body"):
@@ -61,72 +92,159 @@ def _is_boilerplate(tag: str, attributes: list[tuple[str, str | None]]) -> bool:
             return True
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
-        if name in ("class", "id") and any(w.lower() in BOILERPLATE_NAMES for w in NAME_WORD.findall(value or "")):
-            return True
     return False
 
 
+def _marks(tag: str, attributes: list[tuple[str, str | None]]) -> set[str]:
+    """Boilerplate words of the class and id."""
+    found: set[str] = set()
+    if tag not in ("html", "body"):
+        for name, value in attributes:
+            if name in ("class", "id"):
+                for one in (value or "").split():
+                    split = {w.lower() for w in NAME_WORD.findall(one)}
+                    if not split & LAYOUT_NAMES:
+                        found |= split & BOILERPLATE_NAMES
+    return found
+
+
 class _Lines(HTMLParser):
     """Collects (text, tags, container, in an article) of the candidate lines."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool]] = []
-        self.stack: list[tuple[str, bool, int]] = []  # tag, boilerplate, container or 0
+        self.events: list[tuple] = []  # (): a tag; (text, innermost mark); (container, in an article, None): a line's end
+        self.stack: list[tuple[str, bool, int, int]] = []  # tag, boilerplate, container or 0, mark or 0
         self.boilerplate = 0
-        self.text: list[str] = []
-        self.tags = 0
+        self.mark = 0  # the innermost open one; 0 is none
+        self.outer = {0: (0, 0, False)}  # of a mark: the one around it, how many there are, whether any is foreign
+        self.articles: list[tuple[str, int]] = []
+        self.pending = False
         self.containers = 0
 
     def _end_line(self) -> None:
-        text = " ".join("".join(self.text).split())
-        if text:
-            articles = [c for tag, _, c in self.stack if tag in ARTICLES]
-            own = articles[:1] or [c for _, _, c in self.stack if c][-1:] or [0]
-            self.lines.append((text, max(1, self.tags), own[0], bool(articles)))
-            self.tags = 0
-        self.text = []
+        if self.pending:
+            articles = [c for tag, _, c, _ in self.stack if tag in ARTICLES]
+            own = articles[:1] or [c for _, _, c, _ in self.stack if c][-1:] or [0]
+            self.events.append((own[0], bool(articles), None))
+            self.pending = False
+
+    def _close(self, at: int) -> None:
+        self.boilerplate -= sum(x[1] for x in self.stack[at:])
+        outermost = next((x[3] for x in self.stack[at:] if x[3]), 0)
+        if outermost:
+            self.mark = self.outer[outermost][0]
+        del self.stack[at:]
+
+    def _close_omitted(self, tag: str) -> None:
+        if self.stack and self.stack[-1][0] == "head" and tag not in IN_HEAD or tag == "body":
+            for at, x in enumerate(self.stack):
+                if x[0] == "head":
+                    self._close(at)
+                    break
+        for closed, beyond in CLOSES.get(tag, ()):
+            for at in range(len(self.stack) - 1, -1, -1):
+                name = self.stack[at][0]
+                if name in closed:
+                    self._close(at)
+                    break
+                if name in beyond if beyond is not None else name not in INLINE and name not in ("address", "div", "p"):
+                    break
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag not in INLINE:
             self._end_line()
-        self.tags += 1
+        self.events.append(())
+        self._close_omitted(tag)
         if tag in VOID:
             return
-        container = 0
+        container = mark = 0
         if tag in CONTAINERS:
             self.containers += 1
             container = self.containers
         boilerplate = _is_boilerplate(tag, attrs)
         self.boilerplate += boilerplate
-        self.stack.append((tag, boilerplate, container))
+        # The main element is what it is, by any name.
+        names = _marks(tag, attrs) if tag != "main" and not self.boilerplate else ()
+        if tag in ARTICLES and not self.boilerplate and not names:
+            self.articles.append((tag, self.mark))
+        if names:
+            mark = len(self.events)
+            _, around, foreign = self.outer[self.mark]
+            self.outer[mark] = (self.mark, around + 1, foreign or bool(FOREIGN_NAMES.intersection(names)))
+            self.mark = mark
+        self.stack.append((tag, boilerplate, container, mark))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag not in INLINE:
             self._end_line()
-        self.tags += 1
+        self.events.append(())
 
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE:
             self._end_line()
-        self.tags += 1
+        self.events.append(())
         for at in range(len(self.stack) - 1, -1, -1):
-            name, boilerplate, container = self.stack[at]
+            name, boilerplate, container, mark = self.stack[at]
             if name == tag:
-                self.boilerplate -= sum(b for _, b, _ in self.stack[at:])
-                del self.stack[at:]
+                self._close(at)
                 return
-            if tag in INLINE and (boilerplate or container):
+            if tag in INLINE and (boilerplate or container or mark):
                 return  # a stray inline end tag does not close the element around it
 
     def handle_data(self, data: str) -> None:
+        if self.stack and self.stack[-1][0] == "head" and data.strip():
+            self._close(len(self.stack) - 1)
         if not self.boilerplate:
-            self.text.append(data)
+            self.events.append((data, self.mark))
+            self.pending = True
+
+    def _lines(self, lifted: set[int]) -> list[tuple[str, int, int, bool]]:
+        """The candidate lines when the lifted marks do not count."""
+        lines: list[tuple[str, int, int, bool]] = []
+        free = {0}
+        for mark, (around, *_) in self.outer.items():
+            if mark in lifted and around in free:
+                free.add(mark)
+        parts: list[str] = []
+        tags = 0
+        for event in self.events:
+            if not event:
+                tags += 1
+            elif len(event) == 2:
+                if event[1] in free:
+                    parts.append(event[0])
+            else:
+                text = " ".join("".join(parts).split())
+                if text:
+                    lines.append((text, max(1, tags), event[0], event[1]))
+                    tags = 0
+                parts = []
+        return lines
+
+    def _lifted(self, lifted: set[int], marks: list[int]) -> set[int]:
+        out = set(lifted)
+        for mark in marks:
+            while mark and mark not in out:
+                out.add(mark)
+                mark = self.outer[mark][0]
+        return out
 
     def finish(self) -> list[tuple[str, int, int, bool]]:
         self.close()
         self._end_line()
-        return self.lines
+        lifted = self._lifted(set(), [mark for tag, mark in self.articles if tag == "main" and not self.outer[mark][2]])
+        lines = self._lines(lifted)
+        around = [mark for tag, mark in self.articles if tag == "article"]
+        own = [mark for mark in around if not self.outer[mark][2]]
+        if own and not any(mark == 0 or mark in lifted for mark in around):
+            fewest = min(self.outer[mark][1] for mark in own)
+            more = self._lines(self._lifted(lifted, [mark for mark in own if self.outer[mark][1] == fewest]))
+            if sum(len(text) for text, *_ in more) >= 2 * sum(len(text) for text, *_ in lines):
+                lines = more
+        if not lines and self.articles:
+            lines = self._lines(self._lifted(lifted, [mark for _, mark in self.articles]))
+        return lines
 
 
 def smoothed(ratios: list[float]) -> list[float]:

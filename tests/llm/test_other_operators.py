@@ -35,6 +35,40 @@ def test_regions_without_article_marks():
     assert main_text(html) == f"{text}{text}Short end."
 
 
+STORY = "A sentence of the story that goes on for a while. " * 5
+
+
+@pytest.mark.parametrize(
+    "wrapper", ["div class='content-sidebar-wrap'", "div class='layout has-sidebar'", "div id='page-header-fixed'", "section class='widget'", "div class='post no-comments'"]
+)
+def test_marked_wrappers_keep_their_article(wrapper):
+    end = wrapper.split()[0]
+    for tag in ("article", "main"):
+        body = f"<{wrapper}><{tag}><p>{STORY}</p><div class='share'>Tweet</div></{tag}><div class='sidebar'>Links</div></{end}>"
+        assert main_text(PAGE.format(body=body)) == STORY.strip()
+    teaser = "<div class='{}'><article><p>Other story here.</p></article></div>"
+    for name in ("sidebar", "related"):
+        assert main_text(PAGE.format(body=f"<article><p>{STORY}</p></article>{teaser.format(name)}")) == STORY.strip()
+        assert main_text(PAGE.format(body=f"<div><p>{STORY}</p></div>{teaser.format(name)}")) == STORY.strip()
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f"<html><head><title>T</title><body><p>{STORY}</p></body></html>",
+        f"<html><head><title>T</title><meta name=x><p>{STORY}</p></html>",
+        f"<body><div><p class='ad'>Buy<p>{STORY}</div></body>",
+        f"<body><div><p class='ad'>Buy<div>{STORY}</div></div></body>",
+        f"<body><ul><li class='share'>Tweet<li>{STORY}</ul></body>",
+        f"<body><dl><dt class='share'>Tweet<dd>{STORY}</dl></body>",
+        f"<body><table><tr><td class='ad'>Buy<td>{STORY}</table></body>",
+        f"<body><table><tr class='ad'><td>Buy<tr><td>{STORY}</table></body>",
+    ],
+)
+def test_omitted_end_tags(html):
+    assert main_text(html) == STORY.strip()
+
+
 def test_odd_pages(spark):
     odd = [None, "", "<", "plain", "<p>open <nav>never closed", "<article></article>", "<script>only code", "&#x41;&lt;&bogus;", "<div " + "x" * 100_000]
     rows = [(i, f"http://h/{i}", html) for i, html in enumerate(odd)] + [(None, None, "<p>a"), (1, "u", "<p>b"), (1, "u", "<p>b")]

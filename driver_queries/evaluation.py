@@ -186,7 +186,7 @@ DELONG_CTES = {
 
 @query(
     "delong_components",
-    "E11, E12",
+    "E11",
     with_ctes(
         "SELECT auc_a, auc_b, variance, (auc_a - auc_b) / sqrt(variance) AS z, m, n FROM res", "scored", extra=DELONG_CTES
     ),
@@ -196,6 +196,11 @@ def _delong(spark, folder):
     return comparison.delong_components(scored(spark, folder), "y", "a", "b")
 
 
+@query("delong_p_value", "E12")
+def _delong_p(spark, folder):
+    return spark.createDataFrame([(comparison.delong_test(scored(spark, folder), "y", "a", "b"),)], "p_value double")
+
+
 B = 40
 _poisson = " + ".join(f"(u >= {p!r}::DOUBLE)::INT" for p in POISSON_ONE_CDF)
 BOOT_CTES = {

@@ -52,3 +52,16 @@ def test_against_oracle(spark, db, name):
     place = [names.index(c) for c in columns]
     want = sorted((tuple(plain(r[i]) for i in place) for r in cursor.fetchall()), key=repr)
     assert got and got == want
+
+
+def test_study_tables_all_run(spark):
+    rows = QUERIES["study_forecast_tables"](spark, FOLDER).groupBy("table_name").count().collect()
+    assert {r.table_name for r in rows} >= {
+        "risks", "trajectory", "drivers", "twins", "twin_trajectories", "warnings", "survival_curve", "validation_predictions",
+        "validation_summary", "validation_calibration", "validation_subgroups", "validation_ablation", "validation_missingness",
+    }
+
+
+def test_delong_p_value(spark):
+    z = QUERIES["delong_components"](spark, FOLDER).first().z
+    assert QUERIES["delong_p_value"](spark, FOLDER).first().p_value == pytest.approx(math.erfc(abs(z) / math.sqrt(2)), rel=1e-6)

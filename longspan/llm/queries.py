@@ -8,14 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from longspan.llm.binary_search import search_embeddings
+from longspan.llm.bpe_codec import encode_digests
 from longspan.llm.common import read
 from longspan.llm.html_text import extract_text
 from longspan.llm.language_id import identify_languages
+from longspan.llm.lexical_search import lexical_search
 from longspan.llm.license_scan import scan_licenses
 from longspan.llm.mixing import mix
 from longspan.llm.ngram_jaccard import jaccard_components
 from longspan.llm.packing import pack
 from longspan.llm.quality_rules import quality_rules
+from longspan.llm.source_divergence import source_divergence
 from longspan.llm.substring_dedup import remove_repeated_spans
 from longspan.llm.token_counts import count_tokens
 
@@ -157,3 +160,85 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_source_mixing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"))
+
+
+@query(
+    "op11_source_divergence",
+    r"""
+WITH docs AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), numbered AS (
+  SELECT *, row_number() OVER () AS d FROM docs
+), tallies AS (
+  SELECT lang, source, term, count(*)::HUGEINT AS n, count(DISTINCT d) AS docs FROM (SELECT lang, source, d, unnest(w) AS term FROM numbered) GROUP BY ALL
+), terms AS (
+  SELECT lang, term, sum(n)::HUGEINT AS total FROM tallies GROUP BY ALL HAVING sum(docs) >= 30
+), langs AS (
+  SELECT lang, count(*)::HUGEINT AS v, sum(total)::HUGEINT AS lang_n FROM terms GROUP BY lang
+), groups AS (
+  SELECT DISTINCT lang, source FROM docs
+), held AS (
+  SELECT g.lang, g.source, t.term, coalesce(c.n, 0)::HUGEINT AS n, t.total
+  FROM groups g JOIN terms t USING (lang) LEFT JOIN tallies c ON c.lang = g.lang AND c.source = g.source AND c.term = t.term
+), sizes AS (
+  SELECT lang, source, sum(n)::HUGEINT AS group_n FROM held GROUP BY ALL
+), shares AS (
+  SELECT h.lang, h.source, h.term, h.n, 1 + (1000000000 * (h.n + 5)) // (s.group_n + 5 * l.v) AS p, 1 + (1000000000 * (h.total + 5)) // (l.lang_n + 5 * l.v) AS q
+  FROM held h JOIN sizes s USING (lang, source) JOIN langs l USING (lang)
+), gaps AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), rows AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN gaps x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM rows)
+WHERE part = 'pair' OR rank <= 50
+""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(read(spark, sf_dir, "documents"))
+
+
+@query("op12_bpe_codec")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digests(read(spark, sf_dir, "documents"))
+
+
+@query(
+    "op13_lexical_search",
+    r"""
+WITH words AS (
+  SELECT doc_id, row_number() OVER () AS d,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), corpus AS (
+  SELECT count(*) FILTER (WHERE len(w) > 0) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM words
+), lengths AS (
+  SELECT d, doc_id, 25 + (75 * len(w) * n_docs) // n_terms AS m FROM words, corpus WHERE len(w) > 0
+), items AS (
+  SELECT item_id, row_number() OVER () AS item,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), asked AS (
+  SELECT item_id, item, term, count(*) AS times FROM (SELECT item_id, item, unnest(w) AS term FROM items) GROUP BY ALL
+), postings AS (
+  SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(w) AS term FROM words) WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM postings, corpus GROUP BY term, n_docs
+), scores AS (
+  SELECT a.item_id, a.item, l.doc_id, l.d, sum(a.times * x.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * l.m)))::BIGINT AS score
+  FROM asked a JOIN weights x USING (term) JOIN postings p USING (term) JOIN lengths l USING (d) GROUP BY ALL
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 10
+""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents"))

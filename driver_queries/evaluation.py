@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driver_queries.modelling import CENTROID, FEATURES, TARGET, _split
+from driver_queries.newton_sql import newton_ctes
 from driver_queries.registry import query
 from driver_queries.views import (
     draw_sql,
@@ -17,6 +18,7 @@ from driver_queries.views import (
 )
 from longspan.functions.columns import POISSON_ONE_CDF
 from longspan.operators import calibration, comparison, discrimination, fusion, risk, uncertainty
+from longspan.operators.isotonic import IsotonicMap
 from longspan.operators.survival import HazardEnsemble
 from longspan.session import cut_lineage
 
@@ -166,7 +168,14 @@ def _slope_linear(spark, folder):
     return calibration.calibration_slope(scored(spark, folder), "y", "a", "linear")
 
 
-@query("calibration_slope", "E10")
+SLOPE_CTES = {
+    "nt_rows": """SELECT y, 1.0 AS w, ln(c / (1 - c)) AS x FROM (SELECT y, least(greatest(a, 1e-15), 1 - 1e-15) AS c FROM scored
+        WHERE y IS NOT NULL AND a IS NOT NULL) AS k""",
+    **newton_ctes("nt_rows", ["x"], 0.0, 12),
+}
+
+
+@query("calibration_slope", "E10", with_ctes("SELECT b1 AS slope, b0 AS intercept FROM nt_b", "scored", extra=SLOPE_CTES), "slope intercept")
 def _slope(spark, folder):
     return calibration.calibration_slope(scored(spark, folder), "y", "a")
 
@@ -193,42 +202,105 @@ DELONG_CTES = {
     "auc_a auc_b variance z",
 )
 def _delong(spark, folder):
-    return comparison.delong_components(scored(spark, folder), "y", "a", "b")
+    return comparison.delong_components(scored(spark, folder), "y", "a", "b").drop("p_value")
 
 
-@query("delong_p_value", "E12")
+# The tail by Simpson's rule over 12 units in steps of 1/500.
+def _tail_sql(z: str) -> str:
+    return f"""(SELECT 2 * sum(CASE WHEN i IN (0, 6000) THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END * exp(-(abs({z}) + i * 0.002::DOUBLE) * (abs({z}) + i * 0.002::DOUBLE) / 2))
+        * (0.002::DOUBLE / 3) / sqrt(2 * pi()) FROM (SELECT unnest(range(6001)) AS i) AS g)"""
+
+
+@query(
+    "delong_p_value",
+    "E12",
+    with_ctes(f"SELECT coalesce({_tail_sql('((auc_a - auc_b) / sqrt(variance))')}, 1.0) AS p_value FROM res", "scored", extra=DELONG_CTES),
+    "p_value",
+)
 def _delong_p(spark, folder):
-    return spark.createDataFrame([(comparison.delong_test(scored(spark, folder), "y", "a", "b"),)], "p_value double")
+    return comparison.delong_components(scored(spark, folder), "y", "a", "b").select("p_value")
+
+
+BY_SOURCE_CTES = {
+    "held": "SELECT source, y, a, b, row_number() OVER () AS i FROM scored WHERE source IS NOT NULL",
+    "placed": """SELECT h.source, h.y, h.i, avg(CASE WHEN o.a = h.a THEN 0.5 WHEN (o.a < h.a) = (h.y = 1) THEN 1.0 ELSE 0.0 END) AS va,
+        avg(CASE WHEN o.b = h.b THEN 0.5 WHEN (o.b < h.b) = (h.y = 1) THEN 1.0 ELSE 0.0 END) AS vb
+        FROM held h JOIN held o ON o.source = h.source AND o.y = 1 - h.y GROUP BY h.source, h.y, h.i""",
+    "sized": "SELECT source, count(*) FILTER (WHERE y = 1) AS m, count(*) FILTER (WHERE y = 0) AS n FROM held GROUP BY source",
+    "grouped": """SELECT source, avg(va) FILTER (WHERE y = 1) AS auc_a, avg(vb) FILTER (WHERE y = 1) AS auc_b,
+        coalesce(var_samp(va - vb) FILTER (WHERE y = 1), 0.0) AS sp, coalesce(var_samp(va - vb) FILTER (WHERE y = 0), 0.0) AS sn FROM placed GROUP BY source""",
+    "zs": "SELECT source, m, n, auc_a, auc_b, CASE WHEN round(sp / m + sn / n, 12) > 0 THEN (auc_a - auc_b) / sqrt(sp / m + sn / n) END AS z FROM sized LEFT JOIN grouped USING (source)",
+}
 
 
-B = 40
-_poisson = " + ".join(f"(u >= {p!r}::DOUBLE)::INT" for p in POISSON_ONE_CDF)
-BOOT_CTES = {
-    "drawn": f"""SELECT y, a, b, replicate, {_poisson} AS w FROM (SELECT y, a, b, replicate, {draw_sql('doc_id', '42 + replicate')} AS u
-        FROM scored, (SELECT unnest(range({B})) AS replicate)) AS d
-        UNION ALL SELECT y, a, b, -1, 1 FROM scored""",
-    "stacked": "SELECT replicate, 'a' AS model, y, a AS s, w FROM drawn WHERE w > 0 UNION ALL SELECT replicate, 'b', y, b, w FROM drawn WHERE w > 0",
-    **metrics_sql("stacked", "y", "s", "replicate, model", weight="w", min_n=1),
-    # The metric views name their score column s as well; only keys and sums leave them.
-    "df": """SELECT replicate, max(auroc) FILTER (WHERE model = 'a') - max(auroc) FILTER (WHERE model = 'b') AS d,
-        max(auprc) FILTER (WHERE model = 'a') AS pa FROM ms GROUP BY replicate""",
-    "base": "SELECT d AS delta, pa AS point FROM df WHERE replicate = -1",
-    "bt": "SELECT * FROM df WHERE replicate >= 0",
+@query(
+    "delong_by_source",
+    "E11, E12",
+    with_ctes(
+        f"SELECT source, m, n, auc_a, auc_b, z, CASE WHEN m > 0 AND n > 0 THEN coalesce({_tail_sql('z')}, 1.0) END AS p_value FROM zs",
+        "scored", extra=BY_SOURCE_CTES,
+    ),
+    "auc_a auc_b z p_value",
+)
+def _delong_by(spark, folder):
+    rows = comparison.delong_components(scored(spark, folder), "y", "a", "b", ["source"])
+    both = (F.col("m") > 0) & (F.col("n") > 0)
+    return rows.select("source", "m", "n", *[F.when(both, F.col(c)).alias(c) for c in ("auc_a", "auc_b", "z")], "p_value")
+
+
+ISOTONIC_CTES = {
+    "pts": "SELECT a AS x, sum(y)::DOUBLE AS s, count(*) AS w, row_number() OVER (ORDER BY a) AS i FROM scored WHERE y IS NOT NULL AND a IS NOT NULL GROUP BY a",
+    "upto": "SELECT *, sum(s) OVER (ORDER BY i) AS cs, sum(w) OVER (ORDER BY i) AS cw FROM pts",
+    "runs": "SELECT f.i AS j, t.i AS k, (t.cs - f.cs + f.s) / (t.cw - f.cw + f.w) AS mean FROM upto f JOIN upto t ON t.i >= f.i",
+    "least_mean": "SELECT j, k, min(mean) OVER (PARTITION BY j ORDER BY k DESC) AS low FROM runs",
+    "fitted": "SELECT k AS i, max(low) AS calibrated FROM least_mean GROUP BY k",
 }
 
 
+@query(
+    "isotonic_calibration",
+    "R4",
+    with_ctes("SELECT x AS score, w AS n, s / w AS observed, calibrated FROM pts JOIN fitted USING (i)", "scored", extra=ISOTONIC_CTES),
+    "score observed calibrated",
+)
+def _isotonic(spark, folder):
+    rows = cut_lineage(scored(spark, folder).select("y", "a"))
+    points = rows.where("y IS NOT NULL AND a IS NOT NULL").groupBy(F.col("a").alias("score")).agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("observed"))
+    return IsotonicMap().fit(rows, "y", "a").transform(points, "score")
+
+
+# Published sizes: 1000 draws to compare two models, 200 for an interval.
+COMPARED, INTERVAL = 1000, 200
+_poisson = " + ".join(f"(u >= {p!r}::DOUBLE)::INT" for p in POISSON_ONE_CDF)
+
+
+def _boot_ctes(draws: int) -> dict[str, str]:
+    return {
+        "drawn": f"""SELECT y, a, b, replicate, {_poisson} AS w FROM (SELECT y, a, b, replicate, {draw_sql('doc_id', '42 + replicate')} AS u
+            FROM scored, (SELECT unnest(range({draws})) AS replicate)) AS d
+            UNION ALL SELECT y, a, b, -1, 1 FROM scored""",
+        "stacked": "SELECT replicate, 'a' AS model, y, a AS s, w FROM drawn WHERE w > 0 UNION ALL SELECT replicate, 'b', y, b, w FROM drawn WHERE w > 0",
+        **metrics_sql("stacked", "y", "s", "replicate, model", weight="w", min_n=1),
+        # The metric views name their score column s as well; only keys and sums leave them.
+        "df": """SELECT replicate, max(auroc) FILTER (WHERE model = 'a') - max(auroc) FILTER (WHERE model = 'b') AS d,
+            max(auprc) FILTER (WHERE model = 'a') AS pa FROM ms GROUP BY replicate""",
+        "base": "SELECT d AS delta, pa AS point FROM df WHERE replicate = -1",
+        "bt": "SELECT * FROM df WHERE replicate >= 0",
+    }
+
+
 @query(
     "bootstrap_comparison",
     "E13, V6",
     with_ctes(
         """SELECT delta, least(2 * CASE WHEN delta > 0 THEN avg(CASE WHEN d <= 0 THEN 1.0 ELSE 0.0 END) ELSE avg(CASE WHEN d >= 0 THEN 1.0 ELSE 0.0 END) END, 1.0) AS p_value,
         quantile_cont(d, 0.025) AS ci_lower, quantile_cont(d, 0.975) AS ci_upper FROM bt, base GROUP BY delta""",
-        "scored", extra=BOOT_CTES,
+        "scored", extra=_boot_ctes(COMPARED),
     ),
     "delta p_value ci_lower ci_upper",
 )
 def _bootstrap(spark, folder):
-    return comparison.bootstrap_comparison(scored(spark, folder), "y", "a", "b", "auroc", B, 42, F.col("doc_id"))
+    return comparison.bootstrap_comparison(scored(spark, folder), "y", "a", "b", "auroc", COMPARED, 42, F.col("doc_id"))
 
 
 @query(
@@ -236,12 +308,12 @@ def _bootstrap(spark, folder):
     "E14",
     with_ctes(
         "SELECT point, quantile_cont(pa, 0.025) AS lower, quantile_cont(pa, 0.975) AS upper FROM bt, base GROUP BY point",
-        "scored", extra=BOOT_CTES,
+        "scored", extra=_boot_ctes(INTERVAL),
     ),
     "point lower upper",
 )
 def _interval(spark, folder):
-    return comparison.bootstrap_interval(scored(spark, folder), "y", "a", "auprc", B, 42, key=F.col("doc_id"))
+    return comparison.bootstrap_interval(scored(spark, folder), "y", "a", "auprc", INTERVAL, 42, key=F.col("doc_id"))
 
 
 REPORT_CTES = {

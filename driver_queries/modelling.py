@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from driver_queries.newton_sql import newton_ctes
 from driver_queries.registry import query
 from driver_queries.views import baseline_with_role, scores, train, validation, with_ctes
 from longspan.operators import attribution, fusion, risk
@@ -58,7 +59,24 @@ def _centroid(spark, folder):
     return risk.CentroidRisk(FEATURES).fit(fit_rows, TARGET).predict_risk(held).select("participant_id", "risk")
 
 
-@query("logistic_risk", "R1")
+LOGISTIC = {
+    **CENTROID,
+    "nt_rows": "SELECT y, CASE WHEN y = 1 THEN n / (2.0 * pos) ELSE n / (2.0 * (n - pos)) END AS w, "
+    + ", ".join(f"({f} - m_{f}) / s_{f} AS {f}" for f in FEATURES)
+    + " FROM filled, st, (SELECT count(*) AS n, sum(y) AS pos FROM filled) AS k",
+    **newton_ctes("nt_rows", FEATURES, 1.0, 8),
+}
+
+
+@query(
+    "logistic_risk",
+    "R1",
+    with_ctes(
+        "SELECT participant_id, 1 / (1 + exp(-(b0 + " + " + ".join(f"b{i + 1} * {f}" for i, f in enumerate(FEATURES)) + "))) AS risk FROM zs, nt_b",
+        "train", "validation", extra=LOGISTIC,
+    ),
+    "risk",
+)
 def _logistic(spark, folder):
     fit_rows, held = _split(spark, folder)
     return risk.LogisticRisk(FEATURES).fit(fit_rows, TARGET).predict_risk(held).select("participant_id", "risk")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from driver_queries.newton_sql import newton_ctes
 from driver_queries.registry import query
 from driver_queries.views import draw_sql, hazards, metrics_sql, participants, survival, validation, with_ctes
 from driver_queries.modelling import FEATURES, _split
 from longspan.functions.columns import POISSON_ONE_CDF, clip
 from longspan.operators import survival as sv
 from longspan.operators import survival_metrics as sm
+from longspan.operators.resampling import replicate_totals
 from longspan.operators.risk import CentroidRisk
 
 EVAL_TIMES = (365.0, 730.0, 1096.0, 1826.0)
@@ -156,32 +158,59 @@ def _early(spark, folder):
 _poisson = " + ".join(f"(u >= {p!r}::DOUBLE)::INT" for p in POISSON_ONE_CDF)
 
 
+WEIGHT_DRAWS = 1000
+
+
 @query(
     "bootstrap_weights",
     "V6",
     with_ctes(
         f"""SELECT replicate, count(*) AS participants, sum(weight) AS weight, sum(weight * event) AS weighted_events FROM (
         SELECT event, replicate, {_poisson} AS weight FROM (SELECT event, replicate, {draw_sql('participant_key', '42 + replicate')} AS u
-        FROM survival, (SELECT unnest(range(20)) AS replicate)) AS d) AS w WHERE weight > 0 GROUP BY replicate""",
+        FROM survival, (SELECT unnest(range({WEIGHT_DRAWS})) AS replicate)) AS d) AS w WHERE weight > 0 GROUP BY replicate""",
         "survival",
     ),
 )
 def _weights(spark, folder):
-    rows = sv.bootstrap_weights(survival(spark, folder), 20, 42, F.col("participant_key"))
-    return rows.groupBy("replicate").agg(
-        F.count(F.lit(1)).alias("participants"),
-        F.sum("weight").alias("weight"),
-        F.sum(F.col("weight") * F.col("event")).alias("weighted_events"),
-    )
+    totals = replicate_totals(survival(spark, folder), ["event"], WEIGHT_DRAWS)
+    rows = [(b, *(int(v) for v in row)) for b, row in enumerate(totals)]
+    return spark.createDataFrame(rows, "replicate int, participants long, weight long, weighted_events long")
 
 
 # --- models --------------------------------------------------------------------
 
 
-@query("hazard_logistic", "V3, V5")
+_HZ = [*FEATURES, "interval_year"]
+HAZARD_CTES = {
+    "hz_pp": f"""SELECT participant_key, {', '.join(FEATURES)}, CAST(year AS DOUBLE) AS interval_year,
+        CASE WHEN event = 1 AND event_time_days <= year * 365.25 THEN 1 ELSE 0 END AS y
+        FROM train, (SELECT unnest(range(1, 6)) AS year) WHERE event_time_days > (year - 1) * 365.25 AND coalesce({', '.join(FEATURES)}) IS NOT NULL""",
+    "hz_med": "SELECT " + ", ".join(f"quantile_cont({f}, 0.5) AS md_{f}" for f in _HZ) + " FROM hz_pp",
+    "hz_filled": "SELECT participant_key, y, " + ", ".join(f"coalesce({f}, md_{f}) AS {f}" for f in _HZ) + " FROM hz_pp, hz_med",
+    "hz_st": "SELECT " + ", ".join(f"avg({f}) AS m_{f}, stddev_pop({f}) AS s_{f}" for f in _HZ) + " FROM hz_filled",
+    "hz_drawn": f"""SELECT replicate, y, {_poisson} AS d, {', '.join(f'({f} - m_{f}) / s_{f} AS {f}' for f in _HZ)}
+        FROM (SELECT *, {draw_sql('participant_key', '42 + replicate')} AS u FROM hz_filled, (SELECT unnest(range(12)) AS replicate)) AS e, hz_st""",
+    "hz_rows": f"""SELECT replicate, y, d * CASE WHEN y = 1 THEN n / (2.0 * pos) ELSE n / (2.0 * (n - pos)) END AS w, {', '.join(_HZ)}
+        FROM hz_drawn JOIN (SELECT replicate, sum(d) AS n, sum(d * y) AS pos FROM hz_drawn GROUP BY replicate) AS t USING (replicate) WHERE d > 0""",
+    **newton_ctes("hz_rows", _HZ, 1.0, 9, "replicate"),
+    "hz_hazard": f"""SELECT participant_id, replicate, g.year, least(greatest(1 / (1 + exp(-(b0 + {' + '.join(f'b{i + 1} * (coalesce({f}, md_{f}) - m_{f}) / s_{f}' for i, f in enumerate(FEATURES))}
+        + b{len(_HZ)} * (g.year - m_interval_year) / s_interval_year))), 0.001), 0.95) AS hazard FROM validation, hz_med, hz_st, nt_b, (SELECT unnest(range(1, 6)) AS year) AS g""",
+}
+
+
+@query(
+    "hazard_logistic",
+    "V3, V5",
+    with_ctes(
+        """SELECT participant_id, CAST(replicate AS INTEGER) AS replicate, h AS horizon, least(greatest(1 - product(1 - hazard) FILTER (WHERE year <= h), 0), 1) AS risk
+        FROM hz_hazard, (SELECT unnest([1, 3, 5]) AS h) GROUP BY participant_id, replicate, h""",
+        "train", "validation", extra=HAZARD_CTES,
+    ),
+    "risk",
+)
 def _hazard_logistic(spark, folder):
     fit_rows, held = _split(spark, folder)
-    return sv.HazardEnsemble(FEATURES, "logistic", n_bootstrap=3).fit(fit_rows).predict_distribution(held)
+    return sv.HazardEnsemble(FEATURES, "logistic", draw_key="participant_key").fit(fit_rows).predict_distribution(held)
 
 
 @query("hazard_boosted", "V4, V5")

@@ -410,6 +410,8 @@ NEEDS = {
 
 #: Views that DuckDB must not merge into what reads them: together they are too large to plan well.
 MATERIALIZED = {"trajectories", "staffed"}
+#: The same for chains of local views, one per step of a fit.
+LONG_CHAIN = ("nt_", "hz_", "cx_")
 
 
 def with_ctes(body: str, *names: str, people: str = "validation", extra: dict[str, str] | None = None) -> str:
@@ -429,7 +431,7 @@ def with_ctes(body: str, *names: str, people: str = "validation", extra: dict[st
 
     for name in names:
         visit(name)
-    parts = [f"{n} AS {'MATERIALIZED ' * (n in MATERIALIZED)}({texts[n]})" for n in ordered] + [f"{n} AS ({t})" for n, t in (extra or {}).items()]
+    parts = [f"{n} AS {'MATERIALIZED ' * (n in MATERIALIZED)}({texts[n]})" for n in ordered] + [f"{n} AS {'MATERIALIZED ' * n.startswith(LONG_CHAIN)}({t})" for n, t in (extra or {}).items()]
     return "WITH " + ",\n".join(parts) + "\n" + body.strip()
 
 

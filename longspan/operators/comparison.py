@@ -9,55 +9,63 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longspan.operators.discrimination import METRICS, binary_metrics
-from longspan.operators.ordered import range_edges, running
-from longspan.operators.survival import bootstrap_weights
+from longspan.functions.columns import erfc
+from longspan.operators.discrimination import METRICS
+from longspan.operators.ordered import running
+from longspan.operators.resampling import replicate_metrics
 
 
-def normal_cdf(z: float) -> float:
-    return 0.5 * (1.0 + math.erf(z / math.sqrt(2.0)))
+def two_sided_p(z: Column) -> Column:
+    """Two-sided normal tail of |z|, without the cancellation of 1 - cdf."""
+    return erfc(F.abs(z) / F.lit(math.sqrt(2.0)))
 
 
-def normal_tail(z: float) -> float:
-    return 1.0 - normal_cdf(z)
-
-
-def _placements(rows: DataFrame, score: str, m: Column, n: Column, out: str) -> DataFrame:
-    """Share of the other class each row beats (positives) or is beaten by (negatives)."""
-    counts = rows.groupBy(score).agg(
+def _placements(rows: DataFrame, score: str, by: Sequence[str], out: str) -> DataFrame:
+    """Share of the other class each row beats (positives) or is beaten by (negatives); ``__m`` and ``__n`` are the class sizes."""
+    m, n = F.col("__m"), F.col("__n")
+    counts = rows.groupBy(*by, score, "__m", "__n").agg(
         F.sum(F.col("__y") * F.col("__w")).alias("__pos"), F.sum((1 - F.col("__y")) * F.col("__w")).alias("__neg")
     )
-    up = running(counts, score, {"__pos_upto": F.col("__pos"), "__neg_upto": F.col("__neg")})
+    up = running(counts, score, {"__pos_upto": F.col("__pos"), "__neg_upto": F.col("__neg")}, by=by)
     table = up.select(
+        *by,
         score,
         F.try_divide(F.col("__neg_upto") - F.col("__neg") / 2.0, n).alias("__beats"),
         F.try_divide(m - F.col("__pos_upto") + F.col("__pos") / 2.0, m).alias("__beaten"),
     )
-    return rows.join(table, score).select(
+    return rows.join(table, [*by, score]).select(
         *rows.columns, F.when(F.col("__y") == 1, F.col("__beats")).otherwise(F.col("__beaten")).alias(out)
     )
 
 
-def delong_components(frame: DataFrame, y: str, a: str, b: str) -> DataFrame:
-    """One row: auc_a, auc_b, variance, z, m, n.
+def delong_components(frame: DataFrame, y: str, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
+    """auc_a, auc_b, variance, z, m, n and the two-sided p_value, one row per group.
+
+    Variance 0 has no z and a p_value of 1; a group with one class has neither. Rows with a NULL group are left out.
 
     Placement values come from running class counts over distinct scores, so
     no positive-negative pair is formed. Equal (label, a, b) rows are counted
     once before anything else.
     """
+    by = list(by)
+    usable = frame.where(F.col(y).isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull()).dropna(subset=by) if by else frame.where(
+        F.col(y).isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull()
+    )
     rows = (
-        frame.where(F.col(y).isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull())
-        .groupBy(F.col(y).cast("int").alias("__y"), F.col(a).cast("double").alias("__a"), F.col(b).cast("double").alias("__b"))
+        usable.groupBy(*by, F.col(y).cast("int").alias("__y"), F.col(a).cast("double").alias("__a"), F.col(b).cast("double").alias("__b"))
         .agg(F.count(F.lit(1)).cast("double").alias("__w"))
     )
-    sizes = rows.agg(F.sum(F.col("__y") * F.col("__w")).alias("m"), F.sum((1 - F.col("__y")) * F.col("__w")).alias("n"))
-    m, n = sizes.select("m").scalar(), sizes.select("n").scalar()
-    placed = _placements(_placements(rows, "__a", m, n, "__va"), "__b", m, n, "__vb")
+    sizes = rows.groupBy(*by).agg(F.sum(F.col("__y") * F.col("__w")).alias("__m"), F.sum((1 - F.col("__y")) * F.col("__w")).alias("__n"))
+    if by:
+        rows = rows.join(sizes, by)
+    else:
+        rows = rows.select("*", sizes.select("__m").scalar().alias("__m"), sizes.select("__n").scalar().alias("__n"))
+    placed = _placements(_placements(rows, "__a", by, "__va"), "__b", by, "__vb")
     w, d = F.col("__w"), F.col("__va") - F.col("__vb")
     pos, neg = F.when(F.col("__y") == 1, w), F.when(F.col("__y") == 0, w)
-    sums = placed.agg(
-        F.sum(pos).alias("m"),
-        F.sum(neg).alias("n"),
+    sums = placed.groupBy(*by).agg(
+        F.coalesce(F.sum(pos), F.lit(0.0)).alias("m"),
+        F.coalesce(F.sum(neg), F.lit(0.0)).alias("n"),
         F.sum(pos * F.col("__va")).alias("a"),
         F.sum(pos * F.col("__vb")).alias("b"),
         F.sum(pos * d).alias("dp"),
@@ -74,13 +82,17 @@ def delong_components(frame: DataFrame, y: str, a: str, b: str) -> DataFrame:
         sample_variance("dn", "dn2", "n"), F.col("n")
     )
     auc_a, auc_b = F.try_divide("a", "m"), F.try_divide("b", "m")
+    z = F.when(variance > 0, (auc_a - auc_b) / F.sqrt(variance))
+    both_classes = (F.col("m") > 0) & (F.col("n") > 0)
     return sums.select(
+        *by,
         auc_a.alias("auc_a"),
         auc_b.alias("auc_b"),
         variance.alias("variance"),
-        F.when(variance > 0, (auc_a - auc_b) / F.sqrt(variance)).alias("z"),
+        z.alias("z"),
         F.col("m").cast("long").alias("m"),
         F.col("n").cast("long").alias("n"),
+        F.when(both_classes, F.coalesce(two_sided_p(z), F.lit(1.0))).alias("p_value"),
     )
 
 
@@ -89,29 +101,12 @@ def delong_test(frame: DataFrame, y: str, a: str, b: str) -> float:
     row = delong_components(frame, y, a, b).first()
     if row is None or not row.m or not row.n:
         raise ValueError("Requires both positive and negative samples.")
-    return 1.0 if row.z is None else 2.0 * normal_tail(abs(row.z))
+    return row.p_value
 
 
-def _replicate_metrics(
-    frame: DataFrame, y: str, scores: Sequence[str], n_bootstrap: int, seed: int, key: Column | None
-) -> DataFrame:
-    """(replicate, model) metrics; replicate -1 is the full sample."""
-    key = F.xxhash64(*frame.columns) if key is None else key
-    keyed = frame.select(F.col(y).alias("__y"), *scores, key.alias("__unit"))
-    weighted = bootstrap_weights(keyed, n_bootstrap, seed, F.col("__unit"), "__weight")
-    full = keyed.select("*", F.lit(-1).alias("replicate"), F.lit(1).alias("__weight"))
-    both = weighted.select(*keyed.columns, "replicate", "__weight").unionByName(full)
-    long = both.select(
-        "replicate",
-        "__y",
-        "__weight",
-        F.explode(F.array(*[F.struct(F.lit(s).alias("model"), F.col(s).cast("double").alias("score")) for s in scores])).alias("s"),
-    ).select("replicate", "__y", "__weight", "s.model", "s.score")
-    # Range edges come from the plain scores; the replicates only repeat them.
-    plain = frame.select(F.explode(F.array(*[F.col(s).cast("double") for s in scores])).alias("score"))
-    edges = range_edges(plain, "score")
-    weight = F.col("__weight")
-    return binary_metrics(long, "__y", "score", ["replicate", "model"], weight=weight, min_n=1, edges=edges)
+def _unit(frame: DataFrame, key: Column | None) -> Column:
+    """Integer that draws a row's weights: the given key, or a hash of the whole row."""
+    return F.xxhash64(*frame.columns) if key is None else key
 
 
 def bootstrap_comparison(
@@ -131,9 +126,7 @@ def bootstrap_comparison(
     """
     if metric not in METRICS:
         raise ValueError(f"Unknown metric: {metric}")
-    per = _replicate_metrics(frame, y, [a, b], n_bootstrap, seed, key)
-    if a == b:
-        per = per.withColumn("model", F.lit(a))
+    per = replicate_metrics(frame, y, list(dict.fromkeys([a, b])), n_bootstrap, seed, _unit(frame, key), metric == "auprc")
     wide = per.groupBy("replicate").agg(
         F.max(F.when(F.col("model") == a, F.col(metric))).alias("a"), F.max(F.when(F.col("model") == b, F.col(metric))).alias("b")
     ).select("replicate", (F.col("a") - F.col("b")).alias("diff"))
@@ -166,7 +159,7 @@ def bootstrap_interval(
     """One row: point, lower, upper of one metric."""
     if metric not in METRICS:
         raise ValueError(f"Unknown metric: {metric}")
-    per = _replicate_metrics(frame, y, [score], n_bootstrap, seed, key)
+    per = replicate_metrics(frame, y, [score], n_bootstrap, seed, _unit(frame, key), metric == "auprc")
     drawn = F.when(F.col("replicate") >= 0, F.col(metric))
     edges = F.array(F.lit((1.0 - level) / 2.0), F.lit((1.0 + level) / 2.0))
     return per.agg(

@@ -5,15 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from longspan.functions.columns import dot, sigmoid
+from longspan.operators.isotonic import IsotonicMap
+from longspan.operators.newton import LinearModel, fit_logistic
 from longspan.operators.scaling import MedianImputer, Standardizer
 from longspan.session import reused
 
@@ -88,19 +88,21 @@ def balanced_weights(frame: DataFrame, target: str, weight: str | None = None) -
 
 @dataclass
 class LogisticRisk:
-    """Median impute, standardise, class-balanced logistic regression with unit L2 strength."""
+    """Median impute, standardise, class-balanced logistic regression with unit L2 strength.
+
+    The optimum is unique, and Newton's method on sums reaches it to rounding.
+    """
 
     columns: Sequence[str]
-    max_iter: int = 1000
+    max_iter: int = 100
     balanced: bool = True
     imputer: MedianImputer | None = None
     scaler: Standardizer | None = None
-    model: object = None
+    model: LinearModel | None = None
 
     def _prepare(self, frame: DataFrame) -> DataFrame:
         kept = frame.select("*", *[F.col(c).alias(f"__x_{c}") for c in self.columns])
-        names = [f"__x_{c}" for c in self.columns]
-        return assemble(self.scaler.transform(self.imputer.transform(kept)), names).drop(*names)
+        return self.scaler.transform(self.imputer.transform(kept))
 
     def fit(self, frame: DataFrame, target: str = "event", weight: str | None = None) -> "LogisticRisk":
         names = [f"__x_{c}" for c in self.columns]
@@ -116,43 +118,25 @@ class LogisticRisk:
         self.imputer = MedianImputer(names).fit(kept)
         filled = self.imputer.transform(kept)
         self.scaler = Standardizer(names).fit(filled)
-        classes, total = balanced_weights(kept, "__y", "__w")
+        classes, _ = balanced_weights(kept, "__y", "__w")
         if self.balanced:
             weight_of = F.when(F.col("__y") == 1, classes.get(1, 1.0)).otherwise(classes.get(0, 1.0))
             filled = filled.withColumn("__w", F.col("__w") * weight_of)
-        ready = assemble(self.scaler.transform(filled), names)
-        # Spark divides the loss by the total weight, so strength 1 is 1 / total.
-        self.model = LogisticRegression(
-            featuresCol=VECTOR, labelCol="__y", weightCol="__w", maxIter=self.max_iter,
-            regParam=1.0 / total, standardization=False, tol=1e-9,
-        ).fit(ready)
+        ready = self.scaler.transform(filled).select(
+            F.array(*[F.col(c) for c in names]).alias("x"), F.col("__y").alias("y"), F.array("__w").alias("w")
+        )
+        with reused(ready) as rows:
+            self.model = fit_logistic(rows, len(names), penalty=1.0, max_iterations=self.max_iter)[0]
         return self
 
     def predict_risk(self, frame: DataFrame, out: str = "risk") -> DataFrame:
         if self.model is None:
             raise RuntimeError("LogisticRisk must be fitted before predict_risk")
-        scored = self.model.transform(self._prepare(frame))
-        return scored.select(*[F.col(f"`{c}`") for c in frame.columns], positive_probability().alias(out))
+        risk = self.model.probability([F.col(f"__x_{c}") for c in self.columns])
+        return self._prepare(frame).select(*[F.col(f"`{c}`") for c in frame.columns], risk.alias(out))
 
     def coefficients(self) -> dict[str, float]:
-        return dict(zip(self.columns, (float(v) for v in self.model.coefficients)))
-
-
-CALIBRATION_GRID = 10_000
-
-
-def isotonic_calibrator(scored: DataFrame, y: str, score: str):
-    """Isotonic map of score to event rate.
-
-    Scores are rounded to a grid of 10 001 points and averaged there first,
-    which bounds what the last, driver-side step of the fit receives.
-    """
-    grid = F.round(F.col(score) * CALIBRATION_GRID) / CALIBRATION_GRID
-    points = scored.groupBy(grid.alias("x")).agg(
-        F.avg(F.col(y).cast("double")).alias("y"), F.count(F.lit(1)).cast("double").alias("w")
-    )
-    ready = assemble(points, ["x"])
-    return IsotonicRegression(featuresCol=VECTOR, labelCol="y", weightCol="w").fit(ready)
+        return dict(zip(self.columns, self.model.coefficients))
 
 
 @dataclass
@@ -199,14 +183,13 @@ class BoostedRisk:
             self.models, self.calibrators = [self._learner().fit(ready)], []
             return self
         fold = F.pmod(F.xxhash64(F.col(self.key), F.lit(self.seed)), F.lit(self.folds)).alias("__fold")
-        ready = ready.select("__y", VECTOR, fold).persist(StorageLevel.MEMORY_AND_DISK)
         self.models, self.calibrators = [], []
-        for k in range(self.folds):
-            model = self._learner().fit(ready.where(F.col("__fold") != k))
-            held = model.transform(ready.where(F.col("__fold") == k)).select("__y", positive_probability().alias("__s"))
-            self.models.append(model)
-            self.calibrators.append(isotonic_calibrator(held, "__y", "__s"))
-        ready.unpersist()
+        with reused(ready.select("__y", VECTOR, fold)) as ready:
+            for k in range(self.folds):
+                model = self._learner().fit(ready.where(F.col("__fold") != k))
+                held = model.transform(ready.where(F.col("__fold") == k)).select("__y", positive_probability().alias("__s"))
+                self.models.append(model)
+                self.calibrators.append(IsotonicMap().fit(held, "__y", "__s"))
         return self
 
     def predict_risk(self, frame: DataFrame, out: str = "risk") -> DataFrame:
@@ -220,11 +203,7 @@ class BoostedRisk:
             model = model.copy({model.rawPredictionCol: raw, model.probabilityCol: prob, model.predictionCol: label})
             scored = model.transform(scored).withColumn(f"__s{k}", positive_probability(prob)).drop(raw, prob, label)
             if self.calibrators:
-                calibrator = self.calibrators[k]
-                calibrator = calibrator.copy(
-                    {calibrator.featuresCol: f"__v{k}", calibrator.predictionCol: f"__c{k}"}
-                )
-                scored = calibrator.transform(assemble(scored, [f"__s{k}"], f"__v{k}"))
+                scored = self.calibrators[k].transform(scored, f"__s{k}", f"__c{k}")
                 parts.append(F.col(f"__c{k}"))
             else:
                 parts.append(F.col(f"__s{k}"))
@@ -245,11 +224,9 @@ def fit_multi_horizon(
 ) -> dict[int, BoostedRisk]:
     """One boosted model per horizon whose target column exists; NULL targets are dropped."""
     seed = params.pop("seed", 42)
-    cached = frame.persist(StorageLevel.MEMORY_AND_DISK)
-    models = {
-        h: BoostedRisk(columns, seed=seed + h, **params).fit(cached, f"{prefix}{h}")
-        for h in horizons
-        if f"{prefix}{h}" in frame.columns
-    }
-    cached.unpersist()
-    return models
+    with reused(frame) as cached:
+        return {
+            h: BoostedRisk(columns, seed=seed + h, **params).fit(cached, f"{prefix}{h}")
+            for h in horizons
+            if f"{prefix}{h}" in frame.columns
+        }

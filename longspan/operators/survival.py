@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.regression import AFTSurvivalRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from longspan.functions.columns import POISSON_ONE_CDF, any_present, clip, poisson_one, seeded_draw
+from longspan.operators.newton import fit_logistic
 from longspan.operators.ordered import exact_quantiles, position_within, running
 from longspan.operators.risk import VECTOR, LogisticRisk, assemble, positive_probability
 from longspan.operators.scaling import MedianImputer, Standardizer
@@ -156,7 +156,10 @@ class HazardEnsemble:
     """Discrete-time hazard models on person-period rows with participant bootstrap.
 
     ``kind`` is ``logistic``, ``boosted`` or ``forest``. The assembled rows are
-    kept once; only the weight column changes between replicates.
+    kept once; only the weight column changes between replicates. Logistic
+    replicates are fitted together, one job per Newton step for all of them.
+    ``draw_key`` may give the integer column that draws a participant's weights;
+    without it the hash of the participant's id does.
     """
 
     features: Sequence[str]
@@ -172,6 +175,7 @@ class HazardEnsemble:
     key: str = "participant_id"
     complete_cases: bool = False
     resample: bool = True
+    draw_key: str | None = None
     imputer: MedianImputer | None = None
     scaler: Standardizer | None = None
     models: list = field(default_factory=list)
@@ -186,17 +190,12 @@ class HazardEnsemble:
 
     def _prepare(self, rows: DataFrame) -> DataFrame:
         ready = self.imputer.transform(rows)
-        if self.scaler is not None:
-            ready = self.scaler.transform(ready)
+        if self.kind == "logistic":
+            return self.scaler.transform(ready)
         return assemble(ready, self.inputs()).drop(*self.inputs())
 
-    def _learner(self, index: int, total: float):
+    def _learner(self, index: int):
         seed = self.seed + 37 * index
-        if self.kind == "logistic":
-            return LogisticRegression(
-                featuresCol=VECTOR, labelCol="__y", weightCol="__w", maxIter=1200,
-                regParam=1.0 / total, standardization=False,
-            )
         if self.kind == "boosted":
             return GBTClassifier(
                 featuresCol=VECTOR, labelCol="__y", weightCol="__w", maxIter=self.n_estimators,
@@ -218,8 +217,9 @@ class HazardEnsemble:
             usable = frame.dropna(subset=list(self.features))
         else:
             usable = frame.where(any_present(self.features))
+        drawn = F.col(self.draw_key) if self.draw_key else F.xxhash64(F.col(self.key))
         rows = person_period(usable, self.years).select(
-            F.xxhash64(F.col(self.key)).alias("__key"), F.col("interval_event").cast("double").alias("__y"), *self._raw()
+            drawn.cast("long").alias("__key"), F.col("interval_event").cast("double").alias("__y"), *self._raw()
         )
         with reused(rows) as rows:
             self.imputer = MedianImputer(self.inputs(), empty=0.0).fit(rows)
@@ -227,7 +227,11 @@ class HazardEnsemble:
             return self._fit(rows)
 
     def _fit(self, rows: DataFrame) -> "HazardEnsemble":
-        ready = self._prepare(rows).select("__key", "__y", VECTOR).persist(StorageLevel.MEMORY_AND_DISK)
+        inputs = self.inputs() if self.kind == "logistic" else [VECTOR]
+        with reused(self._prepare(rows).select("__key", "__y", *inputs)) as ready:
+            return self._fit_replicates(ready)
+
+    def _fit_replicates(self, ready: DataFrame) -> "HazardEnsemble":
         replicates = range(self.n_bootstrap if self.resample else 1)
         weights = {b: self._replicate_weight(b) if self.resample else F.lit(1.0) for b in replicates}
         # Class totals of every replicate, and of the full data, in one aggregate.
@@ -238,18 +242,23 @@ class HazardEnsemble:
             *[F.sum(w).alias(f"n{b}") for b, w in weights.items()],
         ).first()
         if not totals.full_n:
-            ready.unpersist()
             raise ValueError("No participants have features for this modality")
-        self.models = []
+        self.models, together = [], []
         for b, weight in weights.items():
             pos, n = totals[f"pos{b}"], totals[f"n{b}"]
             if not pos or pos == n:
                 weight, pos, n = F.lit(1.0), totals.full_pos, float(totals.full_n)
             if self.kind == "logistic" and 0 < pos < n:
                 weight = weight * F.when(F.col("__y") == 1, n / (2.0 * pos)).otherwise(n / (2.0 * (n - pos)))
+            if self.kind == "logistic":
+                together.append(weight.cast("double"))
+                continue
             weighted = ready.withColumn("__w", weight.cast("double")).where(F.col("__w") > 0)
-            self.models.append(self._learner(b, float(n)).fit(weighted))
-        ready.unpersist()
+            self.models.append(self._learner(b).fit(weighted))
+        if together:
+            points = ready.select(F.array(*self.inputs()).alias("x"), F.col("__y").alias("y"), F.array(*together).alias("w"))
+            with reused(points) as points:
+                self.models = fit_logistic(points, len(self.inputs()), len(together), penalty=1.0)
         return self
 
     def hazards(self, frame: DataFrame) -> DataFrame:
@@ -262,6 +271,10 @@ class HazardEnsemble:
         people = frame.select(self.key, *self.features)
         rows = people.withColumn("interval_year", F.explode(F.array(*[F.lit(float(y)) for y in range(1, self.years + 1)])))
         scored = self._prepare(rows.select(self.key, "interval_year", *self._raw()))
+        if self.kind == "logistic":
+            inputs = [F.col(c) for c in self.inputs()]
+            hazards = F.array(*[model.probability(inputs) for model in self.models])
+            return scored.select(self.key, "interval_year", F.posexplode(hazards).alias("replicate", "hazard"))
         names = []
         for b, model in enumerate(self.models):
             raw, prob, label = f"__raw{b}", f"__prob{b}", f"__label{b}"

@@ -54,7 +54,11 @@ def model_metadata(spark: SparkSession, framework: str = "pyspark.ml") -> DataFr
 
 
 def export_models(spark: SparkSession, models: Mapping[str, object], folder: str) -> None:
-    """Save fitted ML models under their names, and the metadata as JSON."""
+    """Save fitted ML models under their names, linear ones and the metadata as JSON."""
     for name, model in models.items():
-        model.write().overwrite().save(f"{folder.rstrip('/')}/{name}")
+        path = f"{folder.rstrip('/')}/{name}"
+        if hasattr(model, "frame"):
+            model.frame(spark).coalesce(1).write.mode("overwrite").json(path)
+        else:
+            model.write().overwrite().save(path)
     model_metadata(spark).coalesce(1).write.mode("overwrite").json(f"{folder.rstrip('/')}/config")

@@ -78,6 +78,12 @@ _AVAILABLE = "list_filter([CASE WHEN cognitive_score IS NOT NULL THEN 'Cognition
 ) + "], lambda x: x IS NOT NULL)"
 
 
+def _bound(values: str, share: float) -> str:
+    place = f"round({share}::DOUBLE * (len({values}) - 1), 9)"
+    low, high = f"{values}[floor({place})::INT + 1]", f"{values}[ceil({place})::INT + 1]"
+    return f"({low} + ({high} - {low}) * ({place} - floor({place})))"
+
+
 @query(
     "participant_warnings",
     "X8, X9, F10",
@@ -90,9 +96,13 @@ _AVAILABLE = "list_filter([CASE WHEN cognitive_score IS NOT NULL THEN 'Cognition
         ], lambda x: x IS NOT NULL), '|') AS warnings FROM wr""",
         "train", "validation",
         extra={
-            "rg": "SELECT " + ", ".join(
-                f"quantile_cont(CAST({f} AS DOUBLE), 0.01) AS lo_{f}, quantile_cont(CAST({f} AS DOUBLE), 0.99) AS hi_{f}" for f in contracts.MODEL_FEATURES
+            # low + (high - low) * share: between two equal values the bound is that value, to the last bit.
+            "sorted_values": "SELECT " + ", ".join(
+                f"list_sort(list(CAST({f} AS DOUBLE)) FILTER (WHERE {f} IS NOT NULL)) AS {f}" for f in contracts.MODEL_FEATURES
             ) + " FROM train",
+            "rg": "SELECT " + ", ".join(
+                f"{_bound(f, 0.01)} AS lo_{f}, {_bound(f, 0.99)} AS hi_{f}" for f in contracts.MODEL_FEATURES
+            ) + " FROM sorted_values",
             "wr": f"SELECT v.participant_id, v.urban_rural, {_AVAILABLE} AS av, {_MISSING} AS mi, {_OUTSIDE} AS ou FROM validation v, rg",
         },
     ),

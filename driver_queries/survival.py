@@ -11,8 +11,10 @@ from driver_queries.modelling import FEATURES, _split
 from longspan.functions.columns import POISSON_ONE_CDF, clip
 from longspan.operators import survival as sv
 from longspan.operators import survival_metrics as sm
+from longspan.operators.cox import CoxBoost, CoxRegression
 from longspan.operators.resampling import replicate_totals
 from longspan.operators.risk import CentroidRisk
+from longspan.session import cut_lineage
 
 EVAL_TIMES = (365.0, 730.0, 1096.0, 1826.0)
 TIMES_SQL = "(SELECT unnest([365.0::DOUBLE, 730.0, 1096.0, 1826.0]) AS eval_time) AS g"
@@ -233,6 +235,86 @@ def _boosted_survival(spark, folder):
     return sv.boosted_survival(FEATURES, n_estimators=5, subsample=0.8).fit(fit_rows).risk_scores(held)
 
 
+COX_STEPS = 7
+COX_X = "(p.age - 70.0) / 10.0"
+COX_CTES = {
+    "cx_rows": f"SELECT s.participant_id, s.event_time_days AS t, s.event AS e, {COX_X} AS x FROM survival s JOIN participants p ON s.participant_id = p.participant_id",
+    "cx_b0": "SELECT 0.0::DOUBLE AS b",
+}
+for _k in range(1, COX_STEPS + 1):
+    COX_CTES[f"cx_t{_k}"] = f"""SELECT t, any_value(b) AS b, sum(e) AS d, sum(e * x) AS dx, sum(exp(b * x)) AS r, sum(x * exp(b * x)) AS rx, sum(x * x * exp(b * x)) AS rxx
+        FROM cx_rows, cx_b{_k - 1} GROUP BY t"""
+    COX_CTES[f"cx_r{_k}"] = f"""SELECT b, d, dx, sum(r) OVER w AS s, sum(rx) OVER w AS sx, sum(rxx) OVER w AS sxx FROM cx_t{_k} WINDOW w AS (ORDER BY t DESC)"""
+    COX_CTES[f"cx_b{_k}"] = f"SELECT any_value(b) + sum(dx - d * sx / s) / sum(d * (sxx / s - (sx / s) * (sx / s))) AS b FROM cx_r{_k}"
+COX_CTES |= {
+    "cx_base": f"""SELECT t, d, sum(CASE WHEN d > 0 THEN d / s ELSE 0.0 END) OVER (ORDER BY t) AS h FROM (
+        SELECT t, d, sum(r) OVER (ORDER BY t DESC) AS s FROM (SELECT t, sum(e) AS d, sum(exp(b * x)) AS r FROM cx_rows, cx_b{COX_STEPS} GROUP BY t) AS c) AS k""",
+    "cx_grid": """SELECT g AS time, coalesce(max(h) FILTER (WHERE t <= g), 0.0) AS h FROM cx_base, (SELECT unnest([200.0::DOUBLE, 365.25, 1095.75, 1826.25]) AS g) GROUP BY g""",
+}
+
+
+def _cox(spark, folder):
+    """All participants with one covariate, and the fitted model."""
+    people = participants(spark, folder).select("participant_id", ((F.col("age") - 70.0) / 10.0).alias("decades"))
+    rows = cut_lineage(survival(spark, folder).join(people, "participant_id"))
+    return rows, CoxRegression(["decades"], standardise=False).fit(rows)
+
+
+@query(
+    "cox_slope",
+    "V8",
+    with_ctes(
+        f"""SELECT any_value(b) AS slope, sum(dx * b - d * ln(s)) AS log_likelihood FROM (SELECT b, d, dx, sum(r) OVER (ORDER BY t DESC) AS s
+        FROM (SELECT t, any_value(b) AS b, sum(e) AS d, sum(e * x) AS dx, sum(exp(b * x)) AS r FROM cx_rows, cx_b{COX_STEPS} GROUP BY t) AS c) AS k WHERE d > 0""",
+        "survival", extra=COX_CTES,
+    ),
+    "slope log_likelihood",
+)
+def _cox_slope(spark, folder):
+    _, model = _cox(spark, folder)
+    return spark.createDataFrame([(model.coefficients["decades"], model.log_likelihood)], "slope double, log_likelihood double")
+
+
+@query(
+    "cox_baseline_hazard",
+    "V8, V11",
+    with_ctes("SELECT t::DOUBLE AS time, d::BIGINT AS events, h AS cumulative_hazard FROM cx_base WHERE d > 0", "survival", extra=COX_CTES),
+    "time cumulative_hazard",
+)
+def _cox_baseline(spark, folder):
+    _, model = _cox(spark, folder)
+    return model.baseline.where("events > 0").select("time", F.col("events").cast("long").alias("events"), "cumulative_hazard")
+
+
+@query(
+    "cox_survival_curve",
+    "V8, V10",
+    with_ctes(
+        f"SELECT participant_id, time, exp(-h * exp(b * x)) AS survival FROM cx_rows, cx_b{COX_STEPS}, cx_grid", "survival", extra=COX_CTES
+    ),
+    "time survival",
+)
+def _cox_curve(spark, folder):
+    rows, model = _cox(spark, folder)
+    return model.survival_function(rows, [200.0, 365.25, 1095.75, 1826.25])
+
+
+@query("cox_regression_risk", "V8, V10")
+def _cox_regression(spark, folder):
+    fit_rows, held = _split(spark, folder)
+    return CoxRegression(FEATURES).fit(fit_rows).risk_scores(held)
+
+
+COX_TREES = 100
+
+
+@query("cox_boosted_risk", "V8")
+def _cox_boosted(spark, folder):
+    fit_rows, held = _split(spark, folder)
+    sv.check_survival_input(fit_rows, FEATURES)
+    return CoxBoost(FEATURES, COX_TREES).fit(fit_rows).risk_scores(held)
+
+
 @query("parametric_survival_risk", "V8")
 def _parametric(spark, folder):
     fit_rows, held = _split(spark, folder)

@@ -8,6 +8,7 @@ from driver_queries.registry import query
 from driver_queries.views import baseline_with_role, series, table, trajectories, with_ctes
 from longspan.operators import trajectory as tr
 from longspan.operators.checks import TRAIN_ROLES
+from longspan.operators.mixed import MixedModel
 from longspan.session import cut_lineage
 
 PAIR_FEATURES = ("age", "education_years")
@@ -121,6 +122,49 @@ def _participant_ridge(spark, folder):
     return done.select("participant_key", "horizon_years", "prediction")
 
 
+_TWO = """SELECT {keys}count(*) * covar_pop(year, visit_index) AS b, count(*) * var_pop(year) + 1.0 AS a, count(*) * var_pop(visit_index) + 1.0 AS d,
+    count(*) * covar_pop(year, cognitive_score) AS u, count(*) * covar_pop(visit_index, cognitive_score) AS v, avg(year) AS m0, avg(visit_index) AS m1, avg(cognitive_score) AS my
+    FROM trajectories {group}"""
+_SOLVED = "SELECT *, (u * d - v * b) / (a * d - b * b) AS w0, (v * a - u * b) / (a * d - b * b) AS w1 FROM ({sums}) AS s"
+TWO_SQL = {
+    "own2": _SOLVED.format(sums=_TWO.format(keys="participant_id, ", group="GROUP BY participant_id")),
+    "pool2": _SOLVED.format(sums=_TWO.format(keys="", group="")),
+}
+
+
+@query(
+    "participant_ridge_two",
+    "T4, T5",
+    with_ctes(
+        """SELECT c.c_custkey AS participant_key, g.year AS horizon_years,
+        coalesce(o.my + o.w0 * (g.year - o.m0) + o.w1 * (g.i - o.m1), p.my + p.w0 * (g.year - p.m0) + p.w1 * (g.i - p.m1)) AS prediction
+        FROM customer c CROSS JOIN (SELECT * FROM (VALUES (1.0::DOUBLE, 2), (3.0, 5), (5.0, 9)) AS v(year, i)) AS g CROSS JOIN pool2 p
+        LEFT JOIN own2 o ON o.participant_id = CAST(c.c_custkey AS VARCHAR)""",
+        "trajectories", extra=TWO_SQL,
+    ),
+    "horizon_years prediction",
+)
+def _participant_ridge_two(spark, folder):
+    rows = trajectories(spark, folder).select(
+        "participant_id", F.col("year").alias("horizon_years"), "visit_index", F.col("cognitive_score").alias("future_score")
+    )
+    model = tr.ParticipantRidgeMany(["horizon_years", "visit_index"])
+    asked = F.explode(F.array(*[F.struct(F.lit(y).alias("horizon_years"), F.lit(i).alias("visit_index")) for y, i in ((1.0, 2), (3.0, 5), (5.0, 9))]))
+    people = table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("participant_key"), F.col("c_custkey").cast("string").alias("participant_id"), asked.alias("g")
+    ).select("participant_key", "participant_id", "g.*")
+    done = model.predict(people, model.fit(rows), model.fit_pooled(rows), "prediction")
+    return done.select("participant_key", "horizon_years", "prediction")
+
+
+@query("mixed_effects", "T6, T7")
+def _mixed(spark, folder):
+    rows = trajectories(spark, folder).select("participant_id", F.col("year").alias("horizon_years"), F.col("cognitive_score").alias("future_score"))
+    model = MixedModel(["horizon_years"]).fit(rows)
+    people = table(spark, folder, "customer").select(F.col("c_custkey").cast("string").alias("participant_id"))
+    return model.person_effects(people)
+
+
 EFFECTS_SQL = {
     "per": """SELECT participant_id, count(*) AS n, regr_sxx(cognitive_score, year) AS sxx, regr_sxy(cognitive_score, year) AS sxy,
         regr_syy(cognitive_score, year) AS syy, avg(year) AS mx, avg(cognitive_score) AS my FROM trajectories GROUP BY participant_id""",

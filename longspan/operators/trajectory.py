@@ -127,6 +127,69 @@ class ParticipantRidge:
         return frame.join(own, self.group, "left").select(*[F.col(f"`{c}`") for c in frame.columns], (intercept + slope * x).alias(out))
 
 
+@dataclass
+class ParticipantRidgeMany:
+    """Ridge per participant on several regressors, with a pooled ridge for everyone else.
+
+    Each participant's centred products are one hash aggregate, and its small system is solved by a
+    Cholesky factor in column expressions, so nothing is grouped into Python. Missing regressors count as 0.
+    """
+
+    features: Sequence[str]
+    group: str = "participant_id"
+    alpha: float = 1.0
+
+    def _rows(self, frame: DataFrame, target: str, keys: Sequence[str]) -> DataFrame:
+        x = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(self.features)]
+        return frame.select(*keys, *x, F.col(target).cast("double").alias("y")).where(F.col("y").isNotNull())
+
+    def fit(self, frame: DataFrame, target: str = "future_score") -> DataFrame:
+        """Participant rows (group, coefficients, intercept)."""
+        return self._solve(self._rows(frame, target, [self.group]).groupBy(self.group), [self.group])
+
+    def fit_pooled(self, frame: DataFrame, target: str = "future_score") -> DataFrame:
+        """One row (coefficients, intercept) over all rows."""
+        return self._solve(self._rows(frame, target, []).groupBy(), [])
+
+    def _solve(self, grouped, keys: Sequence[str]) -> DataFrame:
+        p = len(self.features)
+        n = F.count(F.lit(1))
+        products = [(n * F.covar_pop(f"x{i}", f"x{j}")).alias(f"a{i}_{j}") for i in range(p) for j in range(i + 1)]
+        targets = [(n * F.covar_pop(f"x{i}", "y")).alias(f"c{i}") for i in range(p)]
+        rows = grouped.agg(*products, *targets, *[F.avg(f"x{i}").alias(f"m{i}") for i in range(p)], F.avg("y").alias("my"))
+        # One projection per unknown: each is named once and used several times.
+        for i in range(p):
+            for j in range(i + 1):
+                rest = F.col(f"a{i}_{j}") + (self.alpha if i == j else 0.0)
+                for k in range(j):
+                    rest = rest - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
+                rows = rows.withColumn(f"l{i}_{j}", F.sqrt(rest) if i == j else F.try_divide(rest, F.col(f"l{j}_{j}")))
+        for i in range(p):
+            rest = F.col(f"c{i}")
+            for k in range(i):
+                rest = rest - F.col(f"l{i}_{k}") * F.col(f"z{k}")
+            rows = rows.withColumn(f"z{i}", F.try_divide(rest, F.col(f"l{i}_{i}")))
+        for i in reversed(range(p)):
+            rest = F.col(f"z{i}")
+            for k in range(i + 1, p):
+                rest = rest - F.col(f"l{k}_{i}") * F.col(f"b{k}")
+            rows = rows.withColumn(f"b{i}", F.try_divide(rest, F.col(f"l{i}_{i}")))
+        intercept = F.col("my")
+        for i in range(p):
+            intercept = intercept - F.col(f"b{i}") * F.col(f"m{i}")
+        return rows.select(*keys, F.array(*[F.col(f"b{i}") for i in range(p)]).alias("coefficients"), intercept.alias("intercept"))
+
+    def predict(self, frame: DataFrame, groups: DataFrame, pooled: DataFrame, out: str = "predicted_future_score") -> DataFrame:
+        """Group model where the participant is known, else the pooled one."""
+        own = groups.select(F.col(self.group).alias("__group"), F.col("coefficients").alias("__b"), F.col("intercept").alias("__a"))
+        b = F.coalesce("__b", pooled.select("coefficients").scalar())
+        value = F.coalesce("__a", pooled.select("intercept").scalar())
+        for i, c in enumerate(self.features):
+            value = value + b[i] * F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0))
+        joined = frame.join(own, F.col(self.group) == F.col("__group"), "left")
+        return joined.select(*[joined[f"`{c}`"] for c in frame.columns], value.alias(out))
+
+
 def random_effects(
     frame: DataFrame, group: str = "participant_id", time: str = "horizon_years", target: str = "future_score", min_rows: int = 3
 ) -> DataFrame:

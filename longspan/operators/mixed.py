@@ -20,8 +20,8 @@ from longspan.functions.linalg import cross_products
 from longspan.operators.newton import partial_sums
 from longspan.session import cut_lineage, reused
 
-TOLERANCE = 1e-9
-MAX_ITERATIONS = 500
+TOLERANCE = 1e-7
+MAX_ITERATIONS = 200
 
 
 def _expected(beta: np.ndarray, spread: np.ndarray, variance: float):  # type: ignore[no-untyped-def]

@@ -9,9 +9,9 @@ The tree's upper levels are laid out by a shuffle, its lower ones inside tasks:
 
 1. Copies: documents with equal sets become one, their smallest id.
 2. Upper nodes: a size class, and in it one slice of the token space with exactly equal content. Sets
-   that reach the threshold differ in at most d tokens, so with d + 1 slices they agree on one whole
-   slice: two documents that share no upper node cannot link. Empty slices, which agree by
-   chance, are divided once more by slices of another hash.
+   that reach the threshold differ in at most d tokens, so of more than d slices with tokens they agree
+   on a whole one: two documents that share no upper node cannot link. Sets whose slices are too
+   often empty for that take finer slices as well; the keys stay linear in the tokens.
    A task sends each upper node's smallest document only, and links the others to that one
    itself, so a node that a third of the rows share gets one row per task.
 3. Every document is checked against that first document with which it shares most nodes; the links
@@ -49,6 +49,9 @@ FANOUT = 16
 BLOCK = 1024
 FLUSH = 4_000_000
 BUCKET_BYTES = 16 << 20
+LEVELS = 3
+#: Bytes of keys that a task holds before it passes them on.
+HELD_BYTES = 16 << 20
 
 
 def _lower(text: str | None) -> list[bytes]:
@@ -72,6 +75,8 @@ class _Classes:
 
     def __init__(self, percent: int):
         self.percent = percent
+        # So many more slices than can differ that, in most sets, more of them have tokens than can differ.
+        self.spread = 2 - percent / 100
 
     def of(self, size: int) -> int:
         c = int(np.log(size) / np.log(CLASS_RATIO))
@@ -90,9 +95,12 @@ class _Classes:
         return (100 - self.percent) * 2 * (self.low(c + 1) - 1) // (100 + self.percent) + 1
 
     def joined(self, size: int) -> list[int]:
-        """Its own class, and the next if a set there can link."""
+        """Its own class, and the next ones as far as a set there can link."""
         c = self.of(size)
-        return [c, c + 1] if size * 100 >= self.percent * self.low(c + 1) else [c]
+        out = [c]
+        while size * 100 >= self.percent * self.low(out[-1] + 1):
+            out.append(out[-1] + 1)
+        return out
 
 
 def _slice_sums(tokens: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,39 +113,55 @@ def _slice_sums(tokens: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def upper_nodes(tokens: np.ndarray, classes: _Classes) -> np.ndarray:
-    """Keys of the upper nodes that hold a set."""
+    """Keys of the upper nodes that hold a set: at most LEVELS + 1 for each token and class.
+
+    Linked sets differ in at most d tokens, so at most d of a set's slices differ. Only slices with
+    tokens get a key; a set with more than d of them has one that its partner holds too. A set with
+    fewer adds the keys of twice as many slices, and so on, and in the end a key per token, of which it
+    has more than d. The partner of a set that is content at a level has come to that level as well,
+    or was content before and then met it there.
+    """
     keys = []
-    again = None
     with np.errstate(over="ignore"):
         for c in classes.joined(len(tokens)):
-            parts = classes.slices(c)
-            if parts == 1:
+            most = classes.slices(c) - 1
+            if most == 0:
                 continue  # only equal sets can link, and they are one document already
-            place = np.arange(parts, dtype=np.uint64) + np.uint64(c << 40)
-            sums, empty = _slice_sums(tokens, parts)
-            keys.append(mix(sums + mix(place))[~empty])
-            for slot in place[empty]:
-                if again is None:
-                    again = np.sort(mix(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
-                inner, _ = _slice_sums(again, parts)
-                keys.append(mix(inner + mix(place + (slot << np.uint64(20)) + np.uint64(1 << 62))))
+            for level in range(LEVELS + 1):
+                salt = np.uint64((c << 40) + (level << 50))
+                if level == LEVELS:
+                    keys.append(mix(mix(tokens) + mix(np.array([salt]))))
+                    break
+                parts = int(np.ceil(classes.spread * (most + 1))) << level
+                sums, empty = _slice_sums(tokens, parts)
+                keys.append(mix(sums + mix(np.arange(parts, dtype=np.uint64) + salt))[~empty])
+                if len(keys[-1]) > most:
+                    break
     return np.concatenate(keys) if keys else np.empty(0, np.uint64)
 
 
 def _sets(n: int, percent: int):  # type: ignore[no-untyped-def]
     def sets(batches):  # type: ignore[no-untyped-def]
         classes = _Classes(percent)
+        kinds = {"doc_id": pa.int64(), "n_shingles": pa.int64(), "digest": pa.binary(), "nodes": pa.binary()}
+        rows: list[tuple] = []
+        held = 0
+
+        def passed_on() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
+
         for batch in batches:
-            sizes, digests, nodes = [], [], []
-            for text in batch["text"].to_pylist():
-                tokens = shingles(text, n)
-                sizes.append(len(tokens))
-                digests.append(xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None)
-                nodes.append(binary(upper_nodes(tokens, classes)) if len(tokens) else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(nodes, pa.binary())],
-                ["doc_id", "n_shingles", "digest", "nodes"],
-            )
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                tokens = shingles(text.as_py(), n)
+                digest = xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None
+                nodes = binary(upper_nodes(tokens, classes)) if len(tokens) else None
+                rows.append((doc_id.as_py(), len(tokens), digest, nodes))
+                held += 100 + len(nodes or b"")
+                if held > HELD_BYTES:
+                    yield passed_on()
+                    rows, held = [], 0
+        if rows:
+            yield passed_on()
 
     return sets
 

@@ -7,9 +7,11 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from longspan.llm.ngram_jaccard import jaccard_components
+from longspan.llm import ngram_jaccard
+from longspan.llm.ngram_jaccard import _Classes, jaccard_components, upper_nodes
 from longspan.llm.packing import pack, plan, slots
 from longspan.llm.pieces import UNUSUAL, default_tokenizer, encoder
 from longspan.llm.quality_rules import quality_rules, rule_counts
@@ -191,12 +193,43 @@ def near_copies(seed, groups=6, each=8, share=0.02):
 
 @pytest.mark.parametrize(("percent", "share"), [(90, 0.03), (80, 0.06)])
 def test_jaccard_components(spark, documents, percent, share):
-    rows = near_copies(1, share=share) + [(1000 + (i or 0), t) for i, t in odd_rows(2, 20) if i != 503]
+    rows = near_copies(1, share=share) + [(1000 + (i or 0), t) for i, t in odd_rows(2, 20)]
     rows += [(7, rows[20][1]), (None, rows[3][1]), (None, ""), (990, "one two"), (991, "ONE two"), (992, "one")]
     got = jaccard_components(documents(rows).repartition(3), percent=percent)
     assert sorted(map(tuple, got.collect()), key=str) == jaccard(rows, percent)
 
 
+@pytest.mark.parametrize("percent", [50, 80, 90, 97])
+def test_linked_sets_share_an_upper_node(percent):
+    rng = np.random.default_rng(percent)
+    classes = _Classes(percent)
+    for size in [*range(1, 60), *rng.integers(60, 3000, 60).tolist()]:
+        a = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
+        # As many tokens go and come as the threshold allows.
+        lost = int(rng.integers(0, (100 - percent) * len(a) // 100 + 1))
+        kept = rng.permutation(a)[lost:]
+        most = (100 * len(kept) - percent * len(a)) // percent
+        b = np.unique(np.concatenate([kept, rng.integers(0, 2**64, max(0, most), dtype=np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if np.array_equal(a, b) or 100 * both < percent * (len(a) + len(b) - both):
+            continue
+        assert len(np.intersect1d(upper_nodes(a, classes), upper_nodes(b, classes)))
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+@pytest.mark.parametrize("size", [60_000, 200_000])
+def test_keys_stay_linear_in_the_tokens(percent, size):
+    tokens = np.unique(np.random.default_rng(1).integers(0, 2**64, size, dtype=np.uint64))
+    assert 0 < len(upper_nodes(tokens, _Classes(percent))) < size
+
+
+def test_sets_leave_a_task_by_bytes(monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "HELD_BYTES", 2_000)
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2, None]), "text": pa.array([" ".join(f"w{i}" for i in range(3000)), None, "a b c d"])})
+    out = list(ngram_jaccard._sets(3, 90)([batch]))
+    assert [b.num_rows for b in out] == [1, 2] and out[1]["n_shingles"].to_pylist() == [0, 2]
+
+
 def test_jaccard_of_an_empty_table(spark, documents):
     assert jaccard_components(documents([])).count() == 0
     assert [tuple(r) for r in jaccard_components(documents([(1, None), (2, "")])).orderBy("doc_id").collect()] == [(1, 0, 1), (2, 0, 2)]

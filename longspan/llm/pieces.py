@@ -21,6 +21,8 @@ PIECE = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+
 # Outside of these the classes of the two expression engines may differ (other digits, controls, newer letters).
 UNUSUAL = re.compile(r"[^\x00-\x1b\x20-\x84\x86-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧₠-₵]")
 CACHE = 1_000_000
+#: Ids take several times the room of a count.
+IDS_CACHE = 250_000
 
 
 def default_tokenizer() -> str:
@@ -30,14 +32,14 @@ def default_tokenizer() -> str:
 
 
 class Pieces(dict):
-    """piece -> value(ids), computed once per worker; at most CACHE pieces are kept."""
+    """piece -> value(ids), computed once per worker; at most ``size`` pieces are kept."""
 
-    def __init__(self, encoder: Encoder, value: Callable):
+    def __init__(self, encoder: Encoder, value: Callable, size: int):
         super().__init__()
-        self.encoder, self.value = encoder, value
+        self.encoder, self.value, self.size = encoder, value, size
 
     def __missing__(self, piece: str):  # type: ignore[no-untyped-def]
-        if len(self) >= CACHE:
+        if len(self) >= self.size:
             self.clear()
         out = self[piece] = self.value(self.encoder.merge(piece.encode("utf-8")))
         return out
@@ -62,8 +64,8 @@ class Encoder:
             if token not in self.special
         }
         self.merge = tiktoken.Encoding("pieces", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.counts = Pieces(self, len)
-        self.ids = Pieces(self, lambda ids: np.array(ids, "<u4").tobytes())
+        self.counts = Pieces(self, len, CACHE)
+        self.ids = Pieces(self, lambda ids: np.array(ids, "<u4").tobytes(), IDS_CACHE)
 
     def plain(self, text: str) -> bool:
         return UNUSUAL.search(text) is None and not any(s in text for s in self.special)

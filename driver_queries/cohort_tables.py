@@ -250,20 +250,21 @@ def _oasis_raw(spark, folder):
         F.when(F.col("o_orderkey") % 2 == 0, "0.5").alias("CDR"),
         F.when(F.col("o_orderkey") % 6 > 0, (F.col("o_orderkey") % 30).cast("string")).alias("MMSE"),
     )
-    demographics = c.where(F.col("c_acctbal") > 0).select(
+    known = F.col("c_acctbal") > 0
+    demographics = c.select(
         F.col("c_custkey").cast("string").alias("Subject"),
-        F.when(F.col("c_nationkey") % 2 == 0, "M").otherwise("F").alias("M/F"),
-        (F.col("c_nationkey") + 5).cast("string").alias("EDUC"),
+        F.when(known & (F.col("c_nationkey") % 2 == 0), "M").when(known, "F").alias("M/F"),
+        F.when(known, (F.col("c_nationkey") + 5).cast("string")).alias("EDUC"),
     )
     return native.join_oasis(clinical, demographics)
 
 
 OASIS_RAW_SQL = """SELECT o.*, 'OASIS-' || o_custkey AS pid,
     date_diff('day', DATE '1935-01-01', CAST(o_orderdate AS DATE)) / 365.25 AS age,
-    CASE WHEN c_custkey IS NULL THEN 'Unknown' WHEN c_nationkey % 2 = 0 THEN 'Male' ELSE 'Female' END AS sex,
-    CASE WHEN c_custkey IS NULL THEN 0.0 ELSE CAST(c_nationkey + 5 AS DOUBLE) END AS education,
+    CASE WHEN c_acctbal > 0 THEN CASE WHEN c_nationkey % 2 = 0 THEN 'Male' ELSE 'Female' END ELSE 'Unknown' END AS sex,
+    CASE WHEN c_acctbal > 0 THEN CAST(c_nationkey + 5 AS DOUBLE) ELSE 0.0 END AS education,
     row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS visit_index
-    FROM orders o LEFT JOIN customer c ON o_custkey = c_custkey AND c_acctbal > 0"""
+    FROM orders o LEFT JOIN customer c ON o_custkey = c_custkey"""
 
 
 @query(

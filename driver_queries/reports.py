@@ -26,16 +26,16 @@ from longspan.session import cut_lineage
 from longspan.sources import contracts, sinks
 
 CHECKS_SQL = """SELECT "check", CASE WHEN n = 0 THEN 'Passed' ELSE 'Failed' END AS status, evidence FROM (
-    SELECT 'Participant split isolation' AS "check", (SELECT count(*) - count(DISTINCT participant_id) FROM roles) AS n, 'No person appears in training and validation.' AS evidence
+    SELECT 'Participant split isolation' AS "check", (SELECT count(*) - count(DISTINCT participant_id) FROM roles) AS n, 'Training and validation share no participant.' AS evidence
     UNION ALL SELECT 'Future-visit leakage guard', (SELECT count(*) FROM features f JOIN visits v ON f.visit_id = v.visit_id WHERE v.baseline_days > 0),
-      'Features are anchored at or before each prediction visit.'
+      'No feature is dated after the visit it predicts from.'
     UNION ALL SELECT 'Train-only preprocessing', (SELECT count(*) FROM train WHERE role NOT IN ('global_train', 'tlsa_adaptation')),
-      'Imputation and scaling are fitted on development + TLSA adaptation only.'
-    UNION ALL SELECT 'Canonical unit validation', (SELECT count(*) FROM features WHERE feature_name = 'rnfl_um' AND unit <> 'um'), 'Cohort-native values round-trip to common units.'
+      'Every fitted transform saw rows of the training roles alone.'
+    UNION ALL SELECT 'Canonical unit validation', (SELECT count(*) FROM features WHERE feature_name = 'rnfl_um' AND unit <> 'um'), 'Each feature carries the one unit that the manifest names.'
     UNION ALL SELECT 'Visit chronology', (SELECT count(*) FROM (SELECT baseline_days - lag(baseline_days) OVER (PARTITION BY participant_id ORDER BY visit_index) AS d FROM visits) AS x WHERE d < 0),
-      'Every visit lies at or after the one before it.'
+      'No visit is dated before its predecessor.'
     UNION ALL SELECT 'SANSCOG holdout', (SELECT count(*) FROM roles WHERE cohort = 'SANSCOG' AND role IN ('global_train', 'tlsa_adaptation')),
-      'Rural India remains external validation only.') AS c"""
+      'The held-out rural cohort has no training row.') AS c"""
 
 
 def _checks(spark, folder):

@@ -28,11 +28,13 @@ def days_since_first(
     The first date is a hash aggregate joined back, so a participant with very
     many rows is combined map-side and split by the skew join.
     """
-    first = df.groupBy(by).agg(F.min(date).alias("__first"))
+    first = df.groupBy(F.col(by).alias("__group")).agg(F.min(date).alias("__first"))
     days = F.date_diff(F.col(date), F.col("__first"))
     if missing is not None:
         days = F.coalesce(days, F.lit(missing))
-    return df.drop(out).join(first, by).select(*[F.col(f"`{c}`") for c in df.columns if c != out], days.alias(out))
+    # Rows without a group are a group of their own.
+    joined = df.drop(out).join(first, F.col(by).eqNullSafe(F.col("__group")))
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns if c != out], days.alias(out))
 
 
 def long_measurements(df: DataFrame, measures: Mapping[str, tuple[str, str, str]], cohort: str) -> DataFrame:

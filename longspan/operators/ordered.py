@@ -41,6 +41,16 @@ def with_range(df: DataFrame, order: str, edges: Sequence[float]) -> DataFrame:
     return Bucketizer(splits=splits, inputCol="__order", outputCol=RANGE, handleInvalid="keep").transform(keyed).drop("__order")
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on ``keys`` that keeps rows whose key is NULL; the columns of both sides, the keys once."""
+    there = right.select(*[F.col(k).alias(f"__key_{i}") if k in keys else F.col(k) for i, k in enumerate(right.columns)])
+    condition = F.lit(True)
+    for i, k in enumerate(right.columns):
+        if k in keys:
+            condition = condition & left[k].eqNullSafe(there[f"__key_{i}"])
+    return left.join(there, condition).drop(*[c for c in there.columns if c.startswith("__key_")])
+
+
 def running(
     df: DataFrame,
     order: str,
@@ -89,7 +99,7 @@ def running(
         *[F.coalesce(F.sum(f"__v_{n}").over(inner), F.lit(0)).alias(f"__l_{n}") for n in totals],
         *[F.coalesce(F.product(f"__v_{n}").over(inner), F.lit(1.0)).alias(f"__l_{n}") for n in products],
     )
-    joined = local.join(starts, [*by, RANGE])
+    joined = join_null_safe(local, starts, [*by, RANGE])
     return joined.select(
         *df.columns,
         *[(F.col(f"__l_{n}") + F.col(f"__s_{n}")).alias(n) for n in totals],
@@ -127,7 +137,7 @@ def position_within(
     local = ranged.withColumn("__local", F.row_number().over(inner) - 1)
     condition = F.col(f"l.{RANGE}").eqNullSafe(F.col("s.__start_range"))
     for name in by:
-        condition = condition & (F.col(f"l.{name}") == F.col(f"s.{name}"))
+        condition = condition & F.col(f"l.{name}").eqNullSafe(F.col(f"s.{name}"))
     return (
         local.alias("l")
         .join(starts.alias("s"), condition)

@@ -224,3 +224,17 @@ def test_common_model_from_any_tables(spark):
     assert row.value is None and row.cohort == "x"
     with pytest.raises(ValueError, match="visits"):
         tables.common_model({**raw, "visits": raw["visits"].drop("visit_index")})
+
+
+def test_rows_without_a_group_stay(spark):
+    from longspan.operators.common_model import days_since_first
+    from longspan.operators.ordered import position_within, running
+
+    rows = spark.createDataFrame([(None, "2020-01-05", 1), (None, "2020-01-01", 2), ("a", "2020-02-01", 3)], "participant_id string, day string, n int")
+    dated = rows.withColumn("day", F.col("day").cast("date"))
+    got = {r.n: r.baseline_days for r in days_since_first(dated, "day").collect()}
+    assert got == {1: 4, 2: 0, 3: 0}
+    places = {r.n: r.position for r in position_within(dated, ["participant_id"], "n", "n", ranges=2).collect()}
+    assert places == {1: 0, 2: 1, 3: 0}
+    sums = {r.n: r.total for r in running(dated, "n", {"total": F.col("n")}, by=["participant_id"], ranges=2).collect()}
+    assert sums == {1: 1, 2: 3, 3: 3}

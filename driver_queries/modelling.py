@@ -92,7 +92,7 @@ def _boosted(spark, folder):
 @query("calibrated_boosted_risk", "R4")
 def _calibrated(spark, folder):
     fit_rows, held = _split(spark, folder)
-    model = risk.BoostedRisk(FEATURES, n_estimators=4, learning_rate=0.1, max_depth=3, calibrate=True, folds=3)
+    model = risk.BoostedRisk(FEATURES, n_estimators=4, learning_rate=0.1, max_depth=3, calibrate=True)
     return model.fit(fit_rows, TARGET).predict_risk(held).select("participant_id", "risk")
 
 

@@ -225,7 +225,7 @@ def _hazard_boosted(spark, folder):
 @query("hazard_forest_curve", "V7, V10")
 def _hazard_forest(spark, folder):
     fit_rows, held = _split(spark, folder)
-    return sv.survival_forest(FEATURES, n_estimators=20).fit(fit_rows).survival_function(held)
+    return sv.survival_forest(FEATURES).fit(fit_rows).survival_function(held)
 
 
 @query("boosted_survival_risk", "V8")

@@ -160,7 +160,7 @@ def _participant_ridge_two(spark, folder):
 @query("mixed_effects", "T6, T7")
 def _mixed(spark, folder):
     rows = trajectories(spark, folder).select("participant_id", F.col("year").alias("horizon_years"), F.col("cognitive_score").alias("future_score"))
-    model = MixedModel(["horizon_years"]).fit(rows)
+    model = MixedModel(["horizon_years"], max_iterations=100).fit(rows)
     people = table(spark, folder, "customer").select(F.col("c_custkey").cast("string").alias("participant_id"))
     return model.person_effects(people)
 

@@ -305,7 +305,7 @@ def _cox_regression(spark, folder):
     return CoxRegression(FEATURES).fit(fit_rows).risk_scores(held)
 
 
-COX_TREES = 25
+COX_TREES = 10
 
 
 @query("cox_boosted_risk", "V8")

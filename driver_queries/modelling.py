@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
 from driver_queries.newton_sql import newton_ctes
 from driver_queries.registry import query
 from driver_queries.views import baseline_with_role, scores, train, validation, with_ctes
-from longspan.operators import attribution, fusion, risk
+from longspan.operators import attribution, fusion, risk, tree_attribution
 from longspan.operators.checks import TRAIN_ROLES
+from longspan.operators.scaling import MedianImputer
 from longspan.session import cut_lineage
 
 FEATURES = ("age", "education_years", "cognitive_score", "hippocampal_volume_mm3", "hba1c_percent")
@@ -287,6 +289,28 @@ def _by_modality(spark, folder):
     return attribution.by_modality(_attributions(spark, folder), GROUPS)
 
 
+@query("forest_attribution", "X4")
+def _forest_attribution(spark, folder):
+    """Attributions to the probability of a forest of 200 trees, with its output beside their sum."""
+    fit_rows, held = _split(spark, folder)
+    imputer = MedianImputer(FEATURES).fit(fit_rows)
+    points = risk.assemble(imputer.transform(held), FEATURES)
+    learner = RandomForestClassifier(
+        featuresCol=risk.VECTOR, labelCol=TARGET, numTrees=200, maxDepth=5, minInstancesPerNode=10, seed=42
+    )
+    labelled = risk.assemble(imputer.transform(fit_rows), FEATURES).withColumn(TARGET, F.col(TARGET).cast("double"))
+    model = learner.fit(labelled.where(F.col(TARGET).isNotNull()))
+    output = model.transform(points).select("participant_id", risk.positive_probability().alias("risk"))
+    return tree_attribution.tree_attribution(points, model, FEATURES).join(output, "participant_id")
+
+
+@query("boosted_attribution", "X4")
+def _boosted_attribution(spark, folder):
+    fit_rows, held = _split(spark, folder)
+    model = risk.BoostedRisk(FEATURES, n_estimators=8, learning_rate=0.1, max_depth=3).fit(fit_rows, TARGET)
+    return tree_attribution.boosted_attribution(model, held)
+
+
 _CELLS = ", ".join(f"{{'place': {i}, 'feature': '{f}', 'value': {f}}}" for i, f in enumerate(FEATURES))
 
 

@@ -50,6 +50,11 @@ def _shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def fresh_path(spark: SparkSession) -> str:
+    """A path in the shared checkpoint folder that nothing has been written to."""
+    return f"{_shared_folder(spark)}/longspan/{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back as a plain scan.
 
@@ -58,6 +63,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     the result survives lost executors and is read with column pruning.
     """
     spark = df.sparkSession
-    path = f"{_shared_folder(spark)}/longspan/{uuid.uuid4().hex}"
+    path = fresh_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -12,12 +12,12 @@ from driver_queries.views import (
     metrics_sql,
     predictions,
     scored,
-    scores,
     validation,
     with_ctes,
+    with_groups,
 )
 from longspan.functions.columns import POISSON_ONE_CDF
-from longspan.operators import calibration, comparison, discrimination, fusion, risk, uncertainty
+from longspan.operators import calibration, comparison, discrimination, fusion, risk, risk_arrays, uncertainty
 from longspan.operators.isotonic import IsotonicMap
 from longspan.operators.survival import HazardEnsemble
 from longspan.session import cut_lineage
@@ -104,8 +104,7 @@ ABLATION_SQL = {
     "n event_rate auprc_delta " + METRICS,
 )
 def _ablation(spark, folder):
-    rows = cut_lineage(validation(spark, folder))
-    return fusion.ablation(scores(rows), rows)
+    return risk_arrays.ablation(cut_lineage(with_groups(validation(spark, folder)).select("participant_id", "event_by_3y", "groups")))
 
 
 def _bins_sql(source: str, y: str, s: str, q: int) -> tuple[str, dict[str, str]]:

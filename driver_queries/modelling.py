@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from driver_queries.newton_sql import newton_ctes
 from driver_queries.registry import query
-from driver_queries.views import baseline_with_role, scores, train, validation, with_ctes
-from longspan.operators import attribution, fusion, risk, tree_attribution
+from driver_queries.views import baseline_with_role, scores, train, validation, with_ctes, with_groups
+from longspan.operators import attribution, fusion, risk, risk_arrays, tree_attribution
 from longspan.operators.checks import TRAIN_ROLES
 from longspan.operators.scaling import MedianImputer
 from longspan.session import cut_lineage
@@ -159,12 +159,13 @@ def _late_fusion(spark, folder):
     "risk",
 )
 def _fused(spark, folder):
-    return fusion.risk_distribution(scores(validation(spark, folder)), disabled=["MRI"])
+    return risk_arrays.distribution_rows(with_groups(validation(spark, folder)), disabled=["MRI"])
 
 
 @query("batch_risk", "R14", with_ctes("SELECT * FROM batch", "batch"), "risk_1y risk_3y risk_5y")
 def _batch(spark, folder):
-    return fusion.batch_risk(fusion.risk_distribution(scores(validation(spark, folder))))
+    people = with_groups(validation(spark, folder)).where(F.size("groups") > 0).select("participant_id", "groups")
+    return risk_arrays.with_batch_risk(people)
 
 
 @query(
@@ -178,7 +179,7 @@ def _batch(spark, folder):
     "risk lower upper",
 )
 def _intervals(spark, folder):
-    return fusion.risk_intervals(fusion.risk_distribution(scores(validation(spark, folder))))
+    return risk_arrays.interval_rows(with_groups(validation(spark, folder)))
 
 
 @query(

@@ -12,12 +12,12 @@ from driver_queries.views import (
     participants,
     roles,
     scored,
-    scores,
     validation,
     visits,
     with_ctes,
+    with_groups,
 )
-from longspan.operators import audit, fusion
+from longspan.operators import audit, fusion, risk_arrays
 from longspan.operators.checks import TRAIN_ROLES
 from longspan.operators.common_model import harmonisation_manifest
 from longspan.operators.discrimination import binary_metrics
@@ -135,15 +135,8 @@ WHAT_IF_PEOPLE = """SELECT v.* REPLACE ('As recorded|' || participant_id AS part
 )
 def _what_if(spark, folder):
     changed = audit.what_if(validation(spark, folder), WHAT_IF)
-    keyed = changed.withColumn("participant_id", F.concat_ws("|", "scenario", "participant_id"))
-    risks = fusion.batch_risk(fusion.risk_distribution(scores(keyed)))
-    return risks.select(
-        F.split("participant_id", "\\|")[0].alias("scenario"),
-        F.split("participant_id", "\\|")[1].alias("participant_id"),
-        "risk_1y",
-        "risk_3y",
-        "risk_5y",
-    )
+    people = with_groups(changed).where(F.size("groups") > 0)
+    return risk_arrays.with_batch_risk(people.select("scenario", "participant_id", "groups"))
 
 
 @query(

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from longspan.functions.columns import DRAW_MODULI, clip, flag, map_codes, seeded_draw
 from longspan.operators.checks import TRAIN_ROLES, VALIDATION_ROLES
 from longspan.operators.common_model import baseline_wide, days_since_first, trajectory_series
-from longspan.operators.fusion import batch_risk, risk_distribution
 from longspan.operators.modality import group_available
 from longspan.operators.ordered import position_within
 from longspan.operators.outcomes import conversion_summary, place_of
+from longspan.operators.risk_arrays import with_batch_risk
 from longspan.operators.splits import assign_roles
 from longspan.operators.survival import cumulative_risk
 from longspan.sources import contracts
@@ -192,27 +192,38 @@ def group_strengths() -> dict[str, Column]:
     }
 
 
-def hazards(frame: DataFrame) -> DataFrame:
-    """participant_id, modality, replicate, interval_year, hazard for available groups."""
+def with_groups(frame: DataFrame) -> DataFrame:
+    """``frame`` with ``groups``: modality and hazards (replicate, year) of each available group."""
     cells = [
         F.struct(
             F.lit(i).alias("place"), F.lit(g).alias("modality"), F.when(group_available(g), strength).alias("strength")
         )
         for i, (g, strength) in enumerate(group_strengths().items())
     ]
-    rows = (
-        frame.select("participant_id", "participant_key", F.explode(F.array(*cells)).alias("g"))
-        .where(F.col("g.strength").isNotNull())
-        .withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(REPLICATES - 1))))
-        .withColumn("year", F.explode(F.sequence(F.lit(1), F.lit(5))))
-    )
-    draw = seeded_draw("participant_key", F.col("replicate") * 10 + F.col("g.place"))
+
+    def replicate_hazards(g: Column, replicate: Column) -> Column:
+        draw = seeded_draw("participant_key", replicate * 10 + g["place"])
+        return F.transform(
+            F.sequence(F.lit(1), F.lit(5)), lambda year: g["strength"] * 0.15 + 0.01 + year * 0.005 + draw * 0.02
+        )
+
+    def group(g: Column) -> Column:
+        replicates = F.sequence(F.lit(0), F.lit(REPLICATES - 1))
+        return F.struct(
+            g["modality"].alias("modality"), F.transform(replicates, lambda r: replicate_hazards(g, r)).alias("hazards")
+        )
+
+    present = F.filter(F.array(*cells), lambda g: g["strength"].isNotNull())
+    return frame.withColumn("groups", F.transform(present, group))
+
+
+def hazards(frame: DataFrame) -> DataFrame:
+    """participant_id, modality, replicate, interval_year, hazard for available groups."""
+    rows = with_groups(frame).select("participant_id", F.explode("groups").alias("g"))
+    rows = rows.select("participant_id", F.col("g.modality").alias("modality"), F.posexplode("g.hazards").alias("replicate", "h"))
+    rows = rows.select("participant_id", "modality", "replicate", F.posexplode("h").alias("place", "hazard"))
     return rows.select(
-        "participant_id",
-        F.col("g.modality").alias("modality"),
-        "replicate",
-        F.col("year").cast("double").alias("interval_year"),
-        (F.col("g.strength") * 0.15 + 0.01 + F.col("year") * 0.005 + draw * 0.02).alias("hazard"),
+        "participant_id", "modality", "replicate", (F.col("place") + 1).cast("double").alias("interval_year"), "hazard"
     )
 
 
@@ -223,8 +234,7 @@ def scores(frame: DataFrame) -> DataFrame:
 
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
     """Validation rows with fused median risks; people without groups keep NULL."""
-    frame = validation(spark, folder)
-    return frame.join(batch_risk(risk_distribution(scores(frame))), "participant_id", "left")
+    return with_batch_risk(with_groups(validation(spark, folder)))
 
 
 def trajectories(spark: SparkSession, folder: str) -> DataFrame:

@@ -15,6 +15,7 @@ QUICK = (
     "progression_outcomes", "visit_file_visits", "two_file_visits", "non_monotonic_visits", "split_overlaps",
     "kaplan_meier_by_cohort", "concordance_index", "binary_metrics", "delong_components", "interpolated_series",
     "nearest_vectors", "quantile_bins_tied", "reliability", "late_fusion", "training_pairs", "batch_risk",
+    "fused_distribution", "risk_intervals", "what_if_risk", "ablation", "cumulative_risk", "metrics_by_role",
     "contract_typed_visits", "contract_typed_measurements", "nearest_participants", "participant_warnings", "bootstrap_weights",
 )
 

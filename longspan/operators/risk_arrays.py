@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from longspan.functions.columns import clip
 from longspan.operators.discrimination import ABLATION_SCENARIOS, binary_metrics, with_delta_to_full
 from longspan.operators.survival import HAZARD_CEILING, HAZARD_FLOOR
+from longspan.session import cut_lineage
 from longspan.sources import contracts
 
 
@@ -134,4 +135,6 @@ def ablation(frame: DataFrame, y: str = "event_by_3y", scenarios: Mapping[str, S
     )
     rows = frame.select("participant_id", y, F.explode(cases).alias("case"))
     rows = rows.select("participant_id", y, "case.*").where(F.size("groups") > 0)
-    return with_delta_to_full(binary_metrics(with_batch_risk(rows), y, "risk_3y", ["scenario"]))
+    # The metrics read the risks several times.
+    risks = cut_lineage(with_batch_risk(rows))
+    return with_delta_to_full(binary_metrics(risks, y, "risk_3y", ["scenario"]))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from longspan.llm import queries
+from longspan.llm import binary_search, queries
 from longspan.llm.binary_search import search_embeddings, segments_for
 from longspan.llm.components import components
 from longspan.llm.html_text import extract_text, main_text
@@ -142,6 +142,25 @@ def test_exact_search(spark):
     assert sorted(map(tuple, search_embeddings(few, k=10).collect())) == nearest(rows[100:103], 10)
 
 
+@pytest.mark.parametrize(("bucket", "chunk", "few", "most"), [(256, 1024, 256, 65_536), (4, 8, 256, 65_536), (1, 3, 3, 5)])
+def test_outlying_codes_and_hot_segment_values(spark, monkeypatch, bucket, chunk, few, most):
+    """Narrow and wide segments, hot values in many arrays, and the reading of all arrays give the brute-force result."""
+    for name, value in (("BUCKET", bucket), ("CHUNK", chunk), ("FEW_MASKS", few), ("MOST_MASKS", most)):
+        monkeypatch.setattr(binary_search, name, value)
+    rng = random.Random(5)
+    codes = [(i, rng.getrandbits(64) - 2**63) for i in range(400)]
+    codes += [(5000 + i, codes[0][1]) for i in range(60)]  # one very common code
+    codes += [(7000 + i, rng.getrandbits(30)) for i in range(400)]  # half of the bits alike
+    table = spark.createDataFrame(codes, "id long, code long")
+    asked = [c for c in codes if c[0] % 40 == 0]
+    got = binary_search.top_k_codes(table, spark.createDataFrame(asked, table.schema), 10).collect()
+    want = []
+    for own, code in asked:
+        ranked = sorted((bin((code ^ c) % 2**64).count("1"), i) for i, c in codes if i != own)[:10]
+        want += [(own, rank, i, d) for rank, (d, i) in enumerate(ranked, 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_segments_cover_all_bits():
     for n in (0, 1, 10, 500, 50_000, 10**6, 10**10, 10**19):
         parts = segments_for(n)

@@ -5,8 +5,8 @@ fitting row is left, so a text in a region that clean texts do not reach has a s
 are drawn from the range of the *cell* (seen over clean and bad labelled rows), not of the clean rows
 in it: a statistic that is 0 in every clean text then still isolates the texts where it is not.
 
-The forest is fitted on at most FIT_ROWS labelled rows, those with the smallest hash of their id; this
-bound is the only one. The threshold covers all labelled rows: mean path lengths are rounded to
+The forest is fitted on at most FIT_ROWS different labelled rows, those with the smallest hash; rows above a
+bound computed from their number stay on the executors. This limit is the only one. The threshold covers all labelled rows: mean path lengths are rounded to
 1/SCALE, counted by label in one grouping, and the cut that best separates the labels (a lost clean text weighs as CLEAN_WEIGHT bad ones) is taken, the
 lower one of equals. Rows that the base rules reject take no part in either.
 
@@ -27,6 +27,7 @@ from longspan.llm.common import doc_text, gram_hashes, word_hashes, words
 from longspan.session import cut_lineage
 
 FIT_ROWS = 16_384
+SLACK = 1.05
 TREES = 100
 PER_TREE = 1024
 DEPTH = 16
@@ -133,7 +134,12 @@ class IsolationForest:
 
 def fit_forest(labelled: DataFrame) -> IsolationForest | None:
     """From rows of rule statistics with ``quality``; None without rows of both kinds."""
-    sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id", *_COUNTS).limit(FIT_ROWS).toPandas()
+    columns = ("doc_id", *_COUNTS, "quality")
+    # Equal rows would share a hash and pass the bound together, however many they are.
+    ranked = cut_lineage(labelled.select(*columns).distinct().withColumn("rank", F.shiftrightunsigned(F.xxhash64(*columns), 11)))
+    # Some more than FIT_ROWS rows are under the bound, in all partitions together.
+    bound = min(1.0, SLACK * FIT_ROWS / max(1, ranked.count())) * 2**53
+    sample = ranked.where(F.col("rank") < bound).orderBy("rank", *columns).limit(FIT_ROWS).toPandas()
     good = sample["quality"].to_numpy() == 1
     if good.all() or not good.any():
         return None

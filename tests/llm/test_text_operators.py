@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 
 from longspan.llm import ngram_jaccard
+from longspan.llm import quality_rules as quality_rules_module
 from longspan.llm.ngram_jaccard import _Classes, jaccard_components, upper_nodes
 from longspan.llm.packing import pack, plan, slots
 from longspan.llm.pieces import UNUSUAL, default_tokenizer, encoder
@@ -269,3 +270,21 @@ def test_quality_rules_hold_out(spark, documents):
     without = quality_rules(documents(rows), labels.limit(0)).collect()
     assert all(r.kept != r.base_failed for r in without)
     assert quality_rules(documents([]), labels).count() == 0
+
+
+def test_fit_sample_is_bounded_and_independent_of_partitions(spark, monkeypatch):
+    """A third of the rows is one row; the sample has different rows only, and the same for any partitioning."""
+    rng = random.Random(8)
+    columns = "doc_id long, " + ", ".join(f"{c} long" for c in quality_rules_module._COUNTS) + ", quality int"
+    rows = [(i, *(rng.randrange(20, 90) for _ in quality_rules_module._COUNTS), i % 2) for i in range(400)]
+    rows += [rows[7]] * 200
+    monkeypatch.setattr(quality_rules_module, "FIT_ROWS", 100)
+    seen = []
+    monkeypatch.setattr(quality_rules_module, "features", lambda table: seen.append(sorted(map(tuple, table.to_numpy().tolist()))) or np.zeros((len(table), 5)))
+    for parts in (1, 7):
+        quality_rules_module.fit_forest(spark.createDataFrame(rows, columns).repartition(parts))
+    assert seen[0] == seen[1]
+    assert 60 < len(seen[0]) <= 100 and len(set(seen[0])) == len(seen[0])
+    monkeypatch.setattr(quality_rules_module, "FIT_ROWS", 1000)
+    quality_rules_module.fit_forest(spark.createDataFrame(rows, columns))
+    assert len(seen[2]) == 400

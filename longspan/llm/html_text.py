@@ -5,8 +5,8 @@ its number of tags and its *container*: the outermost article or main element ar
 nearest section, div, cell or the body. Lines inside menus, headers, footers, sidebars, notices,
 adverts, forms, comments or code (by element, role, class or id) are no candidates. The text-to-tag
 ratio of the candidates is smoothed by a Gaussian over neighbouring lines, and the lines above the
-threshold (whose own ratio is at least 1/OWN of it) form the content clusters. Clusters choose containers; a chosen container gives all its
-candidate lines, so that a short heading or paragraph inside an article stays. If a page marks
+threshold (whose own ratio is at least 1/OWN of it) form the content clusters. Clusters choose containers; a chosen container (but for the body) gives all its
+candidate lines and those of the containers in it, so that a short heading, paragraph or table cell inside an article stays. If a page marks
 articles, only these can be chosen.
 
 A class or id is weaker evidence than an element or role: names such as has-sidebar or sidebar-wrap
@@ -18,7 +18,8 @@ Threshold: the standard deviation of the smoothed ratios, but no more than their
 page with any candidate has a cluster.
 
 Defined results: NULL and empty pages, and pages without candidates, have the empty text. Character
-references are decoded; any run of white space is one space. Pages are parsed whole, one at a time.
+references are decoded; any run of white space is one space. Pages are parsed whole, one at a time, in time
+proportional to their length: open elements are found by tag, not by a walk.
 Rows keep their ids, also NULL or repeated ones; an empty table gives an empty result; further
 columns are ignored.
 """
@@ -115,41 +116,66 @@ class _Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.events: list[tuple] = []  # (): a tag; (text, innermost mark); (container, in an article, None): a line's end
         self.stack: list[tuple[str, bool, int, int]] = []  # tag, boilerplate, container or 0, mark or 0
+        self.open: dict[str, list[int]] = {}  # of a tag: its places in the stack
+        self.blocks: list[int] = []  # places of what an omitted end tag does not reach beyond
+        self.solid: list[int] = []  # places of what a stray inline end tag does not close
+        self.open_containers: list[int] = []
+        self.open_articles: list[int] = []
         self.boilerplate = 0
         self.mark = 0  # the innermost open one; 0 is none
         self.outer = {0: (0, 0, False)}  # of a mark: the one around it, how many there are, whether any is foreign
         self.articles: list[tuple[str, int]] = []
         self.pending = False
-        self.containers = 0
+        self.body = 0
+        self.around = [0]  # of a container: the one around it, 0 for none and for the body
 
     def _end_line(self) -> None:
         if self.pending:
-            articles = [c for tag, _, c, _ in self.stack if tag in ARTICLES]
-            own = articles[:1] or [c for _, _, c, _ in self.stack if c][-1:] or [0]
-            self.events.append((own[0], bool(articles), None))
+            own = self.open_articles[:1] or self.open_containers[-1:] or [0]
+            self.events.append((own[0], bool(self.open_articles), None))
             self.pending = False
 
+    def _push(self, tag: str, boilerplate: bool, container: int, mark: int) -> None:
+        at = len(self.stack)
+        self.stack.append((tag, boilerplate, container, mark))
+        self.open.setdefault(tag, []).append(at)
+        if tag not in INLINE and tag not in ("address", "div", "p"):
+            self.blocks.append(at)
+        if boilerplate or container or mark:
+            self.solid.append(at)
+        if container:
+            self.open_containers.append(container)
+        if tag in ARTICLES:
+            self.open_articles.append(container)
+
     def _close(self, at: int) -> None:
-        self.boilerplate -= sum(x[1] for x in self.stack[at:])
-        outermost = next((x[3] for x in self.stack[at:] if x[3]), 0)
-        if outermost:
-            self.mark = self.outer[outermost][0]
-        del self.stack[at:]
+        while len(self.stack) > at:
+            tag, boilerplate, container, mark = self.stack.pop()
+            self.open[tag].pop()
+            self.boilerplate -= boilerplate
+            if mark:
+                self.mark = self.outer[mark][0]
+            if container:
+                self.open_containers.pop()
+            if tag in ARTICLES:
+                self.open_articles.pop()
+        for places in (self.blocks, self.solid):
+            while places and places[-1] >= at:
+                places.pop()
+
+    def _last(self, tags) -> int:  # type: ignore[no-untyped-def]
+        """Place of the innermost open one of the tags, -1 if none is open."""
+        return max((self.open[tag][-1] for tag in tags if self.open.get(tag)), default=-1)
 
     def _close_omitted(self, tag: str) -> None:
         if self.stack and self.stack[-1][0] == "head" and tag not in IN_HEAD or tag == "body":
-            for at, x in enumerate(self.stack):
-                if x[0] == "head":
-                    self._close(at)
-                    break
+            if self.open.get("head"):
+                self._close(self.open["head"][0])
         for closed, beyond in CLOSES.get(tag, ()):
-            for at in range(len(self.stack) - 1, -1, -1):
-                name = self.stack[at][0]
-                if name in closed:
-                    self._close(at)
-                    break
-                if name in beyond if beyond is not None else name not in INLINE and name not in ("address", "div", "p"):
-                    break
+            at = self._last(closed)
+            limit = self._last(beyond) if beyond is not None else self.blocks[-1] if self.blocks else -1
+            if at >= 0 and at >= limit:
+                self._close(at)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag not in INLINE:
@@ -160,8 +186,11 @@ class _Lines(HTMLParser):
             return
         container = mark = 0
         if tag in CONTAINERS:
-            self.containers += 1
-            container = self.containers
+            container = len(self.around)
+            outside = self.open_containers[-1] if self.open_containers else 0
+            self.around.append(0 if outside and outside == self.body else outside)
+            if tag == "body":
+                self.body = container
         boilerplate = _is_boilerplate(tag, attrs)
         self.boilerplate += boilerplate
         # The main element is what it is, by any name.
@@ -173,7 +202,7 @@ class _Lines(HTMLParser):
             _, around, foreign = self.outer[self.mark]
             self.outer[mark] = (self.mark, around + 1, foreign or bool(FOREIGN_NAMES.intersection(names)))
             self.mark = mark
-        self.stack.append((tag, boilerplate, container, mark))
+        self._push(tag, boilerplate, container, mark)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag not in INLINE:
@@ -184,13 +213,10 @@ class _Lines(HTMLParser):
         if tag not in INLINE:
             self._end_line()
         self.events.append(())
-        for at in range(len(self.stack) - 1, -1, -1):
-            name, boilerplate, container, mark = self.stack[at]
-            if name == tag:
-                self._close(at)
-                return
-            if tag in INLINE and (boilerplate or container or mark):
-                return  # a stray inline end tag does not close the element around it
+        at = self._last((tag,))
+        # A stray inline end tag does not close the element around it.
+        if at >= 0 and not (tag in INLINE and self.solid and self.solid[-1] > at):
+            self._close(at)
 
     def handle_data(self, data: str) -> None:
         if self.stack and self.stack[-1][0] == "head" and data.strip():
@@ -272,7 +298,11 @@ def main_text(html: str | None) -> str:
     # A line beside a long text is lifted by it, so its own ratio counts too.
     own = [len(text) / tags for text, tags, _, _ in lines]
     chosen = {x[2] for x, ratio, alone in zip(lines, ratios, own, strict=True) if ratio >= cut and OWN * alone >= cut}
-    return " ".join(text for text, _, container, _ in lines if container in chosen)
+    inside = [0 in chosen]
+    for container in range(1, len(parser.around)):
+        around = parser.around[container]
+        inside.append(container in chosen or bool(around) and inside[around])
+    return " ".join(text for text, _, container, _ in lines if inside[container])
 
 
 def _extract(batches):  # type: ignore[no-untyped-def]

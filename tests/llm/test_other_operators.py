@@ -1,6 +1,7 @@
 """Pages, codes, licenses, mixing and the pipeline against brute force and planted cases."""
 
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -35,6 +36,24 @@ def test_regions_without_article_marks():
     assert main_text(html) == f"{text}{text}Short end."
 
 
+def test_cells_inside_a_chosen_container_stay():
+    story = "Story text goes on and on here. " * 8
+    page = f"<body><div class=post><p>{story}</p><table><tr><td>cell a<td>cell b</table></div><div><a>x</a></div></body>"
+    assert main_text(page) == f"{story}cell a cell b"
+
+
+@pytest.mark.parametrize("part", ["<div>", "<div class='ad'>x", "<p class='ad'><li>x", "<div><b>x</i>", "<table><tr><td>x", "<article><p>x"])
+def test_long_pages_of_open_tags_take_linear_time(part):
+    def seconds(times):
+        begin = time.process_time()
+        main_text(part * times + "text")
+        return time.process_time() - begin
+
+    seconds(2_000)
+    # Ten times the page; a walk over the open elements at each tag would take a hundred times as long.
+    assert seconds(60_000) < 40 * max(seconds(6_000), 0.05)
+
+
 STORY = "A sentence of the story that goes on for a while. " * 5
 
 

@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 from driver_queries.registry import query
 from driver_queries.views import (
     baseline,
+    baseline_with_role,
     draw_sql,
     features,
     roles,
     table,
     train,
-    validation,
     visits,
     with_ctes,
 )
 from longspan.operators import checks, modality, scaling, splits
-from longspan.operators.checks import TRAIN_ROLES
+from longspan.operators.checks import TRAIN_ROLES, VALIDATION_ROLES
+from longspan.session import cut_lineage
 from longspan.sources import contracts
 
 NUMERIC = ("age", "education_years", "cognitive_score", "hippocampal_volume_mm3", "hba1c_percent", "rnfl_um")
@@ -83,6 +84,12 @@ def _overlaps(spark, folder):
     return checks.split_overlaps(by["F"], by["O"], by["P"])
 
 
+def _numeric_rows(spark, folder):
+    """Train and validation rows of the numeric columns; the wide table is written once for both."""
+    rows = cut_lineage(baseline_with_role(spark, folder).select("participant_id", "role", *NUMERIC))
+    return rows.where(F.col("role").isin(*TRAIN_ROLES)), rows.where(F.col("role").isin(*VALIDATION_ROLES))
+
+
 @query(
     "standardized_validation",
     "H5, H11",
@@ -98,8 +105,8 @@ def _overlaps(spark, folder):
     " ".join(NUMERIC),
 )
 def _standardized(spark, folder):
-    scaler = scaling.Standardizer(NUMERIC).fit(train(spark, folder))
-    return scaler.transform(validation(spark, folder)).select("participant_id", *NUMERIC)
+    fit_rows, held = _numeric_rows(spark, folder)
+    return scaling.Standardizer(NUMERIC).fit(fit_rows).transform(held).select("participant_id", *NUMERIC)
 
 
 COMBAT = ("wmh_burden_ml", "hba1c_percent")
@@ -125,6 +132,12 @@ def _combat_ctes() -> dict[str, str]:
     return ctes
 
 
+def _combat_rows(spark, folder):
+    """The corrected columns and their covariate, written once for the fit's passes and the transform."""
+    age = (F.col("age") - 70.0).alias("age")
+    return cut_lineage(baseline_with_role(spark, folder).select("participant_id", "cohort", "role", age, *COMBAT))
+
+
 @query(
     "batch_corrected",
     "H6, H7",
@@ -137,9 +150,7 @@ def _combat_ctes() -> dict[str, str]:
     " ".join(COMBAT),
 )
 def _combat(spark, folder):
-    from driver_queries.views import baseline_with_role
-
-    rows = baseline_with_role(spark, folder).withColumn("age", F.col("age") - 70.0)
+    rows = _combat_rows(spark, folder)
     fitted = scaling.BatchCorrector("cohort", COMBAT, ("age",)).fit(rows.where(F.col("role").isin(*TRAIN_ROLES)))
     return fitted.transform(rows).select("participant_id", "cohort", *COMBAT)
 
@@ -159,9 +170,7 @@ def _combat(spark, folder):
     " ".join(COMBAT),
 )
 def _combat_residual(spark, folder):
-    from driver_queries.views import baseline_with_role
-
-    rows = baseline_with_role(spark, folder).withColumn("age", F.col("age") - 70.0)
+    rows = _combat_rows(spark, folder)
     fitted = scaling.BatchCorrector("cohort", COMBAT, ("age",), mode="residual").fit(rows.where(F.col("role").isin(*TRAIN_ROLES)))
     return fitted.transform(rows).select("participant_id", "cohort", *COMBAT)
 
@@ -231,7 +240,8 @@ def _split_safety(spark, folder):
     " ".join(NUMERIC),
 )
 def _imputed(spark, folder):
-    return scaling.MedianImputer(NUMERIC).fit(train(spark, folder)).transform(validation(spark, folder)).select("participant_id", *NUMERIC)
+    fit_rows, held = _numeric_rows(spark, folder)
+    return scaling.MedianImputer(NUMERIC).fit(fit_rows).transform(held).select("participant_id", *NUMERIC)
 
 
 # --- modality features ---------------------------------------------------------

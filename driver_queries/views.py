@@ -6,18 +6,21 @@ documents + labels -> a scored binary table, events -> irregular series.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from longspan.functions.columns import DRAW_MODULI, clip, flag, map_codes, seeded_draw
+from longspan.functions.columns import DRAW_MODULI, clip, flag, map_codes, seeded_draw, seeded_draws
 from longspan.operators.checks import TRAIN_ROLES, VALIDATION_ROLES
 from longspan.operators.common_model import baseline_wide, days_since_first, trajectory_series
 from longspan.operators.modality import group_available
 from longspan.operators.ordered import position_within
 from longspan.operators.outcomes import conversion_summary, place_of
-from longspan.operators.risk_arrays import with_batch_risk
+from longspan.operators.risk_arrays import risk_rows, with_batch_risk
 from longspan.operators.splits import assign_roles
 from longspan.operators.survival import cumulative_risk
+from longspan.session import cut_lineage
 from longspan.sources import contracts
 
 SEGMENTS = {"AUTOMOBILE": "ADNI", "BUILDING": "NACC", "FURNITURE": "AIBL", "HOUSEHOLD": "TLSA", "MACHINERY": "SANSCOG"}
@@ -117,13 +120,25 @@ def _cells() -> str:
     return "case l_linenumber " + " ".join(f"when {n} then array({', '.join(c)})" for n, c in by_line.items()) + " end"
 
 
-def features(spark: SparkSession, folder: str, cohorts: bool = True) -> DataFrame:
+LINE_SOURCES = tuple(dict.fromkeys(source for _, source in MEASURES))
+
+
+def features(spark: SparkSession, folder: str, cohorts: bool = True, at: DataFrame | None = None) -> DataFrame:
+    """Long measurements, of the visits in ``at`` (visit_id) if it is given.
+
+    Lines meet their orders before they unfold into cells, so a line moves once and without the cells' texts.
+    """
     lines = table(spark, folder, "lineitem").where(F.col("l_linenumber").isin(*{line for line, _ in MEASURES}))
-    long = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.explode(F.expr(_cells())).alias("cell"))
+    lines = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *LINE_SOURCES)
     orders = table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").cast("string").alias("participant_id")
     )
-    rows = long.join(orders, "l_orderkey").select(
+    if at is not None:
+        orders = orders.join(at.select(F.col("visit_id").cast("long").alias("l_orderkey")), "l_orderkey", "left_semi")
+    long = lines.join(orders, "l_orderkey").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "participant_id", F.explode(F.expr(_cells())).alias("cell")
+    )
+    rows = long.select(
         F.concat_ws(
             "-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cell.source_variable"
         ).alias("feature_row_id"),
@@ -151,13 +166,9 @@ def survival(spark: SparkSession, folder: str) -> DataFrame:
 
 def baseline(spark: SparkSession, folder: str) -> DataFrame:
     labels = conversion_summary(outcome_visits(spark, folder), absolute=True)
-    return baseline_wide(
-        participants(spark, folder),
-        first_visits(spark, folder),
-        features(spark, folder, cohorts=False),
-        labels,
-        order="sequence",
-    )
+    first = first_visits(spark, folder)
+    cells = features(spark, folder, cohorts=False, at=first)
+    return baseline_wide(participants(spark, folder), None, cells, labels, order="sequence")
 
 
 def split_draw() -> Column:
@@ -192,29 +203,38 @@ def group_strengths() -> dict[str, Column]:
     }
 
 
-def with_groups(frame: DataFrame) -> DataFrame:
-    """``frame`` with ``groups``: modality and hazards (replicate, year) of each available group."""
-    cells = [
-        F.struct(
-            F.lit(i).alias("place"), F.lit(g).alias("modality"), F.when(group_available(g), strength).alias("strength")
-        )
-        for i, (g, strength) in enumerate(group_strengths().items())
-    ]
+GROUP_LIST = "array<struct<modality:string,hazards:array<array<double>>>>"
 
-    def replicate_hazards(g: Column, replicate: Column) -> Column:
-        draw = seeded_draw("participant_key", replicate * 10 + g["place"])
-        return F.transform(
-            F.sequence(F.lit(1), F.lit(5)), lambda year: g["strength"] * 0.15 + 0.01 + year * 0.005 + draw * 0.02
-        )
 
-    def group(g: Column) -> Column:
-        replicates = F.sequence(F.lit(0), F.lit(REPLICATES - 1))
-        return F.struct(
-            g["modality"].alias("modality"), F.transform(replicates, lambda r: replicate_hazards(g, r)).alias("hazards")
-        )
+def _group_hazards(names: list[str]):
+    """(key, strengths by group place) -> an entry per present group with its hazards by replicate and year."""
+
+    def run(keys: pa.Array, strengths: pa.Array) -> pa.Array:
+        n = len(keys)
+        cells = strengths.flatten()
+        present = cells.is_valid().to_numpy(zero_copy_only=False).reshape(n, len(names))
+        person, place = np.nonzero(present)
+        strength = cells.fill_null(0.0).to_numpy(zero_copy_only=False).reshape(n, len(names))[person, place]
+        known = keys.is_valid().to_numpy(zero_copy_only=False)[person]
+        key = keys.fill_null(0).to_numpy(zero_copy_only=False)[person]
+        draw = seeded_draws(key[:, None], np.arange(REPLICATES) * 10 + place[:, None])
+        hazard = (strength * 0.15 + 0.01)[:, None, None] + np.arange(1, 6) * 0.005 + draw[:, :, None] * 0.02
+        values = pa.array(hazard.ravel(), mask=np.repeat(~known, REPLICATES * 5))
+        by_year = pa.ListArray.from_arrays(pa.array(np.arange(0, hazard.size + 1, 5, dtype=np.int32)), values)
+        by_replicate = pa.ListArray.from_arrays(pa.array(np.arange(0, len(by_year) + 1, REPLICATES, dtype=np.int32)), by_year)
+        modality = pa.array(names, pa.string()).take(pa.array(place))
+        groups = pa.StructArray.from_arrays([modality, by_replicate], ["modality", "hazards"])
+        ends = np.concatenate([[0], np.cumsum(present.sum(axis=1))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), groups)
 
-    present = F.filter(F.array(*cells), lambda g: g["strength"].isNotNull())
-    return frame.withColumn("groups", F.transform(present, group))
+    return F.arrow_udf(run, GROUP_LIST)
+
+
+def with_groups(frame: DataFrame) -> DataFrame:
+    """``frame`` with ``groups``: modality and hazards (replicate, year) of each available group."""
+    strengths = {g: F.when(group_available(g), strength).cast("double") for g, strength in group_strengths().items()}
+    groups = _group_hazards(list(strengths))(F.col("participant_key").cast("long"), F.array(*strengths.values()))
+    return frame.withColumn("groups", groups)
 
 
 def hazards(frame: DataFrame) -> DataFrame:
@@ -228,8 +248,18 @@ def hazards(frame: DataFrame) -> DataFrame:
 
 
 def scores(frame: DataFrame) -> DataFrame:
-    """participant_id, modality, replicate, horizon, risk."""
-    return cumulative_risk(hazards(frame), ("participant_id", "modality", "replicate"))
+    """participant_id, modality, replicate, horizon, risk.
+
+    The yearly product is a projection of the person's row. Only people whose key is NULL or occurs more than once,
+    whose rows share one product, take the long form with its shuffle of 300 rows a person.
+    """
+    needed = [c for c in frame.columns if c in ("participant_id", "participant_key", *contracts.FEATURES)]
+    copies = F.count(F.lit(1)).over(Window.partitionBy("participant_id"))
+    people = cut_lineage(frame.select(*needed, copies.alias("__copies")))
+    single = (F.col("__copies") == 1) & F.col("participant_key").isNotNull()
+    alone = risk_rows(with_groups(people.where(single)))
+    shared = cumulative_risk(hazards(people.where(~single)), ("participant_id", "modality", "replicate"))
+    return alone.unionByName(shared)
 
 
 def predictions(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -166,6 +167,16 @@ def seeded_draw(key: Column | str, seed: int | Column = 0) -> Column:
     return total - F.floor(total)
 
 
+def seeded_draws(keys: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """The same draws as ``seeded_draw`` from arrays of 64-bit integers, for use inside a task."""
+    total = np.zeros(np.broadcast(keys, seeds).shape)
+    for m in DRAW_MODULI:
+        k = keys % m
+        a = (k * 1_103_515_245 + seeds * 12_345 + 6_789) % m
+        total = total + ((a * a + k) % m) / float(m)
+    return total - np.floor(total)
+
+
 # Cumulative Poisson(1) probabilities P(X <= k), k = 0..7.
 POISSON_ONE_CDF = (
     0.36787944117144233,

@@ -166,14 +166,21 @@ def model_indicators() -> list[Column]:
 
 
 def baseline_wide(
-    participants: DataFrame, visits: DataFrame, features: DataFrame, survival: DataFrame, order: str = "feature_row_id"
+    participants: DataFrame,
+    visits: DataFrame | None,
+    features: DataFrame,
+    survival: DataFrame,
+    order: str = "feature_row_id",
 ) -> DataFrame:
     """One row per participant: first-visit features, demographics, event labels.
 
-    ``survival`` has participant_id, event, event_time_days.
+    ``survival`` has participant_id, event, event_time_days. Without ``visits`` the rows of ``features`` are
+    those of first visits already, chosen before they were unfolded.
     """
-    first = visits.where(F.col("visit_index") == 0).select("visit_id")
-    wide = pivot_features(features.join(first, "visit_id", "left_semi"), list(contracts.FEATURES), ["participant_id"], order)
+    if visits is not None:
+        first = visits.where(F.col("visit_index") == 0).select("visit_id")
+        features = features.join(first, "visit_id", "left_semi")
+    wide = pivot_features(features, list(contracts.FEATURES), ["participant_id"], order)
     labels = survival.select("participant_id", "event", "event_time_days", *horizon_labels())
     return (
         participants.select("*", *model_indicators())

@@ -15,6 +15,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from longspan.session import cut_lineage
+
 RANGE = "__range"
 
 
@@ -159,10 +161,11 @@ def exact_quantiles(
     ``kind`` is ``linear`` (interpolated) or ``higher`` (next order statistic).
     Instead of fixed ``probabilities``, ``level`` may be an expression over the
     group size ``n``. Values are counted first, so the built-in exact
-    percentile's one-task value map is not needed.
+    percentile's one-task value map is not needed; the counts are written once,
+    because four passes read them, and ``df`` may be a long plan.
     """
     by = list(by)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
+    counts = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c")))
     upto = running(counts, value, {"__upto": F.col("__c")}, by=by, ranges=ranges)
     sizes = counts.groupBy(*by).agg(F.sum("__c").alias("n"))
     placed = upto.join(sizes, by) if by else upto.withColumn("n", sizes.scalar())

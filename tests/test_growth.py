@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from driver_queries import views
 from longspan.functions.columns import seeded_draw, seeded_draws
-from longspan.operators import ordered
+from longspan.operators import neighbors, ordered
 
 
 @pytest.fixture(scope="module")
@@ -70,3 +70,35 @@ def test_quantiles_read_their_input_once(spark):
     found = ordered.exact_quantiles(rows, "v", [0.25, 0.5]).collect()
     assert reads.value == 1000
     assert sorted(r["quantile"] for r in found) == pytest.approx(np.quantile(np.arange(1000) % 37, [0.25, 0.5]).tolist())
+
+
+@pytest.mark.parametrize("width", [1, 3, 20])
+def test_neighbours_with_ties_copies_and_many_cells(spark, monkeypatch, width):
+    monkeypatch.setattr(neighbors, "CELL_ROWS", 8)
+    rng = np.random.default_rng(width)
+    x = rng.integers(0, 6, size=(240, width)) / 4.0  # many equal vectors and equal distances
+    ids = [f"v{i}" for i in range(240)]
+    rows = spark.createDataFrame(list(zip(ids, x.tolist())), "id string, vector array<double>")
+    odd = spark.createDataFrame([("nan", [float("nan")] * width), ("null", None)], "id string, vector array<double>")
+    rows = rows.unionByName(odd)
+    q = rows.select(F.col("id").alias("qid"), "vector", F.col("id").alias("exclude"))
+    got = neighbors.knn_join(q, rows.withColumnRenamed("id", "rid"), 5).collect()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    want = [
+        (ids[i], r, place + 1)
+        for i in range(240)
+        for place, (_, r) in enumerate(sorted((round(d[i, j], 9), ids[j]) for j in range(240) if j != i)[:5])
+    ]
+    assert sorted((r.qid, r.rid, r["rank"]) for r in got) == sorted(want)
+
+
+def test_a_query_of_few_dimensions_meets_a_small_share_of_the_reference(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "CELL_ROWS", 16)
+    points = np.random.default_rng(1).random((2048, 2))
+    kept = spark.createDataFrame([(f"v{i}", p.tolist()) for i, p in enumerate(points)], "rid string, vector array<double>")
+    tree = neighbors._tree(kept, 2048, 2, 5)
+    leaf = tree.leaf(points)
+    cells = [(c, int((leaf == c).sum()), points[leaf == c].min(0), points[leaf == c].max(0)) for c in np.unique(leaf)]
+    sent = kept.select(F.size(neighbors._tree_candidates(tree, cells, 6)("vector")).alias("n"))
+    # 128 cells: a handful hold the neighbours, where the pivots sent each query to a share that did not fall.
+    assert len(cells) == 128 and sent.agg(F.avg("n")).first()[0] < 8

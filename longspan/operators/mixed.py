@@ -1,8 +1,8 @@
 """Linear mixed model with a random intercept and slope per participant, by expectation maximisation.
 
 A participant enters by its sums only (5 + 2 per further regressor), which one hash aggregate gives;
-they are kept, and every step is one pass over them: tasks add up the expected random effects
-in vectorised steps and send one array each. The likelihood never falls from step to step.
+they are kept in binary blocks, and every step is one pass over them without a shuffle: tasks add up the
+expected random effects in vectorised steps and send one array each. The likelihood never falls from step to step.
 """
 
 from __future__ import annotations
@@ -25,11 +25,10 @@ MAX_ITERATIONS = 200
 
 
 def _expected(beta: np.ndarray, spread: np.ndarray, variance: float):  # type: ignore[no-untyped-def]
-    """batch of sums -> (effects, their variances, Z'Z, Z'y, Z'X, quadratic form, log determinant) per participant."""
+    """rows of sums -> (effects, their variances, Z'Z, Z'y, Z'X, quadratic form, log determinant) per participant."""
     inverse, log_spread = np.linalg.inv(spread), float(np.log(np.linalg.det(spread)))
 
-    def run(batch: pa.RecordBatch):  # type: ignore[no-untyped-def]
-        s = batch["sums"].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+    def run(s: np.ndarray):  # type: ignore[no-untyped-def]
         zz = np.stack([s[:, 0], s[:, 1], s[:, 1], s[:, 2]], axis=1).reshape(-1, 2, 2)
         zy = s[:, 3:5]
         # Columns of Z'X: the constant first, then the regressors.
@@ -44,11 +43,30 @@ def _expected(beta: np.ndarray, spread: np.ndarray, variance: float):  # type: i
     return run
 
 
+def _sums(batch: pa.RecordBatch) -> np.ndarray:
+    return batch["sums"].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def _blocks(people: DataFrame) -> DataFrame:
+    """The sums of up to an Arrow batch of participants as one binary value, which a step reads without conversion."""
+
+    def run(batches):  # type: ignore[no-untyped-def]
+        for batch in batches:
+            if batch.num_rows:
+                block = np.ascontiguousarray(_sums(batch), dtype=np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64()), pa.array([block.tobytes()])], ["n", "block"])
+
+    return people.select("sums").mapInArrow(run, "n long, block binary")
+
+
 def _step(beta: np.ndarray, spread: np.ndarray, variance: float):  # type: ignore[no-untyped-def]
     expected = _expected(beta, spread, variance)
 
     def sums(batch: pa.RecordBatch) -> np.ndarray:
-        b, v, zz, zy, zx, quadratic, log_det = expected(batch)
+        return sum(one(np.frombuffer(block.as_py()).reshape(n.as_py(), -1)) for n, block in zip(batch["n"], batch["block"]))
+
+    def one(block: np.ndarray) -> np.ndarray:
+        b, v, zz, zy, zx, quadratic, log_det = expected(block)
         second = np.einsum("ni,nj->nij", b, b) + v
         return np.concatenate([
             second.sum(axis=0).ravel(), np.einsum("niq,ni->q", zx, b),
@@ -87,7 +105,12 @@ class MixedModel:
 
     def fit(self, frame: DataFrame, target: str = "future_score") -> "MixedModel":
         y, t, x = F.col(target).cast("double"), self._filled(self.time), self._x()
-        rows = frame.where(y.isNotNull() & ~F.isnan(y) & F.col(self.group).isNotNull())
+        kept = frame.where(y.isNotNull() & ~F.isnan(y) & F.col(self.group).isNotNull())
+        # Three passes read the rows: written once, without the plan behind them.
+        rows = cut_lineage(
+            kept.select(F.col(self.group).alias("group"), t.alias("t"), y.alias("y"), *[c.alias(f"x{i}") for i, c in enumerate(x)])
+        )
+        y, t, x = F.col("y"), F.col("t"), [F.col(f"x{i}") for i in range(len(x))]
         gram, n = cross_products(rows, [F.lit(1.0), *x, y])
         if not n:
             raise ValueError("No rows to fit")
@@ -95,19 +118,21 @@ class MixedModel:
         sums = [F.count(F.lit(1)).cast("double"), F.sum(t), F.sum(t * t), F.sum(y), F.sum(t * y)]
         for c in x:
             sums += [F.sum(c), F.sum(t * c)]
-        with reused(rows.groupBy(F.col(self.group).alias("group")).agg(F.array(*sums).alias("sums"))) as people:
-            self._maximise(people.select("sums"), gram[:q, :q], gram[:q, q], gram[q, q], n, float(rows.agg(F.avg(t * t)).first()[0]))
-            self.effects = cut_lineage(self._effects(people))
+        # As a table the sums are read in few partitions, whatever the shuffle had: each of up to 200 steps starts a task for each.
+        people = cut_lineage(rows.groupBy("group").agg(F.array(*sums).alias("sums")).coalesce(rows.sparkSession.sparkContext.defaultParallelism))
+        with reused(_blocks(people)) as blocks:
+            self._maximise(blocks, gram[:q, :q], gram[:q, q], gram[q, q], n, float(rows.agg(F.avg(t * t)).first()[0]))
+        self.effects = cut_lineage(self._effects(people))
         return self
 
-    def _maximise(self, people: DataFrame, xx: np.ndarray, xy: np.ndarray, yy: float, n: int, mean_square_time: float) -> None:
+    def _maximise(self, blocks: DataFrame, xx: np.ndarray, xy: np.ndarray, yy: float, n: int, mean_square_time: float) -> None:
         q = len(xy)
         beta = np.linalg.lstsq(xx, xy, rcond=None)[0]
         variance = max((yy - 2 * beta @ xy + beta @ xx @ beta) / n, 1e-9)
         spread = np.diag([variance / 2, variance / 2 / max(mean_square_time, 1e-9)])
         self.log_likelihoods = []
         for _ in range(self.max_iterations):
-            total = partial_sums(people, _step(beta, spread, variance), 9 + q)
+            total = partial_sums(blocks, _step(beta, spread, variance), 9 + q)
             second, xzb = total[:4].reshape(2, 2), total[4 : 4 + q]
             yzb, trace, quadratic, log_det, groups = total[4 + q :]
             rss = yy - 2 * beta @ xy + beta @ xx @ beta
@@ -126,7 +151,7 @@ class MixedModel:
         def run(batches):  # type: ignore[no-untyped-def]
             for batch in batches:
                 if batch.num_rows:
-                    b = expected(batch)[0]
+                    b = expected(_sums(batch))[0]
                     yield pa.RecordBatch.from_arrays([batch["group"], pa.array(b[:, 0]), pa.array(b[:, 1])], ["group", "intercept_effect", "slope_effect"])
 
         kind = people.schema["group"].dataType.simpleString()

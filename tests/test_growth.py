@@ -102,3 +102,22 @@ def test_a_query_of_few_dimensions_meets_a_small_share_of_the_reference(spark, m
     sent = kept.select(F.size(neighbors._tree_candidates(tree, cells, 6)("vector")).alias("n"))
     # 128 cells: a handful hold the neighbours, where the pivots sent each query to a share that did not fall.
     assert len(cells) == 128 and sent.agg(F.avg("n")).first()[0] < 8
+
+
+def test_steps_of_the_mixed_model_read_few_partitions(spark, monkeypatch):
+    from longspan.operators import mixed
+
+    parts, whole = [], mixed.partial_sums
+
+    def watched(rows, kernel, size):
+        parts.append(rows.rdd.getNumPartitions())
+        return whole(rows, kernel, size)
+
+    monkeypatch.setattr(mixed, "partial_sums", watched)
+    rng = np.random.default_rng(3)
+    rows = [(f"p{i % 40}", float(t), float(20 + i % 7 + t + rng.normal())) for i in range(40) for t in range(4)]
+    frame = spark.createDataFrame(rows, "participant_id string, horizon_years double, future_score double").repartition(32)
+    monkeypatch.setattr(mixed, "MAX_ITERATIONS", 3)
+    model = mixed.MixedModel(["horizon_years"], max_iterations=3).fit(frame)
+    assert len(parts) == 3 and max(parts) <= spark.sparkContext.defaultParallelism
+    assert model.effects.count() == 40

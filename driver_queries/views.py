@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from longspan.functions.columns import DRAW_MODULI, clip, flag, map_codes, seeded_draw, seeded_draws
 from longspan.operators.checks import TRAIN_ROLES, VALIDATION_ROLES
-from longspan.operators.common_model import baseline_wide, days_since_first, trajectory_series
+from longspan.operators.common_model import baseline_wide, days_since_first, may_match, trajectory_series
 from longspan.operators.modality import group_available
 from longspan.operators.ordered import position_within
 from longspan.operators.outcomes import conversion_summary, place_of
@@ -126,7 +126,8 @@ LINE_SOURCES = tuple(dict.fromkeys(source for _, source in MEASURES))
 def features(spark: SparkSession, folder: str, cohorts: bool = True, at: DataFrame | None = None) -> DataFrame:
     """Long measurements, of the visits in ``at`` (visit_id) if it is given.
 
-    Lines meet their orders before they unfold into cells, so a line moves once and without the cells' texts.
+    Lines meet their orders before they unfold into cells, so a line moves once and without the cells' texts. Most lines
+    and orders of other visits than those in ``at`` are left out where they are read.
     """
     lines = table(spark, folder, "lineitem").where(F.col("l_linenumber").isin(*{line for line, _ in MEASURES}))
     lines = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *LINE_SOURCES)
@@ -134,7 +135,9 @@ def features(spark: SparkSession, folder: str, cohorts: bool = True, at: DataFra
         F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").cast("string").alias("participant_id")
     )
     if at is not None:
-        orders = orders.join(at.select(F.col("visit_id").cast("long").alias("l_orderkey")), "l_orderkey", "left_semi")
+        wanted = at.select(F.col("visit_id").cast("long").alias("l_orderkey"))
+        lines = may_match(lines, "l_orderkey", wanted, "l_orderkey")
+        orders = may_match(orders, "l_orderkey", wanted, "l_orderkey").join(wanted, "l_orderkey", "left_semi")
     long = lines.join(orders, "l_orderkey").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "participant_id", F.explode(F.expr(_cells())).alias("cell")
     )

@@ -98,6 +98,25 @@ def pivot_features(
     )
 
 
+#: Places of the marks that ``may_match`` sets: at most half a million rows of 64 marks, 8 MB.
+MARK_PLACES = 1 << 25
+
+
+def may_match(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """``rows`` without most of those whose key is not among ``wanted``, before a join moves them.
+
+    A wanted key marks one place by its hash; rows whose place has no mark go, in the task that reads them. Rows of
+    other keys that share a marked place stay, so the join itself must follow.
+    """
+    place = lambda name: F.pmod(F.xxhash64(F.col(name).cast("long")), F.lit(MARK_PLACES))
+    marks = wanted.select(place(wanted_key).alias("__place")).groupBy(F.shiftright("__place", 6).alias("__word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(__place & 63 as int))")).alias("__marks")
+    )
+    own = place(key)
+    marked = F.getbit("__marks", own.bitwiseAND(F.lit(63)).cast("int")) == 1
+    return rows.join(F.broadcast(marks), (F.shiftright(own, 6) == F.col("__word")) & marked, "left_semi")
+
+
 def unit_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
         [(c, f, u, m, o, note) for (c, f), (u, m, o, note) in UNIT_CONVERSIONS.items()],

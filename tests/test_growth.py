@@ -121,3 +121,15 @@ def test_steps_of_the_mixed_model_read_few_partitions(spark, monkeypatch):
     model = mixed.MixedModel(["horizon_years"], max_iterations=3).fit(frame)
     assert len(parts) == 3 and max(parts) <= spark.sparkContext.defaultParallelism
     assert model.effects.count() == 40
+
+
+def test_lines_of_other_visits_go_where_they_are_read(spark, folder):
+    from longspan.operators.common_model import may_match
+
+    rows = spark.range(20000).select(F.col("id").alias("key")).union(spark.sql("SELECT CAST(NULL AS LONG)"))
+    wanted = spark.range(0, 20000, 100).select(F.col("id").alias("visit")).union(spark.sql("SELECT 100L"))
+    kept = may_match(rows, "key", wanted, "visit")
+    # No wanted row goes, rows are not repeated, and few others stay.
+    assert kept.join(wanted.distinct(), F.col("key") == F.col("visit")).count() == 200 and kept.count() < 210
+    plan = views.baseline(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("__marks") >= 2

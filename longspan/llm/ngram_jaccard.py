@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from longspan.llm.common import MAX_ID, binary, cells, doc_text, gram_hashes, mix, text_bytes, word_hashes, words
 from longspan.llm.components import components
-from longspan.session import cut_lineage
+from longspan.session import cut_lineage, temporary_tables
 
 N = 3
 PERCENT = 90
@@ -385,7 +385,15 @@ def _candidates(members: DataFrame, labels: DataFrame, texts: DataFrame, n: int,
 
 
 def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest reachable doc_id) of every row."""
+    """doc_id, n_shingles and component_id (smallest reachable doc_id) of every row.
+
+    The result is written once, so the tables of keys, texts and links do not outlive the join.
+    """
+    with temporary_tables(docs.sparkSession):
+        return cut_lineage(_joined(docs, n, percent), keep=True)
+
+
+def _joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
     source = doc_text(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(MAX_ID)))
     buckets = 1 + text_bytes(source) // BUCKET_BYTES
     sets = cut_lineage(source.mapInArrow(_sets(n, percent), "doc_id long, n_shingles long, digest binary, nodes binary"))

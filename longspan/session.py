@@ -55,14 +55,36 @@ def fresh_path(spark: SparkSession) -> str:
     return f"{_shared_folder(spark)}/longspan/{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+#: Paths that ``cut_lineage`` wrote inside each open ``temporary_tables`` block, the innermost last.
+_blocks: list[list[str]] = []
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession):
+    """Delete at the end what ``cut_lineage`` wrote inside, but for tables it was told to keep.
+
+    What leaves the block must be read from kept tables only.
+    """
+    _blocks.append([])
+    try:
+        yield
+    finally:
+        for path in _blocks.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def cut_lineage(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back as a plain scan.
 
     The folder is the one named in ``spark.checkpoint.dir``; a machine-local
     one is used only in local mode where none is set. Being a Parquet table,
-    the result survives lost executors and is read with column pruning.
+    the result survives lost executors and is read with column pruning. With
+    ``keep`` it outlives the ``temporary_tables`` block it is written in.
     """
     spark = df.sparkSession
     path = fresh_path(spark)
+    if _blocks and not keep:
+        _blocks[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

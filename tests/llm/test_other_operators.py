@@ -427,3 +427,19 @@ def test_pipeline_near_copies(spark, documents):
 def test_registered_names():
     assert {int(name[2:].split("_")[0]) for name in queries.QUERIES} == set(range(1, 11))
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_near_copy_join_leaves_only_its_result_on_disk(spark, tmp_path, monkeypatch):
+    from longspan import session
+    from longspan.llm.ngram_jaccard import jaccard_components
+
+    written = []
+    path_of = session.fresh_path
+    monkeypatch.setattr(session, "_shared_folder", lambda _: f"file:{tmp_path}")
+    monkeypatch.setattr(session, "fresh_path", lambda s: written.append(path_of(s)) or written[-1])
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text), (2, text + " x"), (3, "a b c d"), (None, None)], "doc_id long, text string")
+    got = jaccard_components(docs)
+    left = [p for p in written if (tmp_path / "longspan" / p.rsplit("/", 1)[1]).exists()]
+    assert len(written) > 3 and left == written[-1:]
+    assert {r.doc_id: r.component_id for r in got.collect()} == {1: 1, 2: 1, 3: 3, None: None}

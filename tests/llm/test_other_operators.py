@@ -425,7 +425,7 @@ def test_pipeline_near_copies(spark, documents):
 
 
 def test_registered_names():
-    assert {int(name[2:].split("_")[0]) for name in queries.QUERIES} == set(range(1, 11))
+    assert {int(name[2:].split("_")[0]) for name in queries.QUERIES} == set(range(1, 14))
     assert corpus_pipeline.ORACLE_SQL is None
 
 

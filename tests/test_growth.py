@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from driver_queries import views
 from longspan.functions.columns import seeded_draw, seeded_draws
-from longspan.operators import neighbors, ordered
+from longspan.operators import checks, neighbors, ordered
 
 
 @pytest.fixture(scope="module")
@@ -43,6 +43,35 @@ def test_cells_unfold_after_the_choice_of_first_visits(spark, folder):
     assert "LeftSemi" not in above and "LeftSemi" in plan
 
 
+def _above_tables(df):
+    return [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Relation" not in line]
+
+
+def test_columns_and_features_that_nobody_reads_do_not_move(spark, folder):
+    every = views.features(spark, folder, cohorts=False)
+    plan = "".join(_above_tables(every.select("participant_id", "visit_id")))
+    assert "l_orderkey" in plan and "l_quantity" not in plan and "l_extendedprice" not in plan
+    names = ("cognitive_score", "hba1c_percent")
+    chosen = views.features(spark, folder, cohorts=False, names=names)
+    assert sorted(map(str, chosen.collect())) == sorted(map(str, every.where(F.col("feature_name").isin(*names)).collect()))
+    scores = views.trajectory_series(views.visits(spark, folder), every)
+    got = views.trajectories(spark, folder, views.visits(spark, folder))
+    assert sorted(map(str, got.collect())) == sorted(map(str, scores.collect()))
+    assert "l_extendedprice" not in "".join(_above_tables(got))
+
+
+def test_safety_counts_features_before_they_meet_their_visits(spark):
+    roles = spark.createDataFrame([("a", "ADNI", "global_train"), ("b", "TLSA", "india_validation")], "participant_id string, cohort string, role string")
+    features = spark.createDataFrame([("a", "v1")] * 3 + [("a", "v2"), ("b", None), (None, "v1"), ("b", "v3")], "participant_id string, visit_id string")
+    visits = spark.createDataFrame([("v1", 5), ("v1", 7), ("v2", 0), ("v3", 9)], "visit_id string, baseline_days int")
+    anchors = spark.createDataFrame([("a", 1), ("b", 10)], "participant_id string, anchor_days int")
+    found = checks.split_safety(roles, features, visits, anchors)
+    assert {r.check: r.violations for r in found.collect()}["no_future_features"] == 6
+    assert {r.check: r.violations for r in checks.split_safety(roles, features, visits).collect()}["no_future_features"] == 0
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [participant_id" in plan
+
+
 def test_scores_of_repeated_keys_equal_the_window_form(spark, folder):
     people = views.baseline_with_role(spark, folder)
     keys = ["participant_id", "modality", "replicate", "horizon"]

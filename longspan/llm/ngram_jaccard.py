@@ -47,6 +47,11 @@ PERCENT = 90
 CLASS_RATIO = 1.5
 FANOUT = 16
 BLOCK = 1024
+#: Bits to a token in a document's bitmap, at least. With few, tokens that differ fall on one bit so often that many pairs
+#: below the threshold pass. Bitmaps over WIDE_BITS get fewer, down to LEAST_BITS, which bounds the blocks' memory.
+BITS, LEAST_BITS, WIDE_BITS = 16, 2, 1 << 16
+#: 64-bit words of bitmaps compared at once, and node pairs whose children are.
+COMPARED_WORDS, OPENED_PAIRS = 1 << 20, 512
 FLUSH = 4_000_000
 BUCKET_BYTES = 16 << 20
 LEVELS = 3
@@ -251,13 +256,18 @@ def checked(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
     return pairs.join(side_a, "a").join(side_b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_check(n, percent), "a long, b long")
 
 
+def _bits(size: int) -> int:
+    least, wanted = (1 << max(6, (k * size - 1).bit_length()) for k in (LEAST_BITS, BITS))
+    return max(least, min(wanted, WIDE_BITS))
+
+
 def _bitmaps(n: int):  # type: ignore[no-untyped-def]
     def bitmaps(batches):  # type: ignore[no-untyped-def]
         for batch in batches:
             sizes, maps = [], []
             for text in batch["text"].to_pylist():
                 tokens = shingles(text, n)
-                bits = 1 << max(6, int(2 * len(tokens) - 1).bit_length())
+                bits = _bits(len(tokens))
                 on = np.zeros(bits, bool)
                 on[(mix(tokens ^ np.uint64(0x5A5A5A5A)) >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)] = True
                 sizes.append(len(tokens))
@@ -287,8 +297,9 @@ def _may_link(one: dict, two: dict, i: np.ndarray, j: np.ndarray, percent: int)
     done = (one["from"][i] == one["to"][i]) & (two["from"][j] == two["to"][j]) & (one["from"][i] == two["from"][j])
     keep &= ~done
     at = np.flatnonzero(keep)
-    for start in range(0, len(at), 8192):
-        part = at[start : start + 8192]
+    step = max(1, COMPARED_WORDS // one["bits"].shape[1])
+    for start in range(0, len(at), step):
+        part = at[start : start + step]
         common = np.bitwise_count(one["bits"][i[part]] & two["bits"][j[part]]).sum(axis=1, dtype=np.int64)
         most[part] = overlap = common + np.minimum(one["slack"][i[part]], two["slack"][j[part]])
         # 100 * overlap >= percent * union, with union = sizes - overlap
@@ -299,21 +310,29 @@ def _may_link(one: dict, two: dict, i: np.ndarray, j: np.ndarray, percent: int)
 def traverse(one: SignatureTree, two: SignatureTree, percent: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document pairs that no node pair above them rules out, and their most possible overlap relative
     to their sizes; each pair once if both trees are the same."""
-    top = min(len(one.levels), len(two.levels)) - 1
-    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(one.levels[top]["least"])), np.arange(len(two.levels[top]["least"]))))
-    for level in range(top, -1, -1):
-        a, b = one.levels[level], two.levels[level]
+
+    def kept(level: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, ...]:
         if same:
             ordered = i <= j if level else i < j
             i, j = i[ordered], j[ordered]
-        keep, most = _may_link(a, b, i, j, percent)
-        i, j, most = i[keep], j[keep], most[keep]
-        if level:
-            steps = np.arange(FANOUT)
-            i = np.repeat(i * FANOUT, FANOUT * FANOUT) + np.tile(np.repeat(steps, FANOUT), len(i))
-            j = np.repeat(j * FANOUT, FANOUT * FANOUT) + np.tile(np.tile(steps, FANOUT), len(j))
-            inside = (i < len(one.levels[level - 1]["least"])) & (j < len(two.levels[level - 1]["least"]))
-            i, j = i[inside], j[inside]
+        keep, most = _may_link(one.levels[level], two.levels[level], i, j, percent)
+        return i[keep], j[keep], most[keep]
+
+    def children(level: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        steps = np.arange(FANOUT)
+        below_i = np.repeat(i * FANOUT, FANOUT * FANOUT) + np.tile(np.repeat(steps, FANOUT), len(i))
+        below_j = np.repeat(j * FANOUT, FANOUT * FANOUT) + np.tile(np.tile(steps, FANOUT), len(j))
+        inside = (below_i < len(one.levels[level]["least"])) & (below_j < len(two.levels[level]["least"]))
+        return below_i[inside], below_j[inside]
+
+    top = min(len(one.levels), len(two.levels)) - 1
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(one.levels[top]["least"])), np.arange(len(two.levels[top]["least"]))))
+    i, j, most = kept(top, i, j)
+    for level in range(top - 1, -1, -1):
+        # A few node pairs at a time, so only pairs that are kept are held.
+        starts = range(0, max(1, len(i)), OPENED_PAIRS)
+        parts = [kept(level, *children(level, i[s : s + OPENED_PAIRS], j[s : s + OPENED_PAIRS])) for s in starts]
+        i, j, most = (np.concatenate(p) for p in zip(*parts, strict=True))
     return i, j, most / (one.levels[0]["least"][i] + two.levels[0]["least"][j])
 
 

@@ -288,3 +288,21 @@ def test_fit_sample_is_bounded_and_independent_of_partitions(spark, monkeypatch)
     monkeypatch.setattr(quality_rules_module, "FIT_ROWS", 1000)
     quality_rules_module.fit_forest(spark.createDataFrame(rows, columns))
     assert len(seen[2]) == 400
+
+
+def test_documents_below_the_threshold_make_few_candidate_pairs(monkeypatch):
+    shared = [f"s{i}" for i in range(344)]
+    texts = [" ".join([*shared, *(f"d{d}w{i}" for i in range(56))]) for d in range(80)]
+    texts.append(texts[0].rsplit(" ", 5)[0] + " a b c d e")
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts)})
+    maps = pa.Table.from_batches(ngram_jaccard._bitmaps(1)([batch]))
+    table = maps.append_column("component", maps["doc"]).append_column("side", pa.array([0] * len(texts)))
+    want = [{"a": 80, "b": 0, "more": False}]
+    assert ngram_jaccard._pairs(80, 100)(table).to_pylist() == want
+    monkeypatch.setattr(ngram_jaccard, "OPENED_PAIRS", 1)
+    monkeypatch.setattr(ngram_jaccard, "COMPARED_WORDS", 1)
+    assert ngram_jaccard._pairs(80, 100)(table).to_pylist() == want
+    everyone = ngram_jaccard._pairs(70, 100)(table).select(["a", "b"]).to_pylist()
+    assert len(everyone) == 81 * 80 // 2
+    # Large sets have bounded bitmaps: two bits a token at least, more only up to the bound.
+    assert [ngram_jaccard._bits(k) for k in (1, 8, 4096, 30_000, 40_000)] == [64, 128, 1 << 16, 1 << 16, 1 << 17]

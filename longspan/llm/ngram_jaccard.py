@@ -14,6 +14,10 @@ The tree's upper levels are laid out by a shuffle, its lower ones inside tasks:
    often empty for that take finer slices as well; the keys stay linear in the tokens.
    A task sends each upper node's smallest document only, and links the others to that one
    itself, so a node that a third of the rows share gets one row per task.
+   With k slices that have tokens, linked sets agree on k - d of them at least. So a document leaves its
+   k - d - 1 nodes of most documents: of all nodes in one order, the first that two linked sets share
+   stays with both. One that shares no more nodes than that with all others together is done. Nodes that
+   documents tie together become one while they hold no more than a block's documents.
 3. Every document is checked against that first document with which it shares most nodes; the links
    give first components. Nodes that lie in one component are done, as only reachability is asked,
    and of nodes with the same documents one is enough.
@@ -22,7 +26,7 @@ The tree's upper levels are laid out by a shuffle, its lower ones inside tasks:
    traversed as pairs of blocks in tasks of their own.
 5. Surviving pairs are checked exactly on whole texts, the most promising of each document first. Their
    links join components, which cuts most of the others, and steps 4 and 5 repeat with sixteen times
-   as many pairs to a document until a traversal leaves no pair unchecked.
+   as many pairs to a document, for the blocks that left a pair unchecked, until there are none.
 
 Sets are held as 64-bit hashes of the n-grams. Defined results: NULL, empty and blank texts have an
 empty set and link with nothing. Texts of fewer words than n have one token, the whole sequence. Rows
@@ -35,7 +39,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from longspan.llm.common import MAX_ID, binary, cells, doc_text, gram_hashes, mix, text_bytes, word_hashes, words
@@ -55,6 +59,8 @@ COMPARED_WORDS, OPENED_PAIRS = 1 << 20, 512
 FLUSH = 4_000_000
 BUCKET_BYTES = 16 << 20
 LEVELS = 3
+#: The lowest bits of a node's key say its size class and level.
+SLOT = (1 << 9) - 1
 #: Bytes of keys that a task holds before it passes them on.
 HELD_BYTES = 16 << 20
 
@@ -135,20 +141,33 @@ def upper_nodes(tokens: np.ndarray, classes: _Classes) -> np.ndarray:
             for level in range(LEVELS + 1):
                 salt = np.uint64((c << 40) + (level << 50))
                 if level == LEVELS:
-                    keys.append(mix(mix(tokens) + mix(np.array([salt]))))
+                    keys.append(_in_slot(mix(mix(tokens) + mix(np.array([salt]))), c, level))
                     break
                 parts = int(np.ceil(classes.spread * (most + 1))) << level
                 sums, empty = _slice_sums(tokens, parts)
-                keys.append(mix(sums + mix(np.arange(parts, dtype=np.uint64) + salt))[~empty])
+                keys.append(_in_slot(mix(sums + mix(np.arange(parts, dtype=np.uint64) + salt))[~empty], c, level))
                 if len(keys[-1]) > most:
                     break
     return np.concatenate(keys) if keys else np.empty(0, np.uint64)
 
 
+def _in_slot(keys: np.ndarray, c: int, level: int) -> np.ndarray:
+    return keys & np.uint64(~SLOT & (1 << 64) - 1) | np.uint64(c << 2 | level)
+
+
+def spare_nodes(nodes: np.ndarray, classes: _Classes) -> list[dict[str, int]]:
+    """Per class and level (slot) of a set's nodes, how many fewer than it shares with any set linked to it there."""
+    slots, sizes = np.unique(np.unique(nodes) & np.uint64(SLOT), return_counts=True)
+    return [{"slot": s, "spare": max(0, k - classes.slices(s >> 2))} for s, k in zip(slots.tolist(), sizes.tolist(), strict=True)]
+
+
+SPARES = pa.list_(pa.struct([("slot", pa.int64()), ("spare", pa.int64())]))
+
+
 def _sets(n: int, percent: int):  # type: ignore[no-untyped-def]
     def sets(batches):  # type: ignore[no-untyped-def]
         classes = _Classes(percent)
-        kinds = {"doc_id": pa.int64(), "n_shingles": pa.int64(), "digest": pa.binary(), "nodes": pa.binary()}
+        kinds = {"doc_id": pa.int64(), "n_shingles": pa.int64(), "digest": pa.binary(), "nodes": pa.binary(), "spares": SPARES}
         rows: list[tuple] = []
         held = 0
 
@@ -159,9 +178,10 @@ def _sets(n: int, percent: int):  # type: ignore[no-untyped-def]
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 tokens = shingles(text.as_py(), n)
                 digest = xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None
-                nodes = binary(upper_nodes(tokens, classes)) if len(tokens) else None
-                rows.append((doc_id.as_py(), len(tokens), digest, nodes))
-                held += 100 + len(nodes or b"")
+                nodes = upper_nodes(tokens, classes) if len(tokens) else None
+                spares = spare_nodes(nodes, classes) if len(tokens) else None
+                rows.append((doc_id.as_py(), len(tokens), digest, None if nodes is None else binary(nodes), spares))
+                held += 200 + (0 if nodes is None else nodes.nbytes)
                 if held > HELD_BYTES:
                     yield passed_on()
                     rows, held = [], 0
@@ -348,6 +368,9 @@ def _pairs(percent: int, each: int):  # type: ignore[no-untyped-def]
         width = min(map(len, table["bitmap"].to_pylist())) // 8
         side = table["side"].to_numpy()
         parts = [table.filter(pa.array(side == s)) for s in (0, 1)]
+        if not parts[0].num_rows:
+            # No document fell in the first block; the second one meets itself elsewhere.
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "more": pa.array([], pa.bool_())})
         one, t1 = tree(parts[0], width)
         two, t2 = tree(parts[1], width) if parts[1].num_rows else (one, t1)
         i, j, hope = traverse(t1, t2, percent, same=not parts[1].num_rows)
@@ -372,18 +395,58 @@ def _folded(bitmap: np.ndarray, width: int) -> np.ndarray:
     return np.packbits(on, bitorder="little").view(np.uint64)
 
 
-def _members(met: DataFrame) -> DataFrame:
-    """(node, doc) of every upper node, of nodes with the same documents only one."""
+def _members(met: DataFrame, spares: DataFrame) -> DataFrame:
+    """(node, doc, blocks) of every upper node, without the nodes that documents can spare; of nodes with the same documents only one.
+
+    Nodes of one class and level that documents tie together are one node if they hold no more documents
+    than a block, so a document of many such nodes moves once.
+    The order of all nodes is that of their numbers of documents, and of equal ones their keys'. Different
+    sets under one id are spared what each of them can spare, and those under the NULL id nothing.
+    """
     members = met.select("node", "doc").unionByName(met.select("node", F.col("first").alias("doc"))).distinct()
+    sizes = members.groupBy("node").agg(F.count("*").alias("n"))
+    named = members.where(F.col("doc") != MAX_ID).join(sizes, "node").withColumn("slot", F.col("node").bitwiseAND(SLOT))
+    place = F.row_number().over(Window.partitionBy("doc", "slot").orderBy(F.desc("n"), F.desc("node")))
+    least = spares.groupBy("doc", "slot").agg(F.min("spare").alias("spare"))
+    needed = named.withColumn("place", place).join(least, ["doc", "slot"]).where("place > spare").select("node", "doc")
+    members = cut_lineage(needed.unionByName(members.where(F.col("doc") == MAX_ID)))
+    sizes = members.groupBy("node").agg(F.count("*").alias("n"), F.min("doc").alias("first")).where("n > 1")
+    members = members.join(sizes.select("node", "first"), "node")
+    groups = components(members.select(F.col("doc").alias("a"), F.col("first").alias("b"))).select(F.col("node").alias("doc"), "component")
+    group = F.xxhash64(F.coalesce("component", "doc"), F.col("node").bitwiseAND(SLOT))
+    members = cut_lineage(members.join(groups, "doc", "left").select("node", "doc", group.alias("group")))
+    of_groups = members.select("group", "doc").distinct()
+    large = of_groups.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("group")
+    small = of_groups.join(large, "group", "left_anti").select(F.col("group").alias("node"), "doc", F.lit(1).alias("blocks"))
+    members = members.join(large, "group", "left_semi").select("node", "doc")
     marks = members.groupBy("node").agg(
         F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc")).alias("m0"), F.bit_xor(F.xxhash64(F.lit(1), "doc")).alias("m1")
     )
     one_each = marks.groupBy("n", "m0", "m1").agg(F.min("node").alias("node"))
-    return members.join(one_each.select("node", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "node")
+    return small.unionByName(members.join(one_each.select("node", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "node"))
+
+
+def _of_blocks(percent: int, each: int):  # type: ignore[no-untyped-def]
+    pairs = _pairs(percent, each)
+
+    def of_blocks(key: tuple, table: pa.Table) -> pa.Table:
+        out = pairs(table)
+        for name, value in zip(("node", "one", "two"), key, strict=True):
+            out = out.append_column(name, pa.array([value.as_py()] * out.num_rows, value.type))
+        return out
+
+    return of_blocks
+
 
+def _candidates(
+    members: DataFrame, labels: DataFrame, texts: DataFrame, n: int, percent: int, each: int, todo: DataFrame | None
+) -> DataFrame:
+    """Pairs (a, b, more, and where they met) of different components that a dual traversal of their node's trees leaves.
 
-def _candidates(members: DataFrame, labels: DataFrame, texts: DataFrame, n: int, percent: int, each: int) -> DataFrame:
-    """Pairs (a, b, more) of different components that a dual traversal of their node's trees leaves."""
+    Only of the blocks ``todo`` (node, one, two) if they are given.
+    """
+    if todo is not None:
+        members = members.join(todo.select("node").distinct(), "node", "left_semi")
     known = labels.select(F.col("node").alias("label_node"), "component")
     labelled = members.join(known, F.col("doc") == F.col("label_node"), "left").select(
         "node", "doc", "blocks", F.coalesce("component", "doc").alias("component")
@@ -400,7 +463,11 @@ def _candidates(members: DataFrame, labels: DataFrame, texts: DataFrame, n: int,
         "node", "doc", "component", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"),
         (F.col("block") > F.col("other")).cast("int").alias("side"),
     )
-    return meeting.join(maps, "doc").groupBy("node", "one", "two").applyInArrow(_pairs(percent, each), "a long, b long, more boolean")
+    if todo is not None:
+        meeting = meeting.join(todo, ["node", "one", "two"], "left_semi")
+    return meeting.join(maps, "doc").groupBy("node", "one", "two").applyInArrow(
+        _of_blocks(percent, each), "a long, b long, more boolean, node long, one int, two int"
+    )
 
 
 def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -412,31 +479,42 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
         return cut_lineage(_joined(docs, n, percent), keep=True)
 
 
+def _shared_nodes(source: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sets (doc_id, n_shingles, digest), the upper nodes' members, and (a, b) of documents and the first one they share most nodes with."""
+    buckets = 1 + text_bytes(source) // BUCKET_BYTES
+    kinds = "doc_id long, n_shingles long, digest binary, nodes binary, spares array<struct<slot: long, spare: long>>"
+    with temporary_tables(source.sparkSession):
+        sets = cut_lineage(source.mapInArrow(_sets(n, percent), kinds))
+        copies = sets.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+        kept = sets.where("length(nodes) > 0").join(
+            copies.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi"
+        )
+        met = cut_lineage(
+            kept.select("doc_id", "nodes")
+            .mapInArrow(_send(buckets), "bucket int, keys binary, docs binary, firsts binary")
+            .groupBy("bucket")
+            .applyInArrow(_meet, "node long, doc long, first long")
+        )
+        members = cut_lineage(_members(met, kept.select(F.col("doc_id").alias("doc"), F.inline("spares"))), keep=True)
+        used = members.select("doc").distinct()
+        shared = met.groupBy("doc", "first").agg(F.count("*").alias("n"))
+        shared = shared.join(used, "doc", "left_semi").join(used.select(F.col("doc").alias("first")), "first", "left_semi")
+        nearest = shared.groupBy("doc").agg(F.min_by("first", F.struct(-F.col("n"), "first")).alias("b"))
+        nearest = cut_lineage(nearest.select(F.col("doc").alias("a"), "b"), keep=True)
+        return cut_lineage(sets.select("doc_id", "n_shingles", "digest"), keep=True), members, nearest
+
+
 def _joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
     source = doc_text(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(MAX_ID)))
-    buckets = 1 + text_bytes(source) // BUCKET_BYTES
-    sets = cut_lineage(source.mapInArrow(_sets(n, percent), "doc_id long, n_shingles long, digest binary, nodes binary"))
+    sets, members, nearest = _shared_nodes(source, n, percent)
     copies = sets.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    kept = sets.select("doc_id", "digest", "nodes").where("length(nodes) > 0").join(
-        copies.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi"
-    )
-    met = cut_lineage(
-        kept.select("doc_id", "nodes")
-        .mapInArrow(_send(buckets), "bucket int, keys binary, docs binary, firsts binary")
-        .groupBy("bucket")
-        .applyInArrow(_meet, "node long, doc long, first long")
-    )
-    used = met.select(F.col("doc").alias("doc_id")).unionByName(met.select(F.col("first").alias("doc_id"))).distinct()
-    texts = cut_lineage(source.join(used, "doc_id", "left_semi"))
-    shared_nodes = met.groupBy("doc", "first").agg(F.count("*").alias("n"))
-    nearest = shared_nodes.groupBy("doc").agg(F.max("n").alias("n")).join(shared_nodes, ["doc", "n"]).groupBy("doc").agg(F.min("first").alias("b")).select(F.col("doc").alias("a"), "b")
+    texts = cut_lineage(source.join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"))
     # Rows that share an id tie their sets' copies together as links do.
     shared = sets.where("digest IS NOT NULL").join(copies, "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     final = components(checked(nearest, texts, n, percent).unionByName(shared))
-    members = cut_lineage(_members(met))
-    each = 1
+    each, todo = 1, None
     while True:
-        left = cut_lineage(_candidates(members, final, texts, n, percent, each))
+        left = cut_lineage(_candidates(members, final, texts, n, percent, each, todo))
         left_over = left.agg(F.count("*").alias("pairs"), F.max("more").alias("more")).first()
         if left_over.pairs:
             # Known components stay as stars, so only the new links are worked in.
@@ -444,6 +522,8 @@ def _joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
             final = components(final.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new))
         if not left_over.more:
             break
+        # All pairs of the other blocks are checked.
+        todo = left.where("more").select("node", "one", "two").distinct()
         each *= 16
     out = sets.join(final, F.col("doc_id") == F.col("node"), "left")
     ids = lambda c: F.nullif(c, F.lit(MAX_ID))

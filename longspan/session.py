@@ -55,20 +55,29 @@ def fresh_path(spark: SparkSession) -> str:
     return f"{_shared_folder(spark)}/longspan/{uuid.uuid4().hex}"
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Paths that ``cut_lineage`` wrote inside each open ``temporary_tables`` block, the innermost last.
 _blocks: list[list[str]] = []
 
 
 @contextmanager
 def temporary_tables(spark: SparkSession):
-    """Delete at the end what ``cut_lineage`` wrote inside, but for tables it was told to keep.
+    """Delete at the end what ``cut_lineage`` wrote inside, but for tables it was told to keep, which go with the block around.
 
-    What leaves the block must be read from kept tables only.
+    What leaves the block must be read from kept tables only. Shuffle files inside go when the write or
+    action that made them ends, not when the driver happens to collect its garbage.
     """
     _blocks.append([])
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
         yield
     finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
         for path in _blocks.pop():
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -80,11 +89,11 @@ def cut_lineage(df: DataFrame, keep: bool = False) -> DataFrame:
     The folder is the one named in ``spark.checkpoint.dir``; a machine-local
     one is used only in local mode where none is set. Being a Parquet table,
     the result survives lost executors and is read with column pruning. With
-    ``keep`` it outlives the ``temporary_tables`` block it is written in.
+    ``keep`` it outlives the innermost ``temporary_tables`` block it is written in.
     """
     spark = df.sparkSession
     path = fresh_path(spark)
-    if _blocks and not keep:
-        _blocks[-1].append(path)
+    if owners := _blocks[:-1] if keep else _blocks:
+        owners[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

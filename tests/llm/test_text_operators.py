@@ -306,3 +306,49 @@ def test_documents_below_the_threshold_make_few_candidate_pairs(monkeypatch):
     assert len(everyone) == 81 * 80 // 2
     # Large sets have bounded bitmaps: two bits a token at least, more only up to the bound.
     assert [ngram_jaccard._bits(k) for k in (1, 8, 4096, 30_000, 40_000)] == [64, 128, 1 << 16, 1 << 16, 1 << 17]
+
+
+def test_jaccard_of_groups_larger_than_a_block(spark, documents, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", 3)
+    rows = near_copies(4, groups=3, each=10, share=0.1) + [(1000, "a b c d"), (1000, "e f g h"), (None, "a b c e")]
+    rows += [(5, near_copies(5, 1, 1)[0][1]), (None, rows[14][1] + " x")]
+    got = jaccard_components(documents(rows).repartition(3), percent=80)
+    assert sorted(map(tuple, got.collect()), key=str) == jaccard(rows, 80)
+
+
+def test_documents_that_share_a_line_only_meet_in_no_node(spark):
+    line = " ".join(f"line{i}" for i in range(12))
+    copy = " ".join(f"c{i}" for i in range(300))
+    rows = [(d, " ".join([*(f"d{d}w{i}" for i in range(300)), line])) for d in range(40)] + [(100, copy), (101, copy + " more"), (102, copy + " " + line)]
+    source = spark.createDataFrame(rows, "doc_id long, text string")
+    _, members, nearest = ngram_jaccard._shared_nodes(source, 3, 80)
+    assert {r.doc for r in members.collect()} == {100, 101, 102}
+    # Tied together they are one node of each class, not one of every slice.
+    assert members.count() <= 3 * 2
+    assert {tuple(r) for r in nearest.collect()} == {(101, 100), (102, 100)}
+
+
+def test_linked_sets_keep_a_node_that_neither_spares():
+    rng = np.random.default_rng(3)
+    classes = _Classes(80)
+    base = rng.integers(0, 2**64, 400, dtype=np.uint64)
+    sets = [np.unique(np.r_[base[rng.permutation(400)[: rng.integers(330, 400)]], rng.integers(0, 2**64, rng.integers(0, 40), dtype=np.uint64)]) for _ in range(40)]
+    nodes = [np.unique(upper_nodes(s, classes)) for s in sets]
+    held = dict(zip(*np.unique(np.concatenate(nodes), return_counts=True), strict=True))
+    needed = []
+    for own in nodes:
+        spare = {x["slot"]: x["spare"] for x in ngram_jaccard.spare_nodes(own, classes)}
+        slots = {k: sorted((x for x in own if int(x) & ngram_jaccard.SLOT == k), key=lambda x: (held[x], x)) for k in spare}
+        needed.append({x for k, of_slot in slots.items() for x in of_slot[: len(of_slot) - spare[k]]})
+    linked = [(i, j) for i in range(40) for j in range(i) if ngram_jaccard._linked(sets[i], sets[j], 80)]
+    assert linked and sum(map(len, needed)) < sum(map(len, nodes))
+    assert all(needed[i] & needed[j] for i, j in linked)
+
+
+def test_shuffle_files_go_when_their_write_ends(spark, tmp_path):
+    from longspan.session import SHUFFLE_CLEANUP, temporary_tables
+
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    with temporary_tables(spark):
+        assert spark.conf.get(SHUFFLE_CLEANUP) == "true"
+    assert spark.conf.get(SHUFFLE_CLEANUP, None) == before

@@ -59,6 +59,8 @@ COMPARED_WORDS, OPENED_PAIRS = 1 << 20, 512
 FLUSH = 4_000_000
 BUCKET_BYTES = 16 << 20
 LEVELS = 3
+#: Times that labels pass from documents to nodes and back.
+TIES = 2
 #: The lowest bits of a node's key say its size class and level.
 SLOT = (1 << 9) - 1
 #: Bytes of keys that a task holds before it passes them on.
@@ -398,8 +400,9 @@ def _folded(bitmap: np.ndarray, width: int) -> np.ndarray:
 def _members(met: DataFrame, spares: DataFrame) -> DataFrame:
     """(node, doc, blocks) of every upper node, without the nodes that documents can spare; of nodes with the same documents only one.
 
-    Nodes of one class and level that documents tie together are one node if they hold no more documents
-    than a block, so a document of many such nodes moves once.
+    Documents take the smallest label that they meet in their nodes, a few times over. Nodes of one class and
+    level whose documents all have one label are one node if they hold no more documents than a block, so
+    a document of many such nodes moves once. The other nodes stay as they are.
     The order of all nodes is that of their numbers of documents, and of equal ones their keys'. Different
     sets under one id are spared what each of them can spare, and those under the NULL id nothing.
     """
@@ -411,14 +414,19 @@ def _members(met: DataFrame, spares: DataFrame) -> DataFrame:
     needed = named.withColumn("place", place).join(least, ["doc", "slot"]).where("place > spare").select("node", "doc")
     members = cut_lineage(needed.unionByName(members.where(F.col("doc") == MAX_ID)))
     sizes = members.groupBy("node").agg(F.count("*").alias("n"), F.min("doc").alias("first")).where("n > 1")
-    members = members.join(sizes.select("node", "first"), "node")
-    groups = components(members.select(F.col("doc").alias("a"), F.col("first").alias("b"))).select(F.col("node").alias("doc"), "component")
-    group = F.xxhash64(F.coalesce("component", "doc"), F.col("node").bitwiseAND(SLOT))
-    members = cut_lineage(members.join(groups, "doc", "left").select("node", "doc", group.alias("group")))
-    of_groups = members.select("group", "doc").distinct()
-    large = of_groups.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("group")
-    small = of_groups.join(large, "group", "left_anti").select(F.col("group").alias("node"), "doc", F.lit(1).alias("blocks"))
-    members = members.join(large, "group", "left_semi").select("node", "doc")
+    members = cut_lineage(members.join(sizes.select("node", "first"), "node"))
+    labels = members.groupBy("doc").agg(F.min("first").alias("label"))
+    for _ in range(TIES):
+        least = members.join(labels, "doc").groupBy("node").agg(F.min("label").alias("least"))
+        labels = members.join(least, "node").groupBy("doc").agg(F.min("least").alias("label"))
+    named = members.join(labels, "doc")
+    ends = named.groupBy("node").agg(F.min("label").alias("l0"), F.max("label").alias("l1"))
+    group = F.when(F.expr("l0 = l1"), F.xxhash64("l0", F.col("node").bitwiseAND(SLOT)))
+    members = cut_lineage(members.join(ends, "node").select("node", "doc", group.alias("group")))
+    of_groups = members.where("group IS NOT NULL").select("group", "doc").distinct()
+    fitting = of_groups.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") <= BLOCK).select("group")
+    small = of_groups.join(fitting, "group", "left_semi").select(F.col("group").alias("node"), "doc", F.lit(1).alias("blocks"))
+    members = members.join(fitting, "group", "left_anti").select("node", "doc")
     marks = members.groupBy("node").agg(
         F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc")).alias("m0"), F.bit_xor(F.xxhash64(F.lit(1), "doc")).alias("m1")
     )

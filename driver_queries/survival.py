@@ -232,7 +232,7 @@ def _hazard_forest(spark, folder):
 def _boosted_survival(spark, folder):
     fit_rows, held = _split(spark, folder)
     sv.check_survival_input(fit_rows, FEATURES)
-    return sv.boosted_survival(FEATURES, n_estimators=5, subsample=0.8).fit(fit_rows).risk_scores(held)
+    return sv.boosted_survival(FEATURES).fit(fit_rows).risk_scores(held)
 
 
 COX_STEPS = 7

@@ -7,17 +7,18 @@ time see the whole risk set.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from longspan.functions.columns import dot
+from longspan.operators import boosting
 from longspan.operators.ordered import range_edges, running
-from longspan.operators.risk import VECTOR, assemble
 from longspan.operators.scaling import MedianImputer, Standardizer
 from longspan.session import cut_lineage, reused
 from longspan.sources import contracts
@@ -25,8 +26,6 @@ from longspan.sources import contracts
 DAYS_PER_YEAR = 365.25
 TOLERANCE = 1e-9
 MAX_ITERATIONS = 50
-#: Boosting rounds between two written copies of the scores.
-REWRITE_EVERY = 10
 
 
 def usable_rows(frame: DataFrame, features: Sequence[str], time: str, event: str) -> DataFrame:
@@ -162,12 +161,71 @@ class CoxRegression(_WithBaseline):
         return frame.withColumn(out, self.expression())
 
 
+def _ends(block: dict, per_time: np.ndarray) -> tuple:
+    """(id, first time, last time, sum, its part at the first time, at the last time) of a block."""
+    return block["id"], block["t"][0], block["t"][-1], per_time.sum(), per_time[0], per_time[-1]
+
+
+def _outside(ends: Sequence[tuple]) -> dict:
+    """id -> (sum of the blocks before, sum of the rows behind with the block's last time), blocks in order."""
+    behind, found = (None, 0.0), {}
+    for at, first, last, _, at_first, _ in reversed(ends):
+        found[at] = behind[1] if behind[0] == last else 0.0
+        behind = (first, at_first + (behind[1] if first == last == behind[0] else 0.0))
+    before = 0.0
+    for at, _, _, whole, _, _ in ends:
+        found[at] = (before, found[at])
+        before += whole
+    return found
+
+
+def _relative_risk(block: dict) -> np.ndarray:
+    return np.exp(block["score"][0].astype(float))
+
+
+def _risk_ends(block: dict) -> tuple:
+    return _ends(block, np.add.reduceat(_relative_risk(block), block["starts"]))
+
+
+def _hazard_steps(block: dict, later: dict) -> np.ndarray:
+    """The block's events over the whole risk set, per distinct time."""
+    at_risk = np.add.reduceat(_relative_risk(block), block["starts"])[::-1].cumsum()[::-1]
+    after, same = later[block["id"]]
+    at_risk = at_risk + after
+    at_risk[0] += same
+    return np.add.reduceat(block["y"], block["starts"]) / at_risk
+
+
+def _hazard_ends(block: dict, later: dict) -> tuple:
+    return _ends(block, _hazard_steps(block, later))
+
+
+def _martingale_residual(block: dict, later: dict, earlier: dict) -> np.ndarray:
+    hazard = _hazard_steps(block, later).cumsum()
+    before, same = earlier[block["id"]]
+    hazard = hazard + before
+    hazard[-1] += same
+    return (block["y"] - _relative_risk(block) * hazard[block["place"]])[None, :]
+
+
+def _residuals(state: RDD, _: int) -> Callable[[dict], np.ndarray]:
+    """Residuals at the state's scores: two passes, of which every block sends its sums only.
+
+    Blocks hold the rows in order of time, so a risk set is a sum inside the block and the sums of the blocks behind it.
+    """
+    ends = sorted(state.map(_risk_ends).collect(), reverse=True)
+    later = _outside([(at, last, first, whole, at_last, at_first) for at, first, last, whole, at_first, at_last in ends])
+    earlier = _outside(sorted(state.map(partial(_hazard_ends, later=later)).collect()))
+    return partial(_martingale_residual, later=later, earlier=earlier)
+
+
 @dataclass
 class CoxBoost(_WithBaseline):
     """Boosted log hazard: regression trees on martingale residuals, the negative gradient of the partial likelihood.
 
     Every round takes the Breslow cumulative hazard at the current scores, fits a tree to
     event - exp(score) H0(time) on a seeded share ``subsample`` of the rows, and adds ``learning_rate`` times it.
+    Rows are sorted by time once and binned; a round is two passes for the residuals and one per level of the tree.
     """
 
     features: Sequence[str]
@@ -178,52 +236,53 @@ class CoxBoost(_WithBaseline):
     subsample: float = 1.0
     seed: int = 42
     imputer: MedianImputer | None = None
-    trees: list[DecisionTreeRegressionModel] = field(default_factory=list)
+    scorer: boosting.Scorer | None = None
 
-    def _prepare(self, frame: DataFrame) -> DataFrame:
-        names = [f"__b_{c}" for c in self.features]
-        kept = frame.select("*", *[F.col(c).cast("double").alias(n) for c, n in zip(self.features, names, strict=True)])
-        return assemble(self.imputer.transform(kept), names).drop(*names)
+    def _names(self) -> list[str]:
+        return [f"__b_{c}" for c in self.features]
 
-    def _add(self, frame: DataFrame, tree: DecisionTreeRegressionModel, score: str) -> DataFrame:
-        tree = tree.copy({tree.featuresCol: VECTOR, tree.predictionCol: "__leaf"})
-        grown = tree.transform(frame)
-        return grown.withColumn(score, F.col(score) + F.lit(self.learning_rate) * F.col("__leaf")).drop("__leaf")
+    def _prepare(self, frame: DataFrame, *kept: str) -> DataFrame:
+        named = [F.col(c).cast("double").alias(n) for c, n in zip(self.features, self._names(), strict=True)]
+        return self.imputer.transform(frame.select(*[F.col(f"`{c}`") for c in kept], *named))
 
     def fit(self, frame: DataFrame, time: str = "event_time_days", event: str = "event") -> "CoxBoost":
-        names = [f"__b_{c}" for c in self.features]
+        names = self._names()
         raw = usable_rows(frame, self.features, time, event)
         self.imputer = MedianImputer(names, empty=0.0).fit(raw.select(*[F.col(c).cast("double").alias(n) for c, n in zip(self.features, names, strict=True)]))
-        row_key = F.xxhash64("__t", "__e", *self.features)
-        rows = cut_lineage(self._prepare(raw).select("__t", "__e", VECTOR, row_key.alias("__key"), F.lit(0.0).alias("log_risk")))
-        edges = range_edges(rows, "__t")
-        self.trees = []
-        for m in range(self.n_estimators):
-            hazard = baseline_hazard(rows, edges=edges)
-            dated = hazard.select(F.col("time").alias("__t"), "cumulative_hazard")
-            residual = F.col("__e") - F.exp("log_risk") * F.col("cumulative_hazard")
-            residuals = rows.join(dated, "__t").select(VECTOR, "__key", residual.alias("__residual"))
-            if self.subsample < 1.0:
-                draw = F.pmod(F.xxhash64("__key", F.lit(self.seed + m)), F.lit(1_000_003)) / 1_000_003.0
-                residuals = residuals.where(draw < self.subsample)
-            learner = DecisionTreeRegressor(
-                featuresCol=VECTOR, labelCol="__residual", maxDepth=self.max_depth, minInstancesPerNode=self.min_leaf, seed=self.seed + m
-            )
-            self.trees.append(learner.fit(residuals))
-            rows = self._add(rows, self.trees[-1], "log_risk")
-            if (m + 1) % REWRITE_EVERY == 0:
-                rows = cut_lineage(rows)
-        self.baseline = cut_lineage(baseline_hazard(rows, edges=edges))
+        keyed = raw.withColumn("__key", F.xxhash64("__t", "__e", *self.features))
+        rows = cut_lineage(self._prepare(keyed, "__t", "__e", "__key"))
+        cuts = boosting.cut_points(rows, names)
+
+        def make(batch) -> dict:  # type: ignore[no-untyped-def]
+            t, y, key = (batch[c].to_numpy(zero_copy_only=False) for c in ("__t", "__e", "__key"))
+            starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+            place = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(t)]))
+            x = boosting.binned(boosting.matrix(batch, "__x"), cuts)
+            return {"x": x, "y": y, "t": t, "key": key, "starts": starts, "place": place, "w": np.ones((1, len(t)), dtype=np.uint8)}
+
+        spread = rows.sparkSession.sparkContext.defaultParallelism
+        # The key splits a time that many rows share among partitions.
+        ordered = rows.select("__t", "__e", "__key", F.array(*names).alias("__x")).repartitionByRange(spread, "__t", "__key")
+        base = boosting.blocks(ordered.sortWithinPartitions("__t", "__key"), make).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            fitted = boosting.Boosting(
+                [range(len(names))], cuts, [self.seed], self.n_estimators, self.learning_rate, self.max_depth, self.min_leaf, self.subsample
+            ).fit(base, _residuals)
+        finally:
+            base.unpersist()
+        self.scorer = fitted.part([0], range(len(names)))
+        scored = rows.withColumn("log_risk", self._score())
+        self.baseline = cut_lineage(baseline_hazard(scored, edges=range_edges(rows, "__t")))
         return self
 
+    def _score(self) -> Column:
+        return self.scorer.column([F.col(n) for n in self._names()])[0]
+
     def predict(self, frame: DataFrame, out: str = "log_risk") -> DataFrame:
         """All columns of ``frame`` and the boosted log hazard."""
-        if self.imputer is None:
+        if self.scorer is None:
             raise RuntimeError("CoxBoost must be fitted before predict")
-        scored = self._prepare(frame).withColumn("__score", F.lit(0.0))
-        for tree in self.trees:
-            scored = self._add(scored, tree, "__score")
-        return scored.select(*[F.col(f"`{c}`") for c in frame.columns], F.col("__score").alias(out))
+        return self._prepare(frame, *frame.columns).withColumn(out, self._score()).drop(*self._names())
 
 
 def partial_log_likelihood(scored: DataFrame, log_risk: str = "log_risk", time: str = "event_time_days", event: str = "event") -> DataFrame:

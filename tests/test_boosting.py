@@ -7,7 +7,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 
 from driver_queries import survival as survival_queries
-from longspan.operators import boosting, survival
+from longspan.operators import boosting, cox, survival
+from longspan.operators.cox import CoxBoost
 
 
 @pytest.fixture(scope="module")
@@ -63,6 +64,53 @@ def test_few_values_keep_their_midpoints_and_many_get_exact_quantiles(spark):
     assert none.tolist() == []
 
 
+def plain_residuals(t, e, score):
+    r = np.exp(score)
+    steps = [(e[t == u].sum() / r[t >= u].sum(), u) for u in sorted(set(t.tolist()))]
+    return e - r * np.array([sum(h for h, u in steps if u <= v) for v in t])
+
+
+@pytest.mark.parametrize("sizes", [[60], [7, 13, 20, 20], [1] * 60])
+def test_risk_sets_across_blocks(sizes):
+    rng = np.random.default_rng(3)
+    t = np.sort(rng.choice([1.0, 2.0, 2.0, 2.0, 3.0, 4.0], 60))
+    e, score = (rng.random(60) < 0.5).astype(float), rng.normal(size=60).astype(np.float32)
+    blocks, at = [], 0
+    for number, n in enumerate(sizes):
+        part = t[at : at + n]
+        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        place = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, n]))
+        blocks.append({"id": (number, 0), "t": part, "y": e[at : at + n], "score": score[None, at : at + n], "starts": starts, "place": place})
+        at += n
+
+    class State:
+        def map(self, kernel):
+            found = [kernel(b) for b in reversed(blocks)]
+            return type("Found", (), {"collect": lambda _: found})()
+
+    target = cox._residuals(State(), 0)
+    got = np.concatenate([target(b)[0] for b in blocks])
+    assert got == pytest.approx(plain_residuals(t, e, score.astype(float)))
+
+
+def test_cox_boosting_on_repeats_and_gaps(people):
+    model = CoxBoost(["a", "b"], n_estimators=4, max_depth=2, subsample=0.8).fit(people)
+    again = CoxBoost(["a", "b"], n_estimators=4, max_depth=2, subsample=0.8).fit(people.repartition(7))
+    asked = people.where("participant_id is not null").dropDuplicates(["participant_id"])
+    first, second = ({r.participant_id: r.risk for r in m.risk_scores(asked).collect()} for m in (model, again))
+    assert len(first) == 61 and len(set(first.values())) > 3
+    assert [second[k] for k in first] == pytest.approx(list(first.values()), abs=1e-6)
+
+
+def test_blocks_are_made_anew_without_another_result(people, monkeypatch):
+    fit = lambda: CoxBoost(["a", "b"], n_estimators=5, max_depth=2).fit(people).scorer
+    chained = fit()
+    monkeypatch.setattr(boosting, "REBASE_EVERY", 2)
+    anew = fit()
+    x = np.array([[a, b] for a in range(9) for b in range(5)], dtype=float)
+    assert anew.scores(x) == pytest.approx(chained.scores(x), abs=1e-6)
+
+
 class Asked(Exception):
     pass
 
@@ -90,3 +138,8 @@ def no_tables(monkeypatch):
 def test_boosted_survival_risk_has_its_full_size(monkeypatch, no_tables):
     model = asked(monkeypatch, survival.HazardEnsemble, "fit", lambda: survival_queries._boosted_survival(None, None))
     assert (model.n_estimators, model.learning_rate, model.max_depth, model.subsample) == (100, 0.1, 3, 1.0)
+
+
+def test_cox_boosted_risk_has_its_full_size(monkeypatch, no_tables):
+    model = asked(monkeypatch, CoxBoost, "fit", lambda: survival_queries._cox_boosted(None, None))
+    assert (model.n_estimators, model.learning_rate, model.max_depth, model.subsample) == (300, 0.05, 4, 0.8)

@@ -218,7 +218,7 @@ def _hazard_logistic(spark, folder):
 @query("hazard_boosted", "V4, V5")
 def _hazard_boosted(spark, folder):
     fit_rows, held = _split(spark, folder)
-    model = sv.HazardEnsemble(FEATURES, "boosted", n_bootstrap=2, n_estimators=4, max_depth=3)
+    model = sv.HazardEnsemble(FEATURES, "boosted", together=True)
     return model.fit(fit_rows).predict_distribution(held)
 
 

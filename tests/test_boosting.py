@@ -140,6 +140,11 @@ def test_boosted_survival_risk_has_its_full_size(monkeypatch, no_tables):
     assert (model.n_estimators, model.learning_rate, model.max_depth, model.subsample) == (100, 0.1, 3, 1.0)
 
 
+def test_hazard_boosted_has_its_full_size(monkeypatch, no_tables):
+    model = asked(monkeypatch, survival.HazardEnsemble, "fit", lambda: survival_queries._hazard_boosted(None, None))
+    assert (model.n_bootstrap, model.n_estimators, model.learning_rate, model.max_depth) == (12, 150, 0.08, 4)
+
+
 def test_cox_boosted_risk_has_its_full_size(monkeypatch, no_tables):
     model = asked(monkeypatch, CoxBoost, "fit", lambda: survival_queries._cox_boosted(None, None))
     assert (model.n_estimators, model.learning_rate, model.max_depth, model.subsample) == (300, 0.05, 4, 0.8)

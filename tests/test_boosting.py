@@ -6,9 +6,10 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 
-from driver_queries import survival as survival_queries
+from driver_queries import study_flow, survival as survival_queries
 from longspan.operators import boosting, cox, survival
 from longspan.operators.cox import CoxBoost
+from longspan.sources import contracts
 
 
 @pytest.fixture(scope="module")
@@ -148,3 +149,11 @@ def test_hazard_boosted_has_its_full_size(monkeypatch, no_tables):
 def test_cox_boosted_risk_has_its_full_size(monkeypatch, no_tables):
     model = asked(monkeypatch, CoxBoost, "fit", lambda: survival_queries._cox_boosted(None, None))
     assert (model.n_estimators, model.learning_rate, model.max_depth, model.subsample) == (300, 0.05, 4, 0.8)
+
+
+def test_the_study_has_its_full_size(monkeypatch):
+    for name in ("visits", "baseline", "trajectories", "features", "cut_lineage", "split_draw"):
+        monkeypatch.setattr(study_flow, name, lambda *_, **__: None)
+    study = asked(monkeypatch, study_flow.Study, "fit", lambda: study_flow._fitted(None, None))
+    assert (study.kind, study.n_bootstrap, study.forest_trees, study.params) == ("boosted", 12, 200, {})
+    assert study.groups == contracts.MODEL_GROUPS
